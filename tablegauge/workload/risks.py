@@ -15,7 +15,7 @@ def label_risks(labels):
     base = labels.select(
         "doc_id",
         "quality",
-        F.when(F.col("doc_id") % 11 != 0, F.col("toxic")).alias("toxic"),
+        F.when(F.col("doc_id") % 11 != 0, F.col("toxic") * (1 - F.col("quality"))).alias("toxic"),
         F.concat(F.lit("u"), F.col("doc_id").cast("string")).alias("author"),
         F.lit(1).alias("version"),
         (F.col("quality") * 2).alias("final_score"),
@@ -24,7 +24,7 @@ def label_risks(labels):
     return base.unionByName(base.filter("quality = 1"))
 
 
-SQL_LABELS = """WITH r0 AS (SELECT doc_id, quality, CASE WHEN doc_id % 11 <> 0 THEN toxic END AS toxic,
+SQL_LABELS = """WITH r0 AS (SELECT doc_id, quality, CASE WHEN doc_id % 11 <> 0 THEN toxic * (1 - quality) END AS toxic,
  'u' || doc_id AS author, 1 AS version, quality * 2 AS final_score, doc_id AS created_day FROM labels),
 r AS (SELECT * FROM r0 UNION ALL SELECT * FROM r0 WHERE quality = 1)
 """
@@ -248,7 +248,7 @@ def _drift(c: str, numeric: bool) -> str:
     mean = (
         f"round(((SELECT avg({c}) FROM a) - (SELECT avg({c}) FROM b)) / (SELECT stddev_samp({c}) FROM b), 4)" if numeric else NONE
     )
-    return f"""SELECT '{c}' AS "column", 0.0 AS null_rate_before, 0.0 AS null_rate_after, 0.0 AS null_rate_change, {mean} AS mean_shift,
+    return f"""SELECT '{c}' AS "column", CAST(0 AS DOUBLE) AS null_rate_before, CAST(0 AS DOUBLE) AS null_rate_after, CAST(0 AS DOUBLE) AS null_rate_change, {mean} AS mean_shift,
  round(psi, 4) AS psi, psi > 0.2 AS drift FROM (SELECT sum((q - p) * ln(q / p)) AS psi FROM (
  SELECT greatest(count(*) FILTER (WHERE s = 0) * 1.0 / (SELECT count(*) FROM b), 0.0001) AS p,
   greatest(count(*) FILTER (WHERE s = 1) * 1.0 / (SELECT count(*) FROM a), 0.0001) AS q
