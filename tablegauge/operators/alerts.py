@@ -23,7 +23,7 @@ def _along(dims: Sequence[str]):
 def alert_vs_trailing_avg(series: DataFrame, drop: float = 0.15, periods: int = 7, dims: Sequence[str] = ()) -> DataFrame:
     """Periods below (1 - drop) x the mean of the previous ones."""
     mean = F.avg("value").over(_along(dims).rowsBetween(-periods, -1))
-    return series.withColumn("trailing", mean).filter(F.col("value") < (1 - drop) * F.col("trailing"))
+    return series.withColumn("trailing_avg", mean).filter(F.col("value") < (1 - drop) * F.col("trailing_avg"))
 
 
 def with_change(series: DataFrame, dims: Sequence[str] = ()) -> DataFrame:

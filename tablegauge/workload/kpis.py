@@ -46,11 +46,11 @@ def _(t):
 
 @query(
     "h2_average_order_value",
-    printed(series_sql("lineitem JOIN orders ON l_orderkey = o_orderkey", "month", "o_orderdate", "sum(l_extendedprice) / count(DISTINCT o_orderkey)")),
+    printed(series_sql("lineitem JOIN orders ON l_orderkey = o_orderkey", "month", "o_orderdate", "sum(l_extendedprice) / count(DISTINCT o_orderkey)"), "round(value, 6) AS value"),
 )
 def _(t):
     lines = t.lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey"))
-    return plain(K.average_order_value(lines, "l_extendedprice", "o_orderkey", "o_orderdate"))
+    return plain(K.average_order_value(lines, "l_extendedprice", "o_orderkey", "o_orderdate"), 6)
 
 
 @query(
@@ -73,13 +73,13 @@ def _(t):
 
 @query(
     "h6_customer_lifetime_value",
-    """SELECT o_custkey, round(v, 4) AS order_value, round(f, 4) AS orders_per_month, round(m, 4) AS months, round(v * f * m, 2) AS value FROM (
+    """SELECT o_custkey, round(v, 6) AS order_value, round(f, 6) AS orders_per_month, round(m, 6) AS months, round(v * f * m, 2) AS value FROM (
 SELECT o_custkey, sum(o_totalprice) / count(*) AS v, count(*) * 1.0 / count(DISTINCT date_trunc('month', o_orderdate)) AS f,
  CAST(date_diff('day', min(o_orderdate), max(o_orderdate)) AS DOUBLE) / CAST(30.4375 AS DOUBLE) AS m FROM orders GROUP BY o_custkey)""",
 )
 def _(t):
     out = K.customer_lifetime_value(t.orders, "o_custkey", "o_totalprice", "o_orderdate")
-    return plain(out.withColumn("value", F.round("value", 2)))
+    return plain(out.withColumn("value", F.round("value", 2)), 6)
 
 
 @query(
@@ -119,22 +119,23 @@ def _(t):
     return plain(K.net_revenue_retention(t.orders, "o_custkey", "o_totalprice", "o_orderdate"))
 
 
-SPEND = "spend AS (SELECT date_trunc('month', o_orderdate) AS period, sum(o_totalprice) * 0.05 AS spend FROM orders GROUP BY 1)"
+SPEND = "spend AS (SELECT date_trunc('month', o_orderdate) AS period, sqrt(sum(o_totalprice)) * 100 AS spend FROM orders GROUP BY 1)"
 NEW = "new AS (SELECT date_trunc('month', f) AS period, count(*) AS new_customers FROM (SELECT o_custkey, min(o_orderdate) AS f FROM orders GROUP BY 1) GROUP BY 1)"
 CAC = f"{SPEND}, {NEW}, cac AS (SELECT period, spend, coalesce(new_customers, 0) AS new_customers, spend / nullif(coalesce(new_customers, 0), 0) AS value FROM spend LEFT JOIN new USING (period))"
 
 
 def cac(t):
-    spend = K.total_revenue(t.orders, F.col("o_totalprice") * 0.05, "o_orderdate", "month").withColumnRenamed("value", "spend")
+    revenue = K.total_revenue(t.orders, "o_totalprice", "o_orderdate", "month")
+    spend = revenue.select("period", (F.sqrt("value") * 100).alias("spend"))
     return K.customer_acquisition_cost(t.orders, "o_custkey", "o_orderdate", spend)
 
 
 @query(
     "h10_customer_acquisition_cost",
-    f"WITH {CAC} SELECT {show()}, round(spend, 4) AS spend, new_customers, round(value, 4) AS value FROM cac",
+    f"WITH {CAC} SELECT {show()}, round(spend, 6) AS spend, new_customers, round(value, 6) AS value FROM cac",
 )
 def _(t):
-    return plain(cac(t))
+    return plain(cac(t), 6)
 
 
 @query("h11_transaction_volume", printed(series_sql("orders", "day", "o_orderdate", "count(o_orderkey)"), "value"))
@@ -238,8 +239,8 @@ REV_MONTH = "s AS (" + series_sql("orders", "month", "o_orderdate", "sum(o_total
 
 @query(
     "h24_alert_vs_trailing_avg",
-    f"""WITH {REV_DAY}, w AS (SELECT *, avg(value) OVER (ORDER BY period ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING) AS trailing FROM s)
-SELECT {show()}, round(value, 4) AS value, round(trailing, 4) AS trailing FROM w WHERE value < 0.85 * trailing""",
+    f"""WITH {REV_DAY}, w AS (SELECT *, avg(value) OVER (ORDER BY period ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING) AS trailing_avg FROM s)
+SELECT {show()}, round(value, 4) AS value, round(trailing_avg, 4) AS trailing_avg FROM w WHERE value < 0.85 * trailing_avg""",
 )
 def _(t):
     return plain(A.alert_vs_trailing_avg(K.total_revenue(t.orders, "o_totalprice", "o_orderdate")))
@@ -286,10 +287,10 @@ def _(t):
 @query(
     "h29_alert_kpi_ratio",
     f"""WITH {CAC}, v AS ({series_sql('orders', 'month', 'o_orderdate', 'sum(o_totalprice) / count(*)')})
-SELECT strftime(cac.period, '%Y-%m-%d %H:%M:%S') AS period, round(cac.value, 4) AS cost, round(v.value, 4) AS worth FROM cac JOIN v USING (period) WHERE cac.value > 1.0 / 3 * v.value""",
+SELECT strftime(cac.period, '%Y-%m-%d %H:%M:%S') AS period, round(cac.value, 6) AS cost, round(v.value, 6) AS worth FROM cac JOIN v USING (period) WHERE cac.value > 1.0 / 3 * v.value""",
 )
 def _(t):
-    return plain(A.alert_kpi_ratio(cac(t), K.average_amount(t.orders, "o_totalprice", "o_orderdate")))
+    return plain(A.alert_kpi_ratio(cac(t), K.average_amount(t.orders, "o_totalprice", "o_orderdate")), 6)
 
 
 @query(
