@@ -275,13 +275,22 @@ def rfm_segments(df: DataFrame, customer: str, ts: str, amount: str, as_of: Colu
         customer, F.datediff("_as_of", "_last").cast("long").alias("recency"), "frequency", "monetary"
     )
     n = base.agg(F.count(F.lit(1))).scalar()
-    whole = lambda v: v.cast("long")
-    scored = base
-    for column, best_low, bin_of in (("recency", True, whole), ("frequency", False, whole), ("monetary", False, None)):
-        ranked = rank_rows(scored, column, customer, **({"bin_of": bin_of} if bin_of else {}))
-        tile = ntile_of(F.col("row_rank"), F.col("_n"), tiles)
-        tile = (tiles + 1 - tile) if best_low else tile
-        scored = ranked.withColumn("_n", n).withColumn(f"{column[0]}_score", tile).drop("row_rank", "_n")
+    names = ("recency", "frequency", "monetary")
+    long = base.select(customer, *[F.col(c).cast("double").alias(c) for c in names]).unpivot(
+        [customer], list(names), "_measure", "_value"
+    )
+    tiled = rank_rows(long, "_value", customer, ["_measure"]).withColumn("_n", n)
+    tile = ntile_of(F.col("row_rank"), F.col("_n"), tiles)
+    scores = tiled.withColumn(
+        "_tile", F.when(F.col("_measure") == "recency", tiles + 1 - tile).otherwise(tile)
+    )
+    of = lambda m, c: F.max(F.when(F.col("_measure") == m, F.col(c)))
+    scored = scores.groupBy(customer).agg(
+        of("recency", "_value").cast("long").alias("recency"),
+        of("frequency", "_value").cast("long").alias("frequency"),
+        of("monetary", "_value").alias("monetary"),
+        *[of(m, "_tile").alias(f"{m[0]}_score") for m in names],
+    )
     code = F.concat(*[F.col(f"{c}_score").cast("string") for c in "rfm"])
     return scored.withColumn("segment", code)
 
