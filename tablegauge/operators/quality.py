@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tablegauge.functions import fixed_values as V
 from tablegauge.functions.math import percent
-from tablegauge.plans.facts import null_count, number, per_column, repeats, value_freq, wide, zscore_counts
+from tablegauge.plans.facts import column_facts, null_count, number, per_column, repeats, value_freq, wide
 from tablegauge.sources import schema as S
 
 ISSUE = ("check", "column", "severity", "affected", "pct", "detail", "fix")
@@ -22,145 +22,119 @@ VERDICTS = {
 }
 
 
-def issue(check: str, severity: Column, affected: Column, pct: Column, detail: Column, fix: str) -> list[Column]:
-    return [
+def issue(check: str, severity: Column, affected: Column, pct: Column, detail: Column, fix: str, column: Column | None = None) -> Column:
+    """One issue as a struct; `column` defaults to the row's column name."""
+    return F.struct(
         F.lit(check).alias("check"),
-        F.col("column"),
+        (F.col("column") if column is None else column).alias("column"),
         severity.alias("severity"),
         affected.cast("long").alias("affected"),
         pct.cast("double").alias("pct"),
         detail.alias("detail"),
         F.lit(fix).alias("fix"),
-    ]
+    )
+
+
+def issues_where(facts: DataFrame, *tests: tuple[Column, Column]) -> DataFrame:
+    """One row per (condition, issue) pair whose condition holds, over any facts table."""
+    found = F.array_compact(F.array(*[F.when(test, made) for test, made in tests]))
+    return facts.select(F.explode(found).alias("_i")).select("_i.*")
 
 
 def _no_pct() -> Column:
     return F.lit(None).cast("double")
 
 
-def column_nulls(df: DataFrame) -> DataFrame:
-    """(column, n_rows, nulls) of every column in one scan."""
-    return per_column(df, df.columns, {"nulls": null_count(df)})
+def _share(count: str) -> Column:
+    return percent(F.col(count), F.col("n_rows"))
 
 
-def check_missing(df: DataFrame, facts: DataFrame | None = None) -> DataFrame:
-    """Columns with missing cells; the rounded percentage decides the severity."""
-    facts = column_nulls(df) if facts is None else facts
-    rated = facts.withColumn("_pct", percent(F.col("nulls"), F.col("n_rows"))).filter(F.col("nulls") > 0)
+def missing_issue() -> tuple[Column, Column]:
+    """The rounded percentage decides the severity."""
+    pct = _share("nulls")
     severity = (
-        F.when(F.col("_pct") > V.NULL_PCT_CRITICAL, "critical")
-        .when(F.col("_pct") > V.NULL_PCT_HIGH, "high")
-        .otherwise("medium")
+        F.when(pct > V.NULL_PCT_CRITICAL, "critical").when(pct > V.NULL_PCT_HIGH, "high").otherwise("medium")
     )
     detail = F.concat_ws(" ", F.col("nulls"), F.lit("of"), F.col("n_rows"), F.lit("cells missing"))
-    return rated.select(
-        *issue("missing_values", severity, F.col("nulls"), F.col("_pct"), detail, "impute or drop_null_rows")
+    return F.col("nulls") > 0, issue(
+        "missing_values", severity, F.col("nulls"), pct, detail, "impute or drop_null_rows"
     )
 
 
-def check_duplicates(df: DataFrame) -> DataFrame:
-    """One issue if any row repeats an earlier one."""
-    found = repeats(df).filter(F.col("duplicate_rows") > 0).withColumn("column", F.lit("ALL"))
-    detail = F.concat_ws(" ", F.col("duplicate_rows"), F.lit("rows repeat an earlier row"))
-    return found.select(
-        *issue(
-            "duplicate_rows",
-            F.lit("medium"),
-            F.col("duplicate_rows"),
-            percent(F.col("duplicate_rows"), F.col("n_rows")),
-            detail,
-            "drop_duplicate_rows",
-        )
+def constant_issue(all_null: bool = True) -> tuple[Column, Column]:
+    test = F.col("variety") <= 1 if all_null else F.col("variety") == 1
+    detail = F.concat(F.lit("only value: "), F.coalesce("lowest", F.lit("(null)")))
+    return test, issue("constant_column", F.lit("low"), F.col("n_rows"), _no_pct(), detail, "drop_constant_columns")
+
+
+def negative_issue() -> tuple[Column, Column]:
+    named = F.lit(False)
+    for word in V.POSITIVE_NAME_WORDS:
+        named = named | F.contains(F.lower("column"), F.lit(word))
+    detail = F.concat_ws(" ", F.col("negatives"), F.lit("values below zero"))
+    return named & (F.col("negatives") > 0), issue(
+        "negative_values", F.lit("high"), F.col("negatives"), _share("negatives"), detail, "review source"
+    )
+
+
+def outlier_issue(check: str = "zscore_outliers") -> tuple[Column, Column]:
+    detail = F.concat_ws(" ", F.col("outliers"), F.lit("values beyond the z limit"))
+    return F.col("outliers") > 0, issue(
+        check, F.lit("low"), F.col("outliers"), _share("outliers"), detail, "clip_iqr or log_transform"
     )
 
 
-def column_extremes(df: DataFrame) -> DataFrame:
-    """(column, n_rows, nulls, lowest, distinct_hint) of every comparable column in one scan.
+def check_missing(df: DataFrame) -> DataFrame:
+    """Columns with missing cells, rated by their percentage."""
+    facts = per_column(df, df.columns, {"nulls": null_count(df)})
+    return issues_where(facts, missing_issue())
 
-    `distinct_hint` is 0 for all-null, 1 for a single value, 2 for more: enough to
-    find constant columns without counting distinct values.
-    """
-    names = [c for c in df.columns if S.kind(df.schema[c].dataType) != "other"]
-
-    def hint(c: str) -> Column:
-        v = S.known(df, c)
-        return (
-            F.when(F.count(v) == 0, 0).when(F.min(v).eqNullSafe(F.max(v)), 1).otherwise(2)
-        )
-
-    return per_column(
-        df,
-        names,
-        {
-            "nulls": null_count(df),
-            "lowest": lambda c: F.min(S.known(df, c)).cast("string"),
-            "distinct_hint": hint,
-        },
+
+def check_duplicates(df: DataFrame, check: str = "duplicate_rows") -> DataFrame:
+    """One issue if any row repeats an earlier one."""
+    count = F.col("duplicate_rows")
+    made = issue(
+        check,
+        F.lit("medium"),
+        count,
+        _share("duplicate_rows"),
+        F.concat_ws(" ", count, F.lit("rows repeat an earlier row")),
+        "drop_duplicate_rows",
+        F.lit("ALL"),
     )
+    return issues_where(repeats(df), (count > 0, made))
 
 
-def check_constant(df: DataFrame, all_null: bool = True, facts: DataFrame | None = None) -> DataFrame:
+def check_constant(df: DataFrame, all_null: bool = True) -> DataFrame:
     """Columns with at most one distinct value; all_null=False leaves all-null columns out."""
-    facts = column_extremes(df) if facts is None else facts
-    found = facts.filter(F.col("distinct_hint") <= 1 if all_null else F.col("distinct_hint") == 1)
-    detail = F.concat(F.lit("only value: "), F.coalesce("lowest", F.lit("(null)")))
-    return found.select(
-        *issue("constant_column", F.lit("low"), F.col("n_rows"), _no_pct(), detail, "drop_constant_columns")
-    )
+    return issues_where(column_facts(df, outliers=False), constant_issue(all_null))
 
 
-def check_high_cardinality(df: DataFrame, limit: int = V.HIGH_CARDINALITY, temporal_as_string: bool = False) -> DataFrame:
+def check_high_cardinality(
+    df: DataFrame, limit: int = V.HIGH_CARDINALITY, temporal_as_string: bool = False, check: str = "high_cardinality"
+) -> DataFrame:
     """String columns with more than `limit` distinct values."""
     names = S.text_columns(df, temporal_as_string)
-    counted = (
-        (value_freq(df, names) if names else _no_values(df))
-        .groupBy("column")
-        .agg(F.count(F.lit(1)).alias("_distinct"))
-        .filter(F.col("_distinct") > limit)
+    values = (
+        value_freq(df, names) if names else df.sparkSession.createDataFrame([], "column string, value string, n long")
     )
+    counted = values.groupBy("column").agg(F.count(F.lit(1)).alias("_distinct"))
     detail = F.concat_ws(" ", F.col("_distinct"), F.lit("distinct values"))
-    return counted.select(
-        *issue("high_cardinality", F.lit("medium"), F.col("_distinct"), _no_pct(), detail, "target_encode or hash_encode")
-    )
-
-
-def _no_values(df: DataFrame) -> DataFrame:
-    return df.sparkSession.createDataFrame([], "column string, value string, n long")
+    made = issue(check, F.lit("medium"), F.col("_distinct"), _no_pct(), detail, "target_encode or hash_encode")
+    return issues_where(counted, (F.col("_distinct") > limit, made))
 
 
 def check_negative_in_positive(df: DataFrame) -> DataFrame:
     """Negative values in numeric columns whose name says they should be positive."""
-    names = [
-        c for c in S.numeric_columns(df) if any(w in c.lower() for w in V.POSITIVE_NAME_WORDS)
-    ]
+    names = [c for c in S.numeric_columns(df) if any(w in c.lower() for w in V.POSITIVE_NAME_WORDS)]
     facts = per_column(df, names, {"negatives": lambda c: F.count_if(number(df, c) < 0)})
-    detail = F.concat_ws(" ", F.col("negatives"), F.lit("values below zero"))
-    return facts.filter(F.col("negatives") > 0).select(
-        *issue(
-            "negative_values",
-            F.lit("high"),
-            F.col("negatives"),
-            percent(F.col("negatives"), F.col("n_rows")),
-            detail,
-            "review source",
-        )
-    )
+    return issues_where(facts, negative_issue())
 
 
-def check_zscore_outliers(df: DataFrame, limit: float = V.Z_LIMIT) -> DataFrame:
+def check_zscore_outliers(df: DataFrame, limit: float = V.Z_LIMIT, check: str = "zscore_outliers") -> DataFrame:
     """Numeric columns with values further than `limit` sample deviations from the mean."""
-    facts = zscore_counts(df, S.numeric_columns(df), limit)
-    detail = F.concat_ws(" ", F.col("outliers").cast("long"), F.lit("values beyond the z limit"))
-    return facts.filter(F.col("outliers") > 0).select(
-        *issue(
-            "zscore_outliers",
-            F.lit("low"),
-            F.col("outliers"),
-            percent(F.col("outliers"), F.col("n_rows")),
-            detail,
-            "clip_iqr or log_transform",
-        )
-    )
+    numbers = df.select(*S.numeric_columns(df))
+    return issues_where(column_facts(numbers, limit), outlier_issue(check))
 
 
 def severity_summary(issues: DataFrame) -> DataFrame:
@@ -191,18 +165,16 @@ def severity_rank(severity: Column) -> Column:
 def quality_report(df: DataFrame, temporal_as_string: bool = False) -> DataFrame:
     """All checks as one table.
 
-    Nulls, constants, negatives and outliers come from one fused aggregate plus the
-    outlier count; only repeated rows and text cardinality need a shuffle.
+    Nulls, constants, negatives and outliers are read off one facts table (two scans,
+    no row shuffle); only repeated rows and text cardinality need a shuffle.
     """
-    facts = column_extremes(df)
-    parts = [
-        check_missing(df, facts),
-        check_duplicates(df),
-        check_constant(df, facts=facts),
-        check_high_cardinality(df, temporal_as_string=temporal_as_string),
-        check_negative_in_positive(df),
-        check_zscore_outliers(df),
-    ]
+    from_facts = issues_where(
+        column_facts(df), missing_issue(), constant_issue(), negative_issue(), outlier_issue()
+    )
+    nested = [c for c in df.columns if S.kind(df.schema[c].dataType) == "other"]
+    parts = [from_facts, check_duplicates(df), check_high_cardinality(df, temporal_as_string=temporal_as_string)]
+    if nested:
+        parts.append(check_missing(df.select(*nested)))
     return reduce(DataFrame.unionByName, parts)
 
 

@@ -11,7 +11,7 @@ from tablegauge.functions import fixed_values as V
 from tablegauge.functions.math import percent, ratio
 from tablegauge.functions.text import has_any
 from tablegauge.operators import quality as Q
-from tablegauge.plans.facts import repeats
+from tablegauge.plans.facts import column_facts, null_count, per_column
 from tablegauge.plans.joins import join_null_safe, one_row
 from tablegauge.plans.quantiles import quantile_row
 from tablegauge.sources import schema as S
@@ -20,38 +20,34 @@ from tablegauge.sources import schema as S
 PSI_LIMIT = 0.2
 # share given to a bin that one period never fills, so the logarithm exists
 EMPTY_SHARE = 1e-4
+RISK_ORDER = (
+    "missing_target", "null_target", "class_imbalance", "duplicate_records", "high_cardinality_column",
+    "constant_column", "leakage_candidate", "outliers", "time_split",
+)
 
 
 def _none():
     return F.lit(None).cast("double")
 
 
-def _counted(df: DataFrame, column: str) -> DataFrame:
-    return df.agg(F.count(F.lit(1)).alias("n_rows")).withColumn("column", F.lit(column))
-
-
 def risk_missing_target(df: DataFrame, target: str) -> DataFrame:
     """Critical if the target column is absent."""
-    counted = _counted(df, target).filter(F.lit(target not in df.columns))
-    return counted.select(
-        *Q.issue("missing_target", F.lit("critical"), F.col("n_rows"), _none(), F.lit("column is not in the table"), "add target")
+    made = Q.issue(
+        "missing_target", F.lit("critical"), F.col("n_rows"), _none(), F.lit("column is not in the table"), "add target", F.lit(target)
     )
+    return Q.issues_where(df.agg(F.count(F.lit(1)).alias("n_rows")), (F.lit(target not in df.columns), made))
+
+
+def null_target_issue():
+    detail = F.concat_ws(" ", F.col("nulls"), F.lit("target values missing"))
+    pct = percent(F.col("nulls"), F.col("n_rows"))
+    return Q.issue("null_target", F.lit("critical"), F.col("nulls"), pct, detail, "drop_null_rows")
 
 
 def risk_null_target(df: DataFrame, target: str) -> DataFrame:
     """Critical if the target has missing values."""
-    found = df.agg(F.count(F.lit(1)).alias("n"), F.count_if(S.missing(df, target)).alias("k"))
-    found = found.filter(F.col("k") > 0).withColumn("column", F.lit(target))
-    return found.select(
-        *Q.issue(
-            "null_target",
-            F.lit("critical"),
-            F.col("k"),
-            percent(F.col("k"), F.col("n")),
-            F.concat_ws(" ", F.col("k"), F.lit("target values missing")),
-            "drop_null_rows",
-        )
-    )
+    facts = per_column(df, [target], {"nulls": null_count(df)})
+    return Q.issues_where(facts, (F.col("nulls") > 0, null_target_issue()))
 
 
 def class_distribution(df: DataFrame, target: str) -> DataFrame:
@@ -74,25 +70,19 @@ def risk_class_imbalance(df: DataFrame, target: str) -> DataFrame:
     rarest = class_distribution(df, target).agg(
         F.count(F.lit(1)).alias("classes"), F.min("n").alias("k"), F.min("share").alias("share")
     )
-    found = rarest.filter(
-        (F.lit(text) | (F.col("classes") <= V.CLASS_LIMIT)) & (F.col("share") < V.MINORITY_SHARE)
-    ).withColumn("column", F.lit(target))
+    rare = (F.lit(text) | (F.col("classes") <= V.CLASS_LIMIT)) & (F.col("share") < V.MINORITY_SHARE)
     detail = F.concat_ws(" ", F.lit("rarest of"), F.col("classes"), F.lit("classes"))
-    return found.select(
-        *Q.issue("class_imbalance", F.lit("high"), F.col("k"), F.round(F.col("share") * 100, 2), detail, "balanced_class_weights")
-    )
-
-
-def _as(issues: DataFrame, name: str) -> DataFrame:
-    return issues.withColumn("check", F.lit(name))
+    pct = F.round(F.col("share") * 100, 2)
+    made = Q.issue("class_imbalance", F.lit("high"), F.col("k"), pct, detail, "balanced_class_weights", F.lit(target))
+    return Q.issues_where(rarest, (rare, made))
 
 
 def risk_duplicates(df: DataFrame) -> DataFrame:
-    return _as(Q.check_duplicates(df), "duplicate_records")
+    return Q.check_duplicates(df, "duplicate_records")
 
 
 def risk_high_cardinality(df: DataFrame, temporal_as_string: bool = False) -> DataFrame:
-    return _as(Q.check_high_cardinality(df, temporal_as_string=temporal_as_string), "high_cardinality_column")
+    return Q.check_high_cardinality(df, temporal_as_string=temporal_as_string, check="high_cardinality_column")
 
 
 def risk_constant(df: DataFrame) -> DataFrame:
@@ -101,7 +91,7 @@ def risk_constant(df: DataFrame) -> DataFrame:
 
 
 def risk_outliers(df: DataFrame) -> DataFrame:
-    return _as(Q.check_zscore_outliers(df), "outliers")
+    return Q.check_zscore_outliers(df, check="outliers")
 
 
 def leakage_names(columns: DataFrame, target: str | None = None) -> DataFrame:
@@ -124,39 +114,47 @@ def _names(df: DataFrame) -> DataFrame:
 
 
 def risk_leakage_names(df: DataFrame, target: str | None = None) -> DataFrame:
-    return leakage_names(_names(df), target).select(
-        *Q.issue("leakage_candidate", F.lit("high"), F.col("n_rows"), _none(), F.lit("may be known only afterwards"), "verify or drop")
-    )
+    made = Q.issue("leakage_candidate", F.lit("high"), F.col("n_rows"), _none(), F.lit("may be known only afterwards"), "verify or drop")
+    return Q.issues_where(leakage_names(_names(df), target), (F.lit(True), made))
 
 
 def risk_time_split(df: DataFrame) -> DataFrame:
     """Medium if any column looks like time; lists them in table order."""
+    in_order = F.transform(F.sort_array(F.collect_list(F.struct("ordinal", "column"))), lambda s: s["column"])
     listed = time_names(_names(df)).agg(
-        F.count(F.lit(1)).alias("k"),
-        F.array_join(F.expr("transform(sort_array(collect_list(struct(ordinal, column))), x -> x.column)"), ", ").alias("names"),
-    )
-    found = listed.filter(F.col("k") > 0).withColumn("column", F.lit("ALL"))
-    return found.select(
-        *Q.issue("time_split", F.lit("medium"), F.col("k"), _none(), F.col("names"), "temporal_split")
+        F.count(F.lit(1)).alias("k"), F.array_join(in_order, ", ").alias("names")
     )
+    made = Q.issue("time_split", F.lit("medium"), F.col("k"), _none(), F.col("names"), "temporal_split", F.lit("ALL"))
+    return Q.issues_where(listed, (F.col("k") > 0, made))
 
 
 def ml_risk_report(df: DataFrame, target: str | None = None, temporal_as_string: bool = False) -> DataFrame:
-    """All risks as one table; `place` keeps the order of the checks."""
-    parts = []
-    if target and target not in df.columns:
-        parts.append(risk_missing_target(df, target))
-    elif target:
-        parts += [risk_null_target(df, target), risk_class_imbalance(df, target)]
-    parts += [
+    """All risks as one table; `place` keeps the order of the checks.
+
+    Null target, constants and outliers come from one facts table.
+    """
+    facts = column_facts(df)
+    is_target = F.col("column") == F.lit(target)
+    from_facts = Q.issues_where(
+        facts,
+        (is_target & (F.col("nulls") > 0), null_target_issue()),
+        Q.constant_issue(all_null=False),
+        Q.outlier_issue("outliers"),
+    )
+    parts = [
+        from_facts,
         risk_duplicates(df),
         risk_high_cardinality(df, temporal_as_string),
-        risk_constant(df),
         risk_leakage_names(df, target),
-        risk_outliers(df),
         risk_time_split(df),
     ]
-    return reduce(DataFrame.unionByName, [p.withColumn("place", F.lit(i)) for i, p in enumerate(parts)])
+    if target:
+        parts.append(
+            risk_class_imbalance(df, target) if target in df.columns else risk_missing_target(df, target)
+        )
+    order = F.array(*[F.lit(c) for c in RISK_ORDER])
+    together = reduce(DataFrame.unionByName, parts)
+    return together.withColumn("place", F.array_position(order, F.col("check")) - 1)
 
 
 def risk_verdict(issues: DataFrame) -> DataFrame:

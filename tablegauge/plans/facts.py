@@ -63,27 +63,57 @@ def number(df: DataFrame, c: str) -> Column:
     return S.known(df, c).cast("double")
 
 
-def zscore_counts(df: DataFrame, columns: Sequence[str], limit: float = 3.0) -> DataFrame:
-    """Per numeric column: rows further than `limit` sample deviations from the mean.
+def column_facts(df: DataFrame, limit: float = 3.0, outliers: bool = True) -> DataFrame:
+    """One row per comparable column: n_rows, nulls, lowest, variety, negatives, mean, sd, outliers.
 
-    Two scans, no row shuffle. A column without spread is skipped (no count).
-    """
-    fit = one_row(
-        wide(
-            df,
-            columns,
-            {"mean": lambda c: F.avg(number(df, c)), "sd": lambda c: F.stddev_samp(number(df, c))},
-        )
-    )
-    fitted = df.withColumn("_fit", fit) if columns else df
+    `variety` is 0 for an all-null column, 1 for a single value, 2 for more, which
+    finds constant columns without counting distinct values. `outliers` counts values
+    further than `limit` sample deviations from the mean, null without spread.
 
-    def far(c: str) -> Column:
-        i = list(columns).index(c)
+    Two scans and no row shuffle: the first fits all facts as one row, the second
+    counts outliers against it. The fitted row is one scalar subquery used by both
+    the second scan and the output, so it is computed once.
+    """
+    names = [c for c in df.columns if S.kind(df.schema[c].dataType) != "other"]
+    numeric = set(S.numeric_columns(df))
+    none = F.lit(None).cast("double")
+
+    def variety(c: str) -> Column:
+        v = S.known(df, c)
+        return F.when(F.count(v) == 0, 0).when(F.min(v).eqNullSafe(F.max(v)), 1).otherwise(2)
+
+    def of_number(fn: Callable[[Column], Column]) -> Callable[[str], Column]:
+        return lambda c: fn(number(df, c)) if c in numeric else F.max(none)
+
+    metrics = {
+        "nulls": null_count(df),
+        "lowest": lambda c: F.min(S.known(df, c)).cast("string"),
+        "variety": variety,
+        "negatives": lambda c: F.count_if(number(df, c) < 0) if c in numeric else F.max(none).cast("long"),
+        "mean": of_number(F.avg),
+        "sd": of_number(F.stddev_samp),
+    }
+    row = wide(df, names, metrics)
+    if not outliers:
+        return tall(row, names, list(metrics))
+    fit = one_row(row)
+
+    def far(i: int, c: str) -> Column:
         sd = F.col(f"_fit.{i}_sd")
         z = F.abs((number(df, c) - F.col(f"_fit.{i}_mean")) / F.when(sd > 0, sd))
         return F.count_if(z > limit)
 
-    return per_column(fitted, columns, {"outliers": far})
+    numbered = [(i, c) for i, c in enumerate(names) if c in numeric]
+    fitted = df.withColumn("_fit", fit) if numbered else df
+    counts = fitted.agg(F.count(F.lit(1)).alias("_n"), *[far(i, c).alias(f"{i}_outliers") for i, c in numbered])
+    joined = counts.withColumn("_fit", fit).select(
+        "_fit.*",
+        *[
+            (F.col(f"{i}_outliers") if c in numeric else F.lit(None).cast("long")).alias(f"{i}_outliers")
+            for i, c in enumerate(names)
+        ],
+    )
+    return tall(joined, names, [*metrics, "outliers"])
 
 
 def value_freq(df: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -145,7 +145,7 @@ def _(t):
 
 REPORT_SQL = SQL_LABELS + ", " + ", ".join(
     f"p{i} AS ({sql})" for i, sql in enumerate([E2, E3, E5, E6, E7, E8, E9, E10])
-) + " , report AS (" + " UNION ALL ".join(f"SELECT *, CAST({i} AS BIGINT) AS place FROM p{i}" for i in range(8)) + ")"
+) + " , report AS (" + " UNION ALL ".join(f"SELECT *, CAST({i + 1} AS BIGINT) AS place FROM p{i}" for i in range(8)) + ")"
 
 
 @query("e11_ml_risk_report", REPORT_SQL + " SELECT * FROM report")
