@@ -67,6 +67,12 @@ def constant_issue(all_null: bool = True) -> tuple[Column, Column]:
     return test, issue("constant_column", F.lit("low"), F.col("n_rows"), _no_pct(), detail, "drop_constant_columns")
 
 
+def cardinality_issue(check: str = "high_cardinality", limit: int = V.HIGH_CARDINALITY) -> tuple[Column, Column]:
+    detail = F.concat_ws(" ", F.col("distinct"), F.lit("distinct values"))
+    made = issue(check, F.lit("medium"), F.col("distinct"), _no_pct(), detail, "target_encode or hash_encode")
+    return F.col("distinct") > limit, made
+
+
 def negative_issue() -> tuple[Column, Column]:
     named = F.lit(False)
     for word in V.POSITIVE_NAME_WORDS:
@@ -118,10 +124,8 @@ def check_high_cardinality(
     values = (
         value_freq(df, names) if names else df.sparkSession.createDataFrame([], "column string, value string, n long")
     )
-    counted = values.groupBy("column").agg(F.count(F.lit(1)).alias("_distinct"))
-    detail = F.concat_ws(" ", F.col("_distinct"), F.lit("distinct values"))
-    made = issue(check, F.lit("medium"), F.col("_distinct"), _no_pct(), detail, "target_encode or hash_encode")
-    return issues_where(counted, (F.col("_distinct") > limit, made))
+    counted = values.groupBy("column").agg(F.count(F.lit(1)).alias("distinct"))
+    return issues_where(counted, cardinality_issue(check, limit))
 
 
 def check_negative_in_positive(df: DataFrame) -> DataFrame:
@@ -165,14 +169,17 @@ def severity_rank(severity: Column) -> Column:
 def quality_report(df: DataFrame, temporal_as_string: bool = False) -> DataFrame:
     """All checks as one table.
 
-    Nulls, constants, negatives and outliers are read off one facts table (two scans,
-    no row shuffle); only repeated rows and text cardinality need a shuffle.
+    Every column check is read off one facts table: two scans without a row shuffle
+    and one count of text values. Repeated rows need a shuffle of their own.
     """
-    from_facts = issues_where(
-        column_facts(df), missing_issue(), constant_issue(), negative_issue(), outlier_issue()
-    )
+    facts = column_facts(df, temporal_as_string=temporal_as_string)
+    parts = [
+        issues_where(
+            facts, missing_issue(), constant_issue(), cardinality_issue(), negative_issue(), outlier_issue()
+        ),
+        check_duplicates(df),
+    ]
     nested = [c for c in df.columns if S.kind(df.schema[c].dataType) == "other"]
-    parts = [from_facts, check_duplicates(df), check_high_cardinality(df, temporal_as_string=temporal_as_string)]
     if nested:
         parts.append(check_missing(df.select(*nested)))
     return reduce(DataFrame.unionByName, parts)

@@ -131,20 +131,20 @@ def risk_time_split(df: DataFrame) -> DataFrame:
 def ml_risk_report(df: DataFrame, target: str | None = None, temporal_as_string: bool = False) -> DataFrame:
     """All risks as one table; `place` keeps the order of the checks.
 
-    Null target, constants and outliers come from one facts table.
+    Null target, constants, text cardinality and outliers come from one facts table.
     """
-    facts = column_facts(df)
+    facts = column_facts(df, temporal_as_string=temporal_as_string)
     is_target = F.col("column") == F.lit(target)
     from_facts = Q.issues_where(
         facts,
         (is_target & (F.col("nulls") > 0), null_target_issue()),
         Q.constant_issue(all_null=False),
+        Q.cardinality_issue("high_cardinality_column"),
         Q.outlier_issue("outliers"),
     )
     parts = [
         from_facts,
         risk_duplicates(df),
-        risk_high_cardinality(df, temporal_as_string),
         risk_leakage_names(df, target),
         risk_time_split(df),
     ]

@@ -63,57 +63,81 @@ def number(df: DataFrame, c: str) -> Column:
     return S.known(df, c).cast("double")
 
 
-def column_facts(df: DataFrame, limit: float = 3.0, outliers: bool = True) -> DataFrame:
-    """One row per comparable column: n_rows, nulls, lowest, variety, negatives, mean, sd, outliers.
+def column_facts(
+    df: DataFrame, limit: float = 3.0, outliers: bool = True, temporal_as_string: bool = False
+) -> DataFrame:
+    """One row per comparable column: n_rows, nulls, lowest, variety, distinct, negatives, outliers.
 
     `variety` is 0 for an all-null column, 1 for a single value, 2 for more, which
-    finds constant columns without counting distinct values. `outliers` counts values
-    further than `limit` sample deviations from the mean, null without spread.
-
-    Two scans and no row shuffle: the first fits all facts as one row, the second
-    counts outliers against it. The fitted row is one scalar subquery used by both
-    the second scan and the output, so it is computed once.
+    finds constant columns without counting distinct values. `distinct` is filled for
+    text columns. `outliers` counts values further than `limit` sample deviations from
+    the mean, null without spread.
+
+    Two scans without a row shuffle (fit as one row, then count outliers against it)
+    and, if there is text, one pass that counts text values. Text minima stay out of
+    the scan aggregate: they would take it off the hash path. The fitted row is one
+    scalar subquery used twice, so it is computed once.
     """
     names = [c for c in df.columns if S.kind(df.schema[c].dataType) != "other"]
+    texts = [c for c in names if c in S.text_columns(df, temporal_as_string)]
     numeric = set(S.numeric_columns(df))
     none = F.lit(None).cast("double")
+    is_text = F.col("column").isin(*texts) if texts else F.lit(False)
 
     def variety(c: str) -> Column:
+        if c in texts:
+            return F.lit(0)
         v = S.known(df, c)
         return F.when(F.count(v) == 0, 0).when(F.min(v).eqNullSafe(F.max(v)), 1).otherwise(2)
 
-    def of_number(fn: Callable[[Column], Column]) -> Callable[[str], Column]:
-        return lambda c: fn(number(df, c)) if c in numeric else F.max(none)
-
+    # only the metrics a column can have are aggregated; the others are constants
     metrics = {
         "nulls": null_count(df),
-        "lowest": lambda c: F.min(S.known(df, c)).cast("string"),
+        "lowest": lambda c: F.lit(None).cast("string") if c in texts else F.min(S.known(df, c)).cast("string"),
         "variety": variety,
-        "negatives": lambda c: F.count_if(number(df, c) < 0) if c in numeric else F.max(none).cast("long"),
-        "mean": of_number(F.avg),
-        "sd": of_number(F.stddev_samp),
+        "negatives": lambda c: F.count_if(number(df, c) < 0) if c in numeric else F.lit(None).cast("long"),
+        "mean": lambda c: F.avg(number(df, c)) if c in numeric and outliers else none,
+        "sd": lambda c: F.stddev_samp(number(df, c)) if c in numeric and outliers else none,
     }
     row = wide(df, names, metrics)
-    if not outliers:
-        return tall(row, names, list(metrics))
-    fit = one_row(row)
-
-    def far(i: int, c: str) -> Column:
-        sd = F.col(f"_fit.{i}_sd")
-        z = F.abs((number(df, c) - F.col(f"_fit.{i}_mean")) / F.when(sd > 0, sd))
-        return F.count_if(z > limit)
-
-    numbered = [(i, c) for i, c in enumerate(names) if c in numeric]
-    fitted = df.withColumn("_fit", fit) if numbered else df
-    counts = fitted.agg(F.count(F.lit(1)).alias("_n"), *[far(i, c).alias(f"{i}_outliers") for i, c in numbered])
-    joined = counts.withColumn("_fit", fit).select(
-        "_fit.*",
-        *[
-            (F.col(f"{i}_outliers") if c in numeric else F.lit(None).cast("long")).alias(f"{i}_outliers")
-            for i, c in enumerate(names)
-        ],
+    listed = [*metrics]
+    if outliers:
+        fit = one_row(row)
+        numbered = [(i, c) for i, c in enumerate(names) if c in numeric]
+
+        def far(i: int, c: str) -> Column:
+            sd = F.col(f"_fit.{i}_sd")
+            z = F.abs((number(df, c) - F.col(f"_fit.{i}_mean")) / F.when(sd > 0, sd))
+            return F.count_if(z > limit)
+
+        fitted = df.withColumn("_fit", fit) if numbered else df
+        counts = fitted.agg(F.count(F.lit(1)).alias("_n"), *[far(i, c).alias(f"{i}_outliers") for i, c in numbered])
+        row = counts.withColumn("_fit", fit).select(
+            "_fit.*",
+            *[
+                (F.col(f"{i}_outliers") if c in numeric else F.lit(None).cast("long")).alias(f"{i}_outliers")
+                for i, c in enumerate(names)
+            ],
+        )
+        listed.append("outliers")
+    facts = tall(row, names, listed)
+    if not texts:
+        return facts.withColumn("distinct", F.lit(None).cast("long"))
+    values = (
+        value_freq(df, texts)
+        .groupBy("column")
+        .agg(F.count(F.lit(1)).alias("distinct"), F.min("value").alias("_lowest"))
     )
-    return tall(joined, names, [*metrics, "outliers"])
+    # one row per text column
+    joined = facts.join(F.broadcast(values), "column", "left")
+    seen = F.coalesce("distinct", F.lit(0))
+    return joined.withColumns(
+        {
+            "distinct": F.when(is_text, seen),
+            "variety": F.when(is_text, F.least(seen, F.lit(2))).otherwise(F.col("variety")),
+            "lowest": F.coalesce("_lowest", "lowest"),
+        }
+    ).drop("_lowest")
 
 
 def value_freq(df: DataFrame, columns: Sequence[str]) -> DataFrame:
