@@ -184,7 +184,7 @@ def cart_abandonment_rate(df: DataFrame, user: str, ts: str, cart: Column, bough
     )
 
 
-def views_before_purchase(df: DataFrame, user: str, ts: str, key: str, view: Column, bought: Column, chunk_seconds: int = 3600) -> DataFrame:
+def views_before_purchase(df: DataFrame, user: str, ts: str, key: str, view: Column, bought: Column, chunk_seconds: int = 600) -> DataFrame:
     """(user, purchase_no, views): views since the purchase before, for every purchase."""
     staged = df.select(
         user, key, micros(F.col(ts)).alias("_t"),

@@ -18,7 +18,7 @@ def asof_join(
     left_ts: str,
     right_ts: str,
     values: Sequence[str],
-    chunk_seconds: int = 3600,
+    chunk_seconds: int = 600,
 ) -> DataFrame:
     """Each left row with the values of the latest right row at or before it, null if none.
 

@@ -27,7 +27,7 @@ def value_bin(value: Column, steps: int = BIN_STEPS) -> Column:
     return F.when(value > 0, size).when(value < 0, -size).otherwise(F.lit(0)).cast("long")
 
 
-def _cut(df: DataFrame, keys: Sequence[str], chunk: Sequence[Column]) -> tuple[DataFrame, list[str]]:
+def cut(df: DataFrame, keys: Sequence[str], chunk: Sequence[Column]) -> tuple[DataFrame, list[str]]:
     """Add `_cut`, a struct of keys and chunk columns, and return the chunk names.
 
     One struct serves as window partition and as join key, so the rows are shuffled
@@ -46,6 +46,25 @@ def _earlier_chunks(keys: Sequence[str], names: Sequence[str]):
     )
 
 
+def chunk_starts(tagged: DataFrame, keys: Sequence[str], names: Sequence[str], sums: Sequence[str]) -> DataFrame:
+    """(_cut, _s_<c>): totals of all earlier chunks of the key, from map-side combined chunk totals."""
+    totals = tagged.groupBy("_cut").agg(*[F.sum(c).alias(f"_t_{c}") for c in sums])
+    before = _earlier_chunks(keys, names)
+    return totals.select(
+        "_cut",
+        *[F.coalesce(F.sum(f"_t_{c}").over(before), F.lit(0)).alias(f"_s_{c}") for c in sums],
+    )
+
+
+def add_totals(rows: DataFrame, starts: DataFrame, order: Sequence[Column], sums: Sequence[str], keep: Sequence[str]) -> DataFrame:
+    """`keep` and `<c>_upto` of rows that carry `_cut`: start of the chunk + running sum inside it."""
+    inside = Window.partitionBy("_cut").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    local = rows.select("*", *[F.sum(c).over(inside).alias(f"_l_{c}") for c in sums])
+    return local.join(starts, "_cut").select(
+        *keep, *[(F.col(f"_s_{c}") + F.col(f"_l_{c}")).alias(f"{c}_upto") for c in sums]
+    )
+
+
 def running_totals(
     df: DataFrame,
     keys: Sequence[str],
@@ -57,18 +76,8 @@ def running_totals(
 
     `chunk` must not decrease along `order`. Rows should be unique in (keys, order).
     """
-    tagged, names = _cut(df, keys, chunk)
-    totals = tagged.groupBy("_cut").agg(*[F.sum(c).alias(f"_t_{c}") for c in sums])
-    before = _earlier_chunks(keys, names)
-    starts = totals.select(
-        "_cut",
-        *[F.coalesce(F.sum(f"_t_{c}").over(before), F.lit(0)).alias(f"_s_{c}") for c in sums],
-    )
-    inside = Window.partitionBy("_cut").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    local = tagged.select("*", *[F.sum(c).over(inside).alias(f"_l_{c}") for c in sums])
-    return local.join(starts, "_cut").select(
-        *df.columns, *[(F.col(f"_s_{c}") + F.col(f"_l_{c}")).alias(f"{c}_upto") for c in sums]
-    )
+    tagged, names = cut(df, keys, chunk)
+    return add_totals(tagged, chunk_starts(tagged, keys, names, sums), order, sums, df.columns)
 
 
 def carry_last(
@@ -79,7 +88,7 @@ def carry_last(
     carried: str,
 ) -> DataFrame:
     """Add `<carried>_last`: the latest non-null `carried` at or before each row."""
-    tagged, names = _cut(df, keys, chunk)
+    tagged, names = cut(df, keys, chunk)
     tagged = tagged.withColumn("_order", F.struct(*order))
     ends = tagged.groupBy("_cut").agg(
         F.max_by(carried, F.when(F.col(carried).isNotNull(), F.col("_order"))).alias("_end")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablegauge.functions.math import micros
-from tablegauge.plans.ordered import running_totals
+from tablegauge.plans.ordered import add_totals, chunk_starts, cut, running_totals
 
 SECOND = 1_000_000
 HOUR = 3600 * SECOND
@@ -48,14 +48,14 @@ def trailing_counts(
     user: str,
     ts: str,
     windows: dict[str, tuple[int, Column | None]],
-    chunk_seconds: int = 3600,
+    chunk_seconds: int = 600,
 ) -> DataFrame:
     """(user, event_us, <name>...): rows of the user in the last N seconds, per event time.
 
     `windows` maps a column name to (seconds, test or None). A row at time t counts
     for event times in [t, t + seconds]: it enters as +1 at t and leaves as -1 just
     after t + seconds, so every count is one running total. The totals are built per
-    (user, hour), not per user.
+    (user, ten minutes), not per user.
     """
     t = micros(F.col(ts))
     hit = {n: (F.lit(1) if c is None else F.when(c, 1).otherwise(0)).cast("long") for n, (_, c) in windows.items()}
@@ -70,11 +70,15 @@ def trailing_counts(
 
     moves = [change(t, 1, None)] + [change(t + (s * SECOND + 1), -1, s) for s in spans]
     rows = df.select(user, F.inline(F.array(*moves)))
-    merged = rows.groupBy(user, "event_us").agg(
+    chunk = F.floor(F.col("event_us") / (chunk_seconds * SECOND))
+    tagged, names = cut(rows, [user], [chunk])
+    starts = chunk_starts(tagged, [user], names, list(windows))
+    # one shuffle by chunk serves the merge of equal times, the running sum and the join
+    merged = tagged.repartition("_cut").groupBy("_cut", "event_us").agg(
         F.sum("_real").alias("_real"), *[F.sum(n).alias(n) for n in windows]
     )
-    chunk = F.floor(F.col("event_us") / (chunk_seconds * SECOND))
-    totals = running_totals(merged, [user], [chunk], [F.col("event_us")], list(windows))
+    keep = [f"_cut.{user}", "event_us", "_real"]
+    totals = add_totals(merged, starts, [F.col("event_us")], list(windows), keep)
     return totals.filter(F.col("_real") > 0).select(
         user, "event_us", *[F.col(f"{n}_upto").alias(n) for n in windows]
     )
@@ -86,7 +90,7 @@ def trailing_frame_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str]
     return numbered.withColumn(name, F.least(F.col("position"), F.lit(rows + 1).cast("long"))).drop("position")
 
 
-def position(df: DataFrame, keys: Sequence[str], order: Sequence[str], descending: bool = False, chunk_seconds: int = 3600) -> DataFrame:
+def position(df: DataFrame, keys: Sequence[str], order: Sequence[str], descending: bool = False, chunk_seconds: int = 600) -> DataFrame:
     """Add `position`, the 1-based place of each row by (time, key) within `keys`.
 
     `order` is (time column, unique key). Rows are numbered per (keys, time chunk).
