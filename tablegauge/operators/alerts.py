@@ -101,8 +101,10 @@ def change_drivers(series: DataFrame, dim: str, top: int = 3, grain: str = "mont
     joined = joined.filter((F.col("period") > F.col("_span.a")) & (F.col("period") <= F.col("_span.b")))
     delta = F.coalesce("_now", F.lit(0.0)) - F.coalesce("_was", F.lit(0.0))
     moved = joined.select("period", dim, delta.alias("delta"))
-    total = F.sum("delta").over(Window.partitionBy("period"))
+    totals = moved.groupBy("period").agg(F.sum("delta").alias("_total"))
     place = F.row_number().over(Window.partitionBy("period").orderBy(F.abs("delta").desc(), F.col(dim).asc()))
-    return (
-        moved.withColumns({"share": ratio(F.col("delta"), total), "place": place}).filter(F.col("place") <= top)
+    # the rank filter stands alone, so it is applied before the shuffle as well
+    leaders = moved.withColumn("place", place).filter(F.col("place") <= top)
+    return leaders.join(totals, "period").select(
+        "period", dim, "delta", ratio(F.col("delta"), F.col("_total")).alias("share"), "place"
     )

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tablegauge.functions import fixed_values as V
 from tablegauge.functions.math import ratio
 from tablegauge.plans.facts import number
-from tablegauge.plans.joins import join_null_safe, one_row
+from tablegauge.plans.joins import join_fitted, join_null_safe, one_row
 from tablegauge.plans.quantiles import quantile_row, quantiles
 from tablegauge.sources import schema as S
 
@@ -141,8 +141,8 @@ def anomaly_sample(df: DataFrame, column: str, key: Sequence[str], method: str =
 def anomalies_grouped(df: DataFrame, column: str, group: Sequence[str], key: Sequence[str]) -> DataFrame:
     """Both methods with limits fitted per group.
 
-    The group statistics are aggregated and joined back, so one large group is spread
-    over all tasks of the scan instead of being a single window partition.
+    The group statistics are aggregated first and joined back, so a large group stays
+    spread over the tasks of the scan. Runs the jobs that fit them.
     """
     S.require_numeric(df, column)
     group = list(group)
@@ -155,7 +155,7 @@ def anomalies_grouped(df: DataFrame, column: str, group: Sequence[str], key: Seq
     fits = join_null_safe(stats, bounds, group)
     names = ("n", "mean", "sd_pop", "sd_samp", "q1", "q3")
     fits = fits.select(*group, F.struct(*names).alias("_fit"))
-    joined = join_null_safe(df, fits, group)
+    joined = join_fitted(df, fits, group)
     v = number(df, column)
     z, by_z, by_iqr = _flag_columns(v, lambda f: F.col(f"_fit.{f}"), V.Z_LIMIT, 1.5)
     off = F.lit(False)

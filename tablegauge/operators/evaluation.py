@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablegauge.functions.math import ratio, share_of_true
-from tablegauge.plans.joins import join_null_safe, one_row
+from tablegauge.plans.joins import join_fitted, join_null_safe, one_row
 from tablegauge.plans.ordered import running_totals, value_bin
 from tablegauge.plans.quantiles import quantile_row
 
@@ -127,7 +127,7 @@ def _distance2(a: Column, b: Column) -> Column:
 def cluster_metrics(df: DataFrame, vector: str, label: str) -> DataFrame:
     """inertia, calinski_harabasz, davies_bouldin for labelled vectors of equal length."""
     c = centroids(df, vector, label)
-    near = join_null_safe(df.select(label, vector), c, [label]).withColumn(
+    near = join_fitted(df.select(label, vector), c, [label]).withColumn(
         "_d2", _distance2(F.col(vector), F.col("centroid"))
     )
     spread = near.groupBy(label).agg(F.sum("_d2").alias("_w"), F.avg(F.sqrt("_d2")).alias("_s"))

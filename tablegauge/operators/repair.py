@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tablegauge.functions.math import ratio
 from tablegauge.operators.quality import check_constant
 from tablegauge.plans.facts import number
-from tablegauge.plans.joins import join_null_safe, one_row
+from tablegauge.plans.joins import join_fitted, one_row
 from tablegauge.plans.quantiles import quantile_row
 from tablegauge.sources import schema as S
 
@@ -101,7 +101,7 @@ def target_encode(
     sums = fit.groupBy(category).agg(
         F.sum(F.col(target).cast("double")).alias("_sum"), F.count(target).alias("_n")
     )
-    joined = join_null_safe(df, sums, [category], "left").withColumn("_all", overall)
+    joined = join_fitted(df, sums, [category], "left").withColumn("_all", overall)
     encoded = ratio(F.col("_sum") + F.col("_all") * smoothing, F.col("_n") + F.lit(smoothing))
     return joined.withColumn(f"{category}_encoded", F.coalesce(encoded, F.col("_all"))).drop("_sum", "_n", "_all")
 

@@ -12,7 +12,7 @@ from tablegauge.functions.math import percent, ratio
 from tablegauge.functions.text import has_any
 from tablegauge.operators import quality as Q
 from tablegauge.plans.facts import column_facts, null_count, per_column
-from tablegauge.plans.joins import join_null_safe, one_row
+from tablegauge.plans.joins import join_fitted, one_row
 from tablegauge.plans.quantiles import quantile_row
 from tablegauge.sources import schema as S
 
@@ -169,7 +169,7 @@ def balanced_class_weights(df: DataFrame, target: str) -> DataFrame:
     weights = counts.withColumn("_t", totals).select(
         target, ratio(F.col("_t.n"), F.col("_t.k") * F.col("_n")).alias("class_weight")
     )
-    return join_null_safe(df, weights, [target], "left")
+    return join_fitted(df, weights, [target], "left")
 
 
 def schema_check(actual: DataFrame, expected: DataFrame, keys=("column",)) -> DataFrame:

@@ -9,8 +9,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablegauge.functions import fixed_values as V
-from tablegauge.functions.math import ratio
+from tablegauge.functions.math import micros, ratio
 from tablegauge.functions.text import has_any, hits, labels_present
+from tablegauge.plans.joins import join_null_safe
+from tablegauge.plans.ordered import running_totals
 
 
 def classify_requests(df: DataFrame, text: str) -> DataFrame:
@@ -162,15 +164,24 @@ def section_completeness(df: DataFrame, text: str) -> DataFrame:
 
 
 def activity_metrics(df: DataFrame, scope: str, ts: str, actor: str, is_call: Column) -> DataFrame:
-    """(scope, calls, actors, place, actor): calls of the scope and its actors in first-seen order."""
-    per = df.groupBy(scope, actor).agg(F.min(ts).alias("_first"), F.count_if(is_call).alias("_calls"))
-    whole = Window.partitionBy(scope)
-    return per.select(
-        scope,
-        F.sum("_calls").over(whole).alias("calls"),
-        F.count(F.lit(1)).over(whole).alias("actors"),
-        F.row_number().over(whole.orderBy("_first", actor)).alias("place"),
-        actor,
+    """(scope, calls, actors, place, actor): calls of the scope and its actors in first-seen order.
+
+    Events are first counted per scope and actor; the places are running totals per
+    scope and minute, so a scope with very many actors is not one task.
+    """
+    per = df.groupBy(scope, actor).agg(
+        F.min(micros(F.col(ts))).alias("_first"), F.count_if(is_call).alias("_calls")
+    )
+    whole = per.groupBy(scope).agg(F.sum("_calls").alias("calls"), F.count(F.lit(1)).alias("actors"))
+    placed = running_totals(
+        per.withColumn("_one", F.lit(1).cast("long")),
+        [scope],
+        [F.floor(F.col("_first") / 60_000_000)],
+        [F.col("_first"), F.col(actor)],
+        ["_one"],
+    )
+    return join_null_safe(placed, whole, [scope]).select(
+        scope, "calls", "actors", F.col("_one_upto").alias("place"), actor
     )
 
 

@@ -8,6 +8,11 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tablegauge.session import keep
+
+# a fitted table of more rows than this is joined by shuffle
+BROADCAST_ROWS = 200_000
+
 
 def join_null_safe(
     left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner", small: bool = False
@@ -26,6 +31,19 @@ def join_null_safe(
     return left.join(renamed, cond, how).drop(*[f"_r_{k}" for k in keys])
 
 
+def join_fitted(
+    df: DataFrame, fitted: DataFrame, keys: Sequence[str], how: str = "inner", limit: int = BROADCAST_ROWS
+) -> DataFrame:
+    """Join a large table with statistics fitted per key, without shuffling it if they are few.
+
+    Runs one job: the statistics are written to the shared folder and counted. Up to
+    `limit` rows they are broadcast; beyond it the join is a shuffle join, where
+    adaptive execution splits a key that holds many rows.
+    """
+    kept = keep(fitted)
+    return join_null_safe(df, kept, keys, how, small=kept.limit(limit + 1).count() <= limit)
+
+
 def one_row(df: DataFrame):
     """The single row of `df` as a struct column for use in another table's expressions.
 

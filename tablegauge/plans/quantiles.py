@@ -12,8 +12,9 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablegauge.plans.joins import join_null_safe, one_row
+from tablegauge.plans.joins import BROADCAST_ROWS, join_null_safe, one_row
 from tablegauge.plans.ordered import value_bin
+from tablegauge.session import keep
 
 
 def quantiles(
@@ -27,7 +28,8 @@ def quantiles(
     """Rows (group..., column, prob, quantile). Null and NaN are left out.
 
     `interpolate` gives the linear form (percentile_cont), otherwise the smallest
-    value whose cumulative share reaches prob (percentile_disc).
+    value whose cumulative share reaches prob (percentile_disc). With `group` one job
+    runs to find the bins.
     """
     group = list(group)
     by = [*group, "column"]
@@ -64,15 +66,19 @@ def quantiles(
             F.collect_list(F.struct("prob", "_pos", "_k0", "_k1")).alias("_want"),
         )
     )
-    # without groups there are at most 2 bins per column and probability
+    # without groups there are at most 2 bins per column and probability; with groups
+    # the bins are written and counted before they may be broadcast
+    if group:
+        hits = keep(hits)
+    few = not group or hits.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     inside = (
-        join_null_safe(long, hits.select(*by, "_bin"), [*by, "_bin"], small=not group)
+        join_null_safe(long, hits.select(*by, "_bin"), [*by, "_bin"], small=few)
         .groupBy(*by, "_bin", "_value")
         .agg(F.count(F.lit(1)).alias("_rows"))
     )
     climb = Window.partitionBy(*by, "_bin").orderBy("_value").rowsBetween(Window.unboundedPreceding, 0)
     spans = (
-        join_null_safe(inside, hits, [*by, "_bin"], small=not group)
+        join_null_safe(inside, hits, [*by, "_bin"], small=few)
         .withColumn("_end", F.col("_start") + F.sum("_rows").over(climb))
         .withColumn("_begin", F.col("_end") - F.col("_rows"))
         .select(*by, "_value", "_begin", "_end", F.inline("_want"))

@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def prepare(spark: SparkSession) -> SparkSession:
@@ -30,6 +30,14 @@ def shared_folder(spark: SparkSession) -> str:
     return named
 
 
+def keep(df: DataFrame) -> DataFrame:
+    """Write a small intermediate to the shared checkpoint folder and go on from there."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared_folder(df.sparkSession))
+    return df.checkpoint()
+
+
 def new_folder(spark: SparkSession, label: str) -> str:
     """A fresh, unused path below the shared folder."""
     return f"{shared_folder(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
