@@ -152,14 +152,14 @@ def value_freq(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def row_freq(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """Identical rows counted once, nulls equal. Column `n` holds the copies."""
+    """Identical rows counted once, nulls equal. Column `_copies` holds the count."""
     names = list(columns or df.columns)
-    return df.groupBy(*[F.col(f"`{c}`") for c in names]).agg(F.count(F.lit(1)).alias("n"))
+    return df.groupBy(*[F.col(f"`{c}`") for c in names]).agg(F.count(F.lit(1)).alias("_copies"))
 
 
 def repeats(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """One row: n_rows and duplicate_rows, the rows that repeat an earlier one."""
     return row_freq(df, columns).agg(
-        F.coalesce(F.sum("n"), F.lit(0)).alias("n_rows"),
-        F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("duplicate_rows"),
+        F.coalesce(F.sum("_copies"), F.lit(0)).alias("n_rows"),
+        F.coalesce(F.sum(F.col("_copies") - 1), F.lit(0)).alias("duplicate_rows"),
     )

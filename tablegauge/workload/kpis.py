@@ -24,7 +24,9 @@ def printed(inner: str, value: str = "round(value, 4) AS value", with_sql: str =
 
 
 ERR = "event_type = 'error'"
-error = F.col("event_type") == "error"
+def failed():
+    return F.col("event_type") == "error"
+
 
 
 @query(
@@ -145,7 +147,7 @@ def _(t):
 
 @query("h12_failed_transaction_rate", printed(series_sql("events", "day", "ts", f"avg(CASE WHEN {ERR} THEN 1.0 ELSE 0.0 END)")))
 def _(t):
-    return plain(K.status_rate(t.events, error, "ts", "day"))
+    return plain(K.status_rate(t.events, failed(), "ts", "day"))
 
 
 @query("h13_average_transaction_amount", printed(series_sql("orders", "month", "o_orderdate", "sum(o_totalprice) / count(o_orderkey)")))
@@ -163,7 +165,7 @@ def _(t):
 
 @query("h15_failed_event_rate", printed(series_sql("events", "hour", "ts", f"avg(CASE WHEN {ERR} THEN 1.0 ELSE 0.0 END)")))
 def _(t):
-    return plain(K.status_rate(t.events, error, "ts", "hour"))
+    return plain(K.status_rate(t.events, failed(), "ts", "hour"))
 
 
 @query("h16_daily_active_users", printed(series_sql("events", "day", "ts", "count(DISTINCT user_id)"), "value"))
@@ -262,7 +264,7 @@ def _(t):
     f"WITH s AS ({series_sql('events', 'hour', 'ts', f'avg(CASE WHEN {ERR} THEN 1.0 ELSE 0.0 END)')}) SELECT {show()}, round(value, 4) AS value FROM s WHERE value > 0.05",
 )
 def _(t):
-    return plain(A.alert_level(K.status_rate(t.events, error, "ts", "hour"), above=0.05))
+    return plain(A.alert_level(K.status_rate(t.events, failed(), "ts", "hour"), above=0.05))
 
 
 @query(

@@ -312,8 +312,9 @@ family(
 family(
     "g19_json",
     "events",
-    "SELECT CAST(get_json_object(props, '$.k') AS BIGINT) AS k, count(*) AS n, round(avg(value), 4) AS v FROM events GROUP BY 1",
-    "SELECT CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, count(*) AS n, round(avg(value), 4) AS v FROM events GROUP BY 1",
+    "SELECT CAST(get_json_object(props, '$.k') AS BIGINT) AS k, count(*) AS n, round(avg(value), 6) AS v FROM events GROUP BY 1",
+    "SELECT CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, count(*) AS n, round(avg(value), 6) AS v FROM events GROUP BY 1",
+    6,
 )
 
 
