@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 from tablegauge.functions import fixed_values as V
 from tablegauge.functions.math import percent
 from tablegauge.functions.text import first_match, has_any
-from tablegauge.plans.facts import null_count, number, per_column, repeats, row_freq, value_freq, wide
-from tablegauge.plans.joins import one_row
+from tablegauge.plans.facts import (
+    known_sql, null_count, number, number_sql, per_column, repeats, text_literal, value_freq, wide,
+)
 from tablegauge.plans.quantiles import quantile_row
 from tablegauge.sources import schema as S
 
@@ -47,14 +48,15 @@ def duplicate_row_count(df: DataFrame, columns: Sequence[str] | None = None) ->
 
 def numeric_stats(df: DataFrame) -> DataFrame:
     """(column, min, max, mean, std, nulls) per numeric column; std is the sample form."""
+    number = lambda c: number_sql(df, c)
     return per_column(
         df,
         S.numeric_columns(df),
         {
-            "min": lambda c: F.min(number(df, c)),
-            "max": lambda c: F.max(number(df, c)),
-            "mean": lambda c: F.round(F.avg(number(df, c)), 4),
-            "std": lambda c: F.round(F.stddev_samp(number(df, c)), 4),
+            "min": lambda c: f"min({number(c)})",
+            "max": lambda c: f"max({number(c)})",
+            "mean": lambda c: f"round(avg({number(c)}), 4)",
+            "std": lambda c: f"round(stddev_samp({number(c)}), 4)",
             "nulls": null_count(df),
         },
     ).drop("ordinal", "n_rows")
@@ -71,38 +73,29 @@ def profile_table(df: DataFrame) -> DataFrame:
     Table-level metrics carry the column name "*".
     """
     numeric = set(S.numeric_columns(df))
-    none = F.lit(None).cast("double")
-    as_number = lambda fn: (lambda c: fn(number(df, c)) if c in numeric else F.first(none))
+    of_number = lambda text: (lambda c: text.format(number_sql(df, c)) if c in numeric else "CAST(NULL AS DOUBLE)")
     metrics = {
-        "nulls": lambda c: null_count(df)(c).cast("double"),
-        "min": as_number(F.min),
-        "max": as_number(F.max),
-        "mean": as_number(lambda v: F.round(F.avg(v), 4)),
-        "std": as_number(lambda v: F.round(F.stddev_samp(v), 4)),
+        "nulls": lambda c: f"CAST({null_count(df)(c)} AS DOUBLE)",
+        "min": of_number("min({})"),
+        "max": of_number("max({})"),
+        "mean": of_number("round(avg({}), 4)"),
+        "std": of_number("round(stddev_samp({}), 4)"),
     }
     row = wide(df, df.columns, metrics)
-    cells = reduce(lambda a, b: a + b, [F.col(f"{i}_nulls") for i in range(len(df.columns))])
+    cells = " + ".join(f"`{i}_nulls`" for i in range(len(df.columns)))
     named = [
-        ("*", "rows", F.col("n_rows").cast("double")),
-        ("*", "columns", F.lit(float(len(df.columns)))),
-        ("*", "missing_cells", cells),
-        ("*", "missing_percent", percent(cells, F.col("n_rows") * len(df.columns))),
+        ("*", "rows", "CAST(n_rows AS DOUBLE)"),
+        ("*", "columns", f"{len(df.columns)}D"),
+        ("*", "missing_cells", f"({cells})"),
+        ("*", "missing_percent", f"round(try_divide({cells}, CAST(n_rows AS DOUBLE) * {len(df.columns)}) * 100, 2)"),
     ] + [
-        (c, m, F.col(f"{i}_{m}"))
+        (c, m, f"`{i}_{m}`")
         for i, c in enumerate(df.columns)
         for m in metrics
         if m == "nulls" or c in numeric
     ]
-    facts = row.select(
-        F.inline(
-            F.array(
-                *[
-                    F.struct(F.lit(c).alias("column"), F.lit(m).alias("metric"), v.alias("value"))
-                    for c, m, v in named
-                ]
-            )
-        )
-    )
+    structs = [f"named_struct('column', {text_literal(c)}, 'metric', '{m}', 'value', {v})" for c, m, v in named]
+    facts = row.selectExpr(f"inline(array({', '.join(structs)}))")
     copies = repeats(df).select(
         F.lit("*").alias("column"),
         F.lit("duplicate_rows").alias("metric"),
@@ -139,9 +132,9 @@ def distinct_counts(df: DataFrame, columns: Sequence[str] | None = None, exact:
     names = list(columns or [c for c in df.columns if S.kind(df.schema[c].dataType) != "other"])
     if not exact:
         return per_column(
-            df, names, {"distinct_values": lambda c: F.approx_count_distinct(S.known(df, c))}
+            df, names, {"distinct_values": lambda c: f"approx_count_distinct({known_sql(df, c)})"}
         ).select("column", "distinct_values")
-    present = per_column(df, names, {"filled": lambda c: F.count(S.known(df, c))}).select("column")
+    present = per_column(df, names, {"filled": lambda c: f"count({known_sql(df, c)})"}).select("column")
     counted = value_freq(df, names).groupBy("column").agg(F.count(F.lit(1)).alias("distinct_values"))
     return present.join(F.broadcast(counted), "column", "left").select(
         "column", F.coalesce("distinct_values", F.lit(0)).alias("distinct_values")

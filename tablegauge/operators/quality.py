@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tablegauge.functions import fixed_values as V
 from tablegauge.functions.math import percent
-from tablegauge.plans.facts import column_facts, null_count, number, per_column, repeats, value_freq, wide
+from tablegauge.plans.facts import column_facts, null_count, number_sql, per_column, repeats, value_freq, wide
 from tablegauge.sources import schema as S
 
 ISSUE = ("check", "column", "severity", "affected", "pct", "detail", "fix")
@@ -131,7 +131,7 @@ def check_high_cardinality(
 def check_negative_in_positive(df: DataFrame) -> DataFrame:
     """Negative values in numeric columns whose name says they should be positive."""
     names = [c for c in S.numeric_columns(df) if any(w in c.lower() for w in V.POSITIVE_NAME_WORDS)]
-    facts = per_column(df, names, {"negatives": lambda c: F.count_if(number(df, c) < 0)})
+    facts = per_column(df, names, {"negatives": lambda c: f"count_if({number_sql(df, c)} < 0)"})
     return issues_where(facts, negative_issue())
 
 

@@ -1,7 +1,8 @@
 """Per-column facts in one scan, value frequencies in one shuffle, repeated rows.
 
 Wide aggregates keep a scan at one row per input row; unpivoting first would
-multiply the rows by the column count.
+multiply the rows by the column count. Metrics are SQL text, so a table of many
+columns is planned from one list of strings instead of many small calls.
 """
 
 from __future__ import annotations
@@ -14,48 +15,58 @@ from pyspark.sql import functions as F
 from tablegauge.plans.joins import one_row
 from tablegauge.sources import schema as S
 
+Metric = Callable[[str], str]
 
-def wide(df: DataFrame, columns: Sequence[str], metrics: dict[str, Callable[[str], Column]]) -> DataFrame:
+
+def text_literal(value: str) -> str:
+    escaped = value.replace("\\", "\\\\").replace("'", "\\'")
+    return f"'{escaped}'"
+
+
+def wide(df: DataFrame, columns: Sequence[str], metrics: dict[str, Metric]) -> DataFrame:
     """One row: n_rows and `<i>_<metric>` for every column position i."""
-    return df.agg(
-        F.count(F.lit(1)).alias("n_rows"),
-        *[fn(c).alias(f"{i}_{m}") for i, c in enumerate(columns) for m, fn in metrics.items()],
+    return df.selectExpr(
+        "count(1) AS n_rows",
+        *[f"{fn(c)} AS `{i}_{m}`" for i, c in enumerate(columns) for m, fn in metrics.items()],
     )
 
 
 def tall(row: DataFrame, columns: Sequence[str], metrics: Sequence[str]) -> DataFrame:
     """Turn the wide row into one row per column: ordinal, column, n_rows, metrics."""
     if not columns:
-        return row.select(
-            F.lit(0).alias("ordinal"),
-            F.lit("").alias("column"),
-            "n_rows",
-            *[F.lit(None).cast("double").alias(m) for m in metrics],
-        ).filter(F.lit(False))
-    return row.select(
-        F.inline(
-            F.array(
-                *[
-                    F.struct(
-                        F.lit(i).alias("ordinal"),
-                        F.lit(c).alias("column"),
-                        F.col("n_rows").alias("n_rows"),
-                        *[F.col(f"{i}_{m}").alias(m) for m in metrics],
-                    )
-                    for i, c in enumerate(columns)
-                ]
-            )
-        )
-    )
-
-
-def per_column(df: DataFrame, columns: Sequence[str], metrics: dict[str, Callable[[str], Column]]) -> DataFrame:
+        nothing = [f"CAST(NULL AS DOUBLE) AS `{m}`" for m in metrics]
+        return row.selectExpr("0 AS ordinal", "'' AS column", "n_rows", *nothing).filter(F.lit(False))
+    structs = [
+        f"named_struct('ordinal', {i}, 'column', {text_literal(c)}, 'n_rows', n_rows, "
+        + ", ".join(f"'{m}', `{i}_{m}`" for m in metrics)
+        + ")"
+        for i, c in enumerate(columns)
+    ]
+    return row.selectExpr(f"inline(array({', '.join(structs)}))")
+
+
+def per_column(df: DataFrame, columns: Sequence[str], metrics: dict[str, Metric]) -> DataFrame:
     """One scan, one output row per column."""
     return tall(wide(df, columns, metrics), columns, list(metrics))
 
 
-def null_count(df: DataFrame) -> Callable[[str], Column]:
-    return lambda c: F.count_if(S.missing(df, c))
+def quoted(c: str) -> str:
+    return "`" + c.replace("`", "``") + "`"
+
+
+def known_sql(df: DataFrame, c: str) -> str:
+    """The value with NaN as null."""
+    if S.is_floating(df.schema[c].dataType):
+        return f"CASE WHEN NOT isnan({quoted(c)}) THEN {quoted(c)} END"
+    return quoted(c)
+
+
+def number_sql(df: DataFrame, c: str) -> str:
+    return f"CAST({known_sql(df, c)} AS DOUBLE)"
+
+
+def null_count(df: DataFrame) -> Metric:
+    return lambda c: f"count_if({known_sql(df, c)} IS NULL)"
 
 
 def number(df: DataFrame, c: str) -> Column:
@@ -79,43 +90,40 @@ def column_facts(
     scalar subquery used twice, so it is computed once.
     """
     names = [c for c in df.columns if S.kind(df.schema[c].dataType) != "other"]
-    texts = [c for c in names if c in S.text_columns(df, temporal_as_string)]
+    texts = [c for c in names if c in set(S.text_columns(df, temporal_as_string))]
     numeric = set(S.numeric_columns(df))
-    none = F.lit(None).cast("double")
-    is_text = F.col("column").isin(*texts) if texts else F.lit(False)
+    none = "CAST(NULL AS DOUBLE)"
 
-    def variety(c: str) -> Column:
-        if c in texts:
-            return F.lit(0)
-        v = S.known(df, c)
-        return F.when(F.count(v) == 0, 0).when(F.min(v).eqNullSafe(F.max(v)), 1).otherwise(2)
+    def variety(c: str) -> str:
+        v = known_sql(df, c)
+        return "0" if c in texts else f"CASE WHEN count({v}) = 0 THEN 0 WHEN min({v}) = max({v}) THEN 1 ELSE 2 END"
 
     # only the metrics a column can have are aggregated; the others are constants
-    metrics = {
+    fitted = numeric if outliers else set()
+    metrics: dict[str, Metric] = {
         "nulls": null_count(df),
-        "lowest": lambda c: F.lit(None).cast("string") if c in texts else F.min(S.known(df, c)).cast("string"),
+        "lowest": lambda c: "CAST(NULL AS STRING)" if c in texts else f"CAST(min({known_sql(df, c)}) AS STRING)",
         "variety": variety,
-        "negatives": lambda c: F.count_if(number(df, c) < 0) if c in numeric else F.lit(None).cast("long"),
-        "mean": lambda c: F.avg(number(df, c)) if c in numeric and outliers else none,
-        "sd": lambda c: F.stddev_samp(number(df, c)) if c in numeric and outliers else none,
+        "negatives": lambda c: f"count_if({number_sql(df, c)} < 0)" if c in numeric else "CAST(NULL AS BIGINT)",
+        "mean": lambda c: f"avg({number_sql(df, c)})" if c in fitted else none,
+        "sd": lambda c: f"stddev_samp({number_sql(df, c)})" if c in fitted else none,
     }
     row = wide(df, names, metrics)
     listed = [*metrics]
     if outliers:
         fit = one_row(row)
-        numbered = [(i, c) for i, c in enumerate(names) if c in numeric]
-
-        def far(i: int, c: str) -> Column:
-            sd = F.col(f"_fit.{i}_sd")
-            z = F.abs((number(df, c) - F.col(f"_fit.{i}_mean")) / F.when(sd > 0, sd))
-            return F.count_if(z > limit)
-
-        fitted = df.withColumn("_fit", fit) if numbered else df
-        counts = fitted.agg(F.count(F.lit(1)).alias("_n"), *[far(i, c).alias(f"{i}_outliers") for i, c in numbered])
-        row = counts.withColumn("_fit", fit).select(
+        counts = (df.withColumn("_fit", fit) if numeric else df).selectExpr(
+            "count(1) AS _n",
+            *[
+                f"count_if(abs(({number_sql(df, c)} - _fit.`{i}_mean`) / nullif(_fit.`{i}_sd`, 0D)) > {limit}D) AS `{i}_outliers`"
+                for i, c in enumerate(names)
+                if c in numeric
+            ],
+        )
+        row = counts.withColumn("_fit", fit).selectExpr(
             "_fit.*",
             *[
-                (F.col(f"{i}_outliers") if c in numeric else F.lit(None).cast("long")).alias(f"{i}_outliers")
+                f"`{i}_outliers`" if c in numeric else f"CAST(NULL AS BIGINT) AS `{i}_outliers`"
                 for i, c in enumerate(names)
             ],
         )
@@ -123,13 +131,12 @@ def column_facts(
     facts = tall(row, names, listed)
     if not texts:
         return facts.withColumn("distinct", F.lit(None).cast("long"))
-    values = (
-        value_freq(df, texts)
-        .groupBy("column")
-        .agg(F.count(F.lit(1)).alias("distinct"), F.min("value").alias("_lowest"))
+    values = value_freq(df, texts).groupBy("column").agg(
+        F.count(F.lit(1)).alias("distinct"), F.min("value").alias("_lowest")
     )
     # one row per text column
     joined = facts.join(F.broadcast(values), "column", "left")
+    is_text = F.col("column").isin(*texts)
     seen = F.coalesce("distinct", F.lit(0))
     return joined.withColumns(
         {
@@ -142,7 +149,7 @@ def column_facts(
 
 def value_freq(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(column, value as text, n) over the non-missing cells of the given columns."""
-    shaped = df.select(*[S.known(df, c).cast("string").alias(c) for c in columns])
+    shaped = df.selectExpr(*[f"CAST({known_sql(df, c)} AS STRING) AS {quoted(c)}" for c in columns])
     return (
         shaped.unpivot([], list(columns), "column", "value")
         .filter(F.col("value").isNotNull())
