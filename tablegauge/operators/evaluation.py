@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tablegauge.functions.math import ratio, share_of_true
 from tablegauge.plans.joins import join_fitted, join_null_safe, one_row
-from tablegauge.plans.ordered import running_totals, value_bin
+from tablegauge.plans.ordered import ordered_totals, running_totals, value_bin
 from tablegauge.plans.quantiles import quantile_row
 
 # centroids are held in one row per table; more clusters than this are refused
@@ -213,16 +213,15 @@ def ranking_at_k(df: DataFrame, user: str, item: str, score: str, relevance: str
 def mrr_map(df: DataFrame, user: str, item: str, score: str, relevance: str) -> DataFrame:
     """mrr and map over users with a relevant item, from the full ranking of every user.
 
-    Places are running totals per (user, score bin), so a user with very many rows
-    is not one task.
+    `item` is an integer and breaks ties. Places are running totals per (user, score
+    bin) with equal scores counted first, so neither a user with very many rows nor a
+    score that many items share is one task.
     """
     staged = df.select(
         user, item, (-F.col(score).cast("double")).alias("_down"), F.lit(1).cast("long").alias("_one"),
         (F.col(relevance) > 0).cast("long").alias("_rel"),
     )
-    placed = running_totals(
-        staged, [user], [value_bin(F.col("_down"))], [F.col("_down"), F.col(item)], ["_one", "_rel"]
-    )
+    placed = ordered_totals(staged, [user], "_down", item, ["_one", "_rel"])
     per = placed.filter(F.col("_rel") == 1).groupBy(user).agg(
         F.max(1 / F.col("_one_upto")).alias("_rr"), F.avg(F.col("_rel_upto") / F.col("_one_upto")).alias("_ap")
     )

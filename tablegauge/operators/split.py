@@ -43,7 +43,7 @@ def stratified_split(df: DataFrame, target: str, key: str, train_share: float =
     Rows are numbered within (class, digest prefix), so one large class is spread out.
     """
     digest = df.withColumns({"_d": F.md5(F.col(key).cast("string")), "_one": F.lit(1).cast("long")})
-    ranked = running_totals(digest, [target], [F.substring("_d", 1, 3)], [F.col("_d"), F.col(key)], ["_one"])
+    ranked = running_totals(digest, [target], [F.substring("_d", 1, 4)], [F.col("_d"), F.col(key)], ["_one"])
     sizes = df.groupBy(target).agg(F.count(F.lit(1)).alias("_n"))
     joined = join_null_safe(ranked, sizes, [target])
     inside = F.col("_one_upto") <= F.floor(F.round(F.col("_n") * F.lit(train_share), 6))

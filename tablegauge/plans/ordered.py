@@ -102,34 +102,45 @@ def carry_last(
     )
 
 
-def rank_rows(
+def ordered_totals(
     df: DataFrame,
+    keys: Sequence[str],
     value: str,
     tiebreak: str,
-    keys: Sequence[str] = (),
+    sums: Sequence[str],
     tie_block: int = 65536,
     bin_of=value_bin,
 ) -> DataFrame:
-    """Add `row_rank`, the 1-based position by (value, tiebreak) within `keys`.
+    """Add `<c>_upto`, running totals by (value, tiebreak) within `keys`.
 
-    Equal values are first counted as one, so a value shared by a third of all
-    rows costs no more than any other; its rows are then numbered in blocks of
-    the integer tiebreak.
+    Equal values are first summed as one row, so a value shared by a third of all
+    rows costs no more than any other; its rows are then added up in blocks of the
+    integer tiebreak.
     """
     keys = list(keys)
-    counts = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
-    placed = running_totals(counts, keys, [bin_of(F.col(value))], [F.col(value)], ["_n"])
-    below = placed.select(*keys, value, (F.col("_n_upto") - F.col("_n")).alias("_below"))
-    ones = df.withColumn("_one", F.lit(1).cast("long"))
+    per_value = df.groupBy(*keys, value).agg(*[F.sum(c).alias(f"_v_{c}") for c in sums])
+    placed = running_totals(
+        per_value, keys, [bin_of(F.col(value))], [F.col(value)], [f"_v_{c}" for c in sums]
+    )
+    below = placed.select(
+        *keys, value, *[(F.col(f"_v_{c}_upto") - F.col(f"_v_{c}")).alias(f"_below_{c}") for c in sums]
+    )
     within = running_totals(
-        ones,
-        [*keys, value],
-        [F.floor(F.col(tiebreak) / F.lit(tie_block))],
-        [F.col(tiebreak)],
-        ["_one"],
+        df, [*keys, value], [F.floor(F.col(tiebreak) / F.lit(tie_block))], [F.col(tiebreak)], sums
     )
     joined = join_null_safe(within, below, [*keys, value])
-    return joined.select(*df.columns, (F.col("_below") + F.col("_one_upto")).alias("row_rank"))
+    return joined.select(
+        *df.columns, *[(F.col(f"_below_{c}") + F.col(f"{c}_upto")).alias(f"{c}_upto") for c in sums]
+    )
+
+
+def rank_rows(
+    df: DataFrame, value: str, tiebreak: str, keys: Sequence[str] = (), tie_block: int = 65536, bin_of=value_bin
+) -> DataFrame:
+    """Add `row_rank`, the 1-based position by (value, tiebreak) within `keys`."""
+    ones = df.withColumn("_one", F.lit(1).cast("long"))
+    out = ordered_totals(ones, keys, value, tiebreak, ["_one"], tie_block, bin_of)
+    return out.select(*df.columns, F.col("_one_upto").alias("row_rank"))
 
 
 def ntile_of(rank: Column, n: Column, tiles: int) -> Column:

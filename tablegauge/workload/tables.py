@@ -37,9 +37,18 @@ def _(t):
     )
 
 
-@query("a3_list_datasets")
+# the listing is metadata; the rows of each listed file are counted next to it
+@query(
+    "a3_list_datasets",
+    " UNION ALL ".join(f"SELECT '{n}.parquet' AS dataset, true AS has_bytes, count(*) AS n_rows FROM {n}" for n in NAMES),
+)
 def _(t):
-    return io.list_datasets(t.spark, t.folder, "*.parquet")
+    listed = io.list_datasets(t.spark, t.folder, "*.parquet")
+    counts = None
+    for n in NAMES:
+        one = getattr(t, n).agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(f"{n}.parquet").alias("dataset"), "n_rows")
+        counts = one if counts is None else counts.unionByName(one)
+    return counts.join(F.broadcast(listed), "dataset").select("dataset", (F.col("bytes") > 0).alias("has_bytes"), "n_rows")
 
 
 # the columns table itself is schema-only; the row count of each table is joined to it
