@@ -1,19 +1,24 @@
-"""Running totals and ranks that do not put one key's rows into one task.
+"""Running totals and ranks that do not put a busy key's rows into one task.
 
 A plain window over `partitionBy(key).orderBy(t)` sends every row of a key to one
-task. Here each key is cut into chunks that follow the sort order. Chunk totals
+task, which is right for keys of ordinary size. Keys with more than BUSY_ROWS rows
+are counted out first and cut into chunks that follow the sort order: chunk totals
 are summed with partial aggregation, a short window over the totals gives every
 chunk its starting value, and only the rows of one chunk are sorted together.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablegauge.plans.joins import join_null_safe
+from tablegauge.session import keep
+
+# a key with more rows than this is cut into chunks
+BUSY_ROWS = 2_000_000
 
 # Steps per factor e of magnitude: a bin is about 0.025 % wide at any scale.
 BIN_STEPS = 4096
@@ -27,6 +32,28 @@ def value_bin(value: Column, steps: int = BIN_STEPS) -> Column:
     return F.when(value > 0, size).when(value < 0, -size).otherwise(F.lit(0)).cast("long")
 
 
+def by_load(
+    df: DataFrame,
+    keys: Sequence[str],
+    plain: Callable[[DataFrame], DataFrame],
+    chunked: Callable[[DataFrame], DataFrame],
+) -> DataFrame:
+    """`plain` for keys of ordinary size and `chunked` for busy ones, together.
+
+    Runs one job that counts rows per key. The busy keys are at most rows / BUSY_ROWS,
+    which bounds the broadcast that parts the two sides.
+    """
+    if not keys:
+        return chunked(df)
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
+    busy = keep(counts.filter(F.col("_rows") > BUSY_ROWS).select(*keys))
+    if busy.isEmpty():
+        return plain(df)
+    calm = join_null_safe(df, busy, keys, "left_anti", small=True)
+    loud = join_null_safe(df, busy, keys, "left_semi", small=True)
+    return plain(calm).unionByName(chunked(loud))
+
+
 def cut(df: DataFrame, keys: Sequence[str], chunk: Sequence[Column]) -> tuple[DataFrame, list[str]]:
     """Add `_cut`, a struct of keys and chunk columns, and return the chunk names.
 
@@ -76,8 +103,16 @@ def running_totals(
 
     `chunk` must not decrease along `order`. Rows should be unique in (keys, order).
     """
-    tagged, names = cut(df, keys, chunk)
-    return add_totals(tagged, chunk_starts(tagged, keys, names, sums), order, sums, df.columns)
+
+    def plain(part: DataFrame) -> DataFrame:
+        w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        return part.select("*", *[F.sum(c).over(w).alias(f"{c}_upto") for c in sums])
+
+    def chunked(part: DataFrame) -> DataFrame:
+        tagged, names = cut(part, keys, chunk)
+        return add_totals(tagged, chunk_starts(tagged, keys, names, sums), order, sums, df.columns)
+
+    return by_load(df, keys, plain, chunked)
 
 
 def carry_last(
@@ -88,18 +123,26 @@ def carry_last(
     carried: str,
 ) -> DataFrame:
     """Add `<carried>_last`: the latest non-null `carried` at or before each row."""
-    tagged, names = cut(df, keys, chunk)
-    tagged = tagged.withColumn("_order", F.struct(*order))
-    ends = tagged.groupBy("_cut").agg(
-        F.max_by(carried, F.when(F.col(carried).isNotNull(), F.col("_order"))).alias("_end")
-    )
-    before = _earlier_chunks(keys, names)
-    starts = ends.select("_cut", F.last("_end", ignorenulls=True).over(before).alias("_from"))
-    inside = Window.partitionBy("_cut").orderBy("_order").rowsBetween(Window.unboundedPreceding, 0)
-    local = tagged.withColumn("_here", F.last(carried, ignorenulls=True).over(inside))
-    return local.join(starts, "_cut").select(
-        *df.columns, F.coalesce("_here", "_from").alias(f"{carried}_last")
-    )
+
+    def plain(part: DataFrame) -> DataFrame:
+        w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        return part.withColumn(f"{carried}_last", F.last(carried, ignorenulls=True).over(w))
+
+    def chunked(part: DataFrame) -> DataFrame:
+        tagged, names = cut(part, keys, chunk)
+        tagged = tagged.withColumn("_order", F.struct(*order))
+        ends = tagged.groupBy("_cut").agg(
+            F.max_by(carried, F.when(F.col(carried).isNotNull(), F.col("_order"))).alias("_end")
+        )
+        before = _earlier_chunks(keys, names)
+        starts = ends.select("_cut", F.last("_end", ignorenulls=True).over(before).alias("_from"))
+        inside = Window.partitionBy("_cut").orderBy("_order").rowsBetween(Window.unboundedPreceding, 0)
+        local = tagged.withColumn("_here", F.last(carried, ignorenulls=True).over(inside))
+        return local.join(starts, "_cut").select(
+            *df.columns, F.coalesce("_here", "_from").alias(f"{carried}_last")
+        )
+
+    return by_load(df, keys, plain, chunked)
 
 
 def ordered_totals(
@@ -118,20 +161,28 @@ def ordered_totals(
     integer tiebreak.
     """
     keys = list(keys)
-    per_value = df.groupBy(*keys, value).agg(*[F.sum(c).alias(f"_v_{c}") for c in sums])
-    placed = running_totals(
-        per_value, keys, [bin_of(F.col(value))], [F.col(value)], [f"_v_{c}" for c in sums]
-    )
-    below = placed.select(
-        *keys, value, *[(F.col(f"_v_{c}_upto") - F.col(f"_v_{c}")).alias(f"_below_{c}") for c in sums]
-    )
-    within = running_totals(
-        df, [*keys, value], [F.floor(F.col(tiebreak) / F.lit(tie_block))], [F.col(tiebreak)], sums
-    )
-    joined = join_null_safe(within, below, [*keys, value])
-    return joined.select(
-        *df.columns, *[(F.col(f"_below_{c}") + F.col(f"{c}_upto")).alias(f"{c}_upto") for c in sums]
-    )
+
+    def plain(part: DataFrame) -> DataFrame:
+        w = Window.partitionBy(*keys).orderBy(value, tiebreak).rowsBetween(Window.unboundedPreceding, 0)
+        return part.select("*", *[F.sum(c).over(w).alias(f"{c}_upto") for c in sums])
+
+    def chunked(part: DataFrame) -> DataFrame:
+        per_value = part.groupBy(*keys, value).agg(*[F.sum(c).alias(f"_v_{c}") for c in sums])
+        placed = running_totals(
+            per_value, keys, [bin_of(F.col(value))], [F.col(value)], [f"_v_{c}" for c in sums]
+        )
+        below = placed.select(
+            *keys, value, *[(F.col(f"_v_{c}_upto") - F.col(f"_v_{c}")).alias(f"_below_{c}") for c in sums]
+        )
+        within = running_totals(
+            part, [*keys, value], [F.floor(F.col(tiebreak) / F.lit(tie_block))], [F.col(tiebreak)], sums
+        )
+        joined = join_null_safe(within, below, [*keys, value])
+        return joined.select(
+            *df.columns, *[(F.col(f"_below_{c}") + F.col(f"{c}_upto")).alias(f"{c}_upto") for c in sums]
+        )
+
+    return by_load(df, keys, plain, chunked)
 
 
 def rank_rows(

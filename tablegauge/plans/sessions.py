@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablegauge.functions.math import micros
-from tablegauge.plans.ordered import add_totals, chunk_starts, cut, running_totals
+from tablegauge.plans.ordered import add_totals, by_load, chunk_starts, cut, running_totals
 
 SECOND = 1_000_000
 HOUR = 3600 * SECOND
@@ -52,36 +52,49 @@ def trailing_counts(
 ) -> DataFrame:
     """(user, event_us, <name>...): rows of the user in the last N seconds, per event time.
 
-    `windows` maps a column name to (seconds, test or None). A row at time t counts
-    for event times in [t, t + seconds]: it enters as +1 at t and leaves as -1 just
-    after t + seconds, so every count is one running total. The totals are built per
-    (user, ten minutes), not per user.
+    `windows` maps a column name to (seconds, test or None). For busy users a row at
+    time t counts for event times in [t, t + seconds]: it enters as +1 at t and leaves
+    as -1 just after t + seconds, so every count is one running total per (user, chunk).
     """
     t = micros(F.col(ts))
     hit = {n: (F.lit(1) if c is None else F.when(c, 1).otherwise(0)).cast("long") for n, (_, c) in windows.items()}
-    spans = sorted({s for s, _ in windows.values()})
-    zero = F.lit(0).cast("long")
-
-    def change(at: Column, sign: int, span: int | None) -> Column:
-        cells = [
-            (hit[n] * sign if span is None or windows[n][0] == span else zero).alias(n) for n in windows
-        ]
-        return F.struct(at.alias("event_us"), F.lit(1 if span is None else 0).cast("long").alias("_real"), *cells)
-
-    moves = [change(t, 1, None)] + [change(t + (s * SECOND + 1), -1, s) for s in spans]
-    rows = df.select(user, F.inline(F.array(*moves)))
-    chunk = F.floor(F.col("event_us") / (chunk_seconds * SECOND))
-    tagged, names = cut(rows, [user], [chunk])
-    starts = chunk_starts(tagged, [user], names, list(windows))
-    # one shuffle by chunk serves the merge of equal times, the running sum and the join
-    merged = tagged.repartition("_cut").groupBy("_cut", "event_us").agg(
-        F.sum("_real").alias("_real"), *[F.sum(n).alias(n) for n in windows]
-    )
-    keep = [f"_cut.{user}", "event_us", "_real"]
-    totals = add_totals(merged, starts, [F.col("event_us")], list(windows), keep)
-    return totals.filter(F.col("_real") > 0).select(
-        user, "event_us", *[F.col(f"{n}_upto").alias(n) for n in windows]
-    )
+    names = list(windows)
+
+    def plain(part: DataFrame) -> DataFrame:
+        # one shuffle by user serves the merge of equal times and the windows
+        rows = part.select(user, t.alias("event_us"), *[hit[n].alias(n) for n in names]).repartition(user)
+        merged = rows.groupBy(user, "event_us").agg(*[F.sum(n).alias(n) for n in names])
+        frame = lambda n: (
+            Window.partitionBy(user).orderBy("event_us").rangeBetween(-windows[n][0] * SECOND, 0)
+        )
+        return merged.select(user, "event_us", *[F.sum(n).over(frame(n)).alias(n) for n in names])
+
+    def chunked(part: DataFrame) -> DataFrame:
+        zero = F.lit(0).cast("long")
+
+        def change(at: Column, sign: int, span: int | None) -> Column:
+            cells = [
+                (hit[n] * sign if span is None or windows[n][0] == span else zero).alias(n) for n in names
+            ]
+            real = F.lit(1 if span is None else 0).cast("long")
+            return F.struct(at.alias("event_us"), real.alias("_real"), *cells)
+
+        spans = sorted({s for s, _ in windows.values()})
+        moves = [change(t, 1, None)] + [change(t + (s * SECOND + 1), -1, s) for s in spans]
+        rows = part.select(user, F.inline(F.array(*moves)))
+        tagged, chunk_names = cut(rows, [user], [F.floor(F.col("event_us") / (chunk_seconds * SECOND))])
+        starts = chunk_starts(tagged, [user], chunk_names, names)
+        # one shuffle by chunk serves the merge of equal times, the running sum and the join
+        merged = tagged.repartition("_cut").groupBy("_cut", "event_us").agg(
+            F.sum("_real").alias("_real"), *[F.sum(n).alias(n) for n in names]
+        )
+        kept = [f"_cut.{user}", "event_us", "_real"]
+        totals = add_totals(merged, starts, [F.col("event_us")], names, kept)
+        return totals.filter(F.col("_real") > 0).select(
+            user, "event_us", *[F.col(f"{n}_upto").alias(n) for n in names]
+        )
+
+    return by_load(df, [user], plain, chunked)
 
 
 def trailing_frame_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str], rows: int, name: str) -> DataFrame:

@@ -15,6 +15,13 @@ from tablegauge.plans import ordered, quantiles, sessions
 START = dt.datetime(2024, 1, 1)
 
 
+@pytest.fixture(autouse=True, params=["no busy keys", "busy keys"])
+def load(request, monkeypatch):
+    """Every test runs with all keys ordinary and with the larger keys counted as busy."""
+    if request.param == "busy keys":
+        monkeypatch.setattr(ordered, "BUSY_ROWS", 100)
+
+
 @pytest.fixture(scope="module")
 def log():
     """Events: user 0 has a third of the rows, a third of its rows share one instant, one user is null."""
