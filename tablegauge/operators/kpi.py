@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablegauge.functions.math import ratio, share_of_true
-from tablegauge.plans.joins import join_null_safe
 from tablegauge.plans.periods import fill_calendar, period_of, shifted
 
 DAYS_PER_MONTH = 30.4375

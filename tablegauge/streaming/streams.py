@@ -12,7 +12,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablegauge.functions.math import share_of_true
-from tablegauge.plans.joins import one_row
 from tablegauge.session import new_folder
 
 FAIL_LIMIT = 0.05

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import importlib
-import importlib.util
 
 from tablegauge.workload.registry import ORACLE, QUERIES
 
@@ -16,7 +15,5 @@ MODULES = (
 def load() -> tuple[dict, dict]:
     """Import every workload module and return (queries, oracle SQL)."""
     for name in MODULES:
-        if not importlib.util.find_spec(f"tablegauge.workload.{name}"):
-            continue
         importlib.import_module(f"tablegauge.workload.{name}")
     return QUERIES, ORACLE

@@ -3,7 +3,6 @@
 from pyspark.sql import functions as F
 
 from tablegauge.operators import profile as P
-from tablegauge.sources.schema import columns_table
 from tablegauge.workload.registry import plain, query
 from tablegauge.workload.samples import holey_events, sql_holey_events
 

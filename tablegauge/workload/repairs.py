@@ -88,9 +88,6 @@ def _(t):
     return R.hash_encode(t.part, "p_name").select("p_partkey", "p_name_bucket")
 
 
-PRIORITIES = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")
-
-
 @query(
     "c18_one_hot",
     "SELECT o_orderkey, "

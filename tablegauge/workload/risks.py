@@ -214,15 +214,15 @@ def _(t):
     return plain(R.balanced_class_weights(t.labels, "toxic").select("doc_id", "class_weight"))
 
 
-# two versions of a catalog: the words of each language in the even and the odd documents,
-# typed by the length of the longest document that holds the word
-VERSION = "SELECT lang AS dataset, c AS \"column\", CASE WHEN max(n_chars) > 2000 THEN 'string' ELSE 'int' END AS dtype FROM w WHERE doc_id % 2 = {} GROUP BY 1, 2"
+# two versions of a catalog: the words of each language in the earlier and the later half of
+# the sources, typed by the length of the longest document that holds the word
+VERSION = "SELECT lang AS dataset, c AS \"column\", CASE WHEN max(n_chars) > 2000 THEN 'string' ELSE 'int' END AS dtype FROM w WHERE {} GROUP BY 1, 2"
 
 
 @query(
     "e17_schema_check",
-    f"""WITH w AS (SELECT lang, doc_id, n_chars, unnest(regexp_split_to_array(text, '[ \\n]+')) AS c FROM documents),
-a AS ({VERSION.format(0)}), b AS ({VERSION.format(1)}),
+    f"""WITH w AS (SELECT lang, source, n_chars, unnest(regexp_split_to_array(text, '[ \\n]+')) AS c FROM documents),
+a AS ({VERSION.format("source < 'src19'")}), b AS ({VERSION.format("source >= 'src19'")}),
 j AS (SELECT coalesce(a.dataset, b.dataset) AS dataset, coalesce(a."column", b."column") AS "column", a.dtype AS dtype, b.dtype AS expected_dtype
  FROM a FULL JOIN b ON a.dataset = b.dataset AND a."column" = b."column"),
 f AS (SELECT dataset, CASE WHEN dtype IS NULL THEN 'missing' WHEN expected_dtype IS NULL THEN 'extra' WHEN dtype <> expected_dtype THEN 'changed' END AS finding FROM j)
@@ -230,14 +230,14 @@ SELECT dataset, finding, count(*) AS n FROM f WHERE finding IS NOT NULL GROUP BY
 )
 def _(t):
     words = t.documents.select(
-        F.col("lang").alias("dataset"), "doc_id", "n_chars", F.explode(F.split("text", "[ \n]+")).alias("column")
+        F.col("lang").alias("dataset"), "source", "n_chars", F.explode(F.split("text", "[ \n]+")).alias("column")
     )
     version = lambda side: (
-        words.filter(F.col("doc_id") % 2 == side)
+        words.filter(side)
         .groupBy("dataset", "column")
         .agg(F.when(F.max("n_chars") > 2000, "string").otherwise("int").alias("dtype"))
     )
-    found = R.schema_check(version(0), version(1), ("dataset", "column"))
+    found = R.schema_check(version("source < 'src19'"), version("source >= 'src19'"), ("dataset", "column"))
     return found.groupBy("dataset", "finding").agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -11,7 +11,7 @@ from tablegauge.operators import quality as Q
 from tablegauge.operators import textjobs as X
 from tablegauge.workload.kpis import P as period_sql
 from tablegauge.workload.matching import CATALOG, JOINED, any_of, catalog, joined_score
-from tablegauge.workload.profiles import ORDER_KINDS, _stats_sql
+from tablegauge.workload.profiles import _stats_sql
 from tablegauge.workload.registry import plain, query
 
 # requests: every message, with a phrase by its turn so that each intent occurs
