@@ -21,6 +21,8 @@ READ_ROOTS = frozenset(
 )
 # nodes and functions that run outside code from inside a SELECT
 REFUSED_NODES = ("ScriptTransformation",)
+# parentheses with up to three levels inside each other; applied three times
+NESTED = r"\([^()]*+(?:\([^()]*+(?:\([^()]*+\)[^()]*+)*+\)[^()]*+)*+\)"
 REFUSED_FUNCTIONS = r"(?i)\b(java_method|reflect|try_reflect)\b"
 
 
@@ -103,28 +105,33 @@ def _bare(sql: Column) -> Column:
     out = F.upper(sql)
     for pattern in (r"--[^\n]*", r"/\*[^*]*\*+([^/*][^*]*\*+)*/", r"'[^']*'"):
         out = F.regexp_replace(out, pattern, " ")
-    for _ in range(8):
-        out = F.regexp_replace(out, r"\([^()]*\)", " ")
+    for _ in range(3):
+        out = F.regexp_replace(out, NESTED, " ")
     return out
 
 
-def statement_kind(sql: Column) -> Column:
-    """Select, SetOperation, Other or Empty, from the leading word of each statement.
-
-    Set operations inside parentheses do not count. For running a statement the
-    real parser decides; this form is for large logs.
-    """
-    parts = F.filter(F.split(_bare(sql), ";"), lambda p: F.trim(p) != "")
-    starts = F.forall(parts, lambda p: p.rlike(r"^\s*(SELECT|WITH)\b"))
-    sets = F.exists(parts, lambda p: p.rlike(r"\b(UNION|INTERSECT|EXCEPT)\b"))
+def _kind_of(sql: Column, bare: Column) -> Column:
+    # a statement start, first or after a semicolon, that is neither SELECT nor WITH
+    other = bare.rlike(r"(^|;)\s*(?!(?:SELECT|WITH)\b)[^\s;]") | ~bare.rlike(r"[^\s;]")
     return (
         F.when(sql.isNull() | (F.trim(sql) == ""), "Empty")
-        .when(~starts | (F.size(parts) == 0), "Other")
-        .when(sets, "SetOperation")
+        .when(other, "Other")
+        .when(bare.rlike(r"\b(UNION|INTERSECT|EXCEPT)\b"), "SetOperation")
         .otherwise("Select")
     )
 
 
+def add_statement_kind(log: DataFrame, sql: str, name: str = "statement") -> DataFrame:
+    """Add the class of each text: Select, SetOperation, Other or Empty.
+
+    Decided by the leading word of each statement; set operations inside parentheses
+    do not count. For running a statement the real parser decides; this form is for
+    large logs. The stripped text is a column of its own, so it is made once per row.
+    """
+    staged = log.withColumn("_bare", _bare(F.col(sql)))
+    return staged.withColumn(name, _kind_of(F.col(sql), F.col("_bare"))).drop("_bare")
+
+
 def audit_sql_log(log: DataFrame, sql: str, rules: str = "strict") -> DataFrame:
     """Lint every SQL text: is_safe, blocked_reason, statement, warnings.
 
@@ -133,16 +140,18 @@ def audit_sql_log(log: DataFrame, sql: str, rules: str = "strict") -> DataFrame:
     """
     text = F.col(sql)
     staged = log.withColumn("_word", blocked_keyword(text, rules))
-    # statement class is only needed where no keyword already decides
+    # the statement class is only needed where no keyword already decides
+    open_text = F.when(F.col("_word").isNull(), text)
+    staged = staged.withColumn("_bare", _bare(open_text))
     staged = staged.withColumn(
-        "statement", F.when(text.isNull() | (F.trim(text) == ""), "Empty").when(F.col("_word").isNull(), statement_kind(text))
+        "statement", F.when(F.col("_word").isNull(), _kind_of(text, F.col("_bare")))
     )
     reason = (
         F.when(F.col("statement") == "Empty", "empty")
         .when(F.col("_word").isNotNull(), F.col("_word"))
         .when(F.col("statement") != "Select", F.concat(F.lit("statement:"), F.col("statement")))
     )
-    upper = F.upper(text)
+    upper, lower = F.col("_upper"), F.col("_lower")
     selects = F.length(F.regexp_replace(upper, "SELECT", "SELECT+")) - F.length(upper)
     warn = lambda test, name: F.when(test, F.lit(name))
     found = [
@@ -151,10 +160,12 @@ def audit_sql_log(log: DataFrame, sql: str, rules: str = "strict") -> DataFrame:
     ]
     if rules == "strict":
         found.append(warn(~upper.rlike(r"\bWHERE\b"), "no_where"))
-    found.append(warn(~has_any(F.lower(text), V.SQL_DATE_WORDS), "no_date"))
+    found.append(warn(~has_any(lower, V.SQL_DATE_WORDS), "no_date"))
     if rules == "strict":
         found.append(warn(selects > V.MAX_SELECTS, "complex"))
-    staged = staged.withColumn("blocked_reason", reason)
+    # texts that are blocked get no warnings, so they need no further tests
+    safe = F.when(reason.isNull(), text)
+    staged = staged.withColumns({"blocked_reason": reason, "_upper": F.upper(safe), "_lower": F.lower(safe)})
     nothing = F.array().cast("array<string>")
     return staged.select(
         *log.columns,

@@ -117,7 +117,7 @@ SELECT event_id, CASE WHEN trim(q) = '' THEN 'Empty'
   WHEN regexp_matches(bare, '\\b(UNION|INTERSECT|EXCEPT)\\b') THEN 'SetOperation' ELSE 'Select' END AS statement FROM s""",
 )
 def _(t):
-    return sql_log(t).select("event_id", G.statement_kind(F.col("q")).alias("statement"))
+    return G.add_statement_kind(sql_log(t), "q").select("event_id", "statement")
 
 
 @query(
