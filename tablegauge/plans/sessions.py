@@ -23,36 +23,25 @@ def sessions(
     per user and slot of one gap length. Two events of one slot can never be a gap
     apart, so slots are never split between sessions and only the slots, at most
     17,520 per user and year for half an hour, are put in order.
-
-    Ordinary users are shuffled once, by user. Busy users are counted per slot before
-    their slots meet.
     """
     flags = flags or {}
     gap = gap_seconds * SECOND
     t = micros(F.col(ts))
-    narrow = df.select(
-        user, t.alias("_t"), F.floor(t / gap).alias("_slot"),
-        *[F.when(c, 1).otherwise(0).cast("long").alias(name) for name, c in flags.items()],
+    slots = df.groupBy(user, F.floor(t / gap).alias("_slot")).agg(
+        F.min(t).alias("_a"),
+        F.max(t).alias("_b"),
+        F.count(F.lit(1)).alias("n_events"),
+        *[F.count_if(c).alias(name) for name, c in flags.items()],
+    )
+    w = Window.partitionBy(user).orderBy("_slot")
+    fresh = F.coalesce(F.col("_a") - F.lag("_b").over(w) > gap, F.lit(True))
+    numbered = slots.withColumn("_new", fresh.cast("long")).withColumn("session_no", F.sum("_new").over(w))
+    return numbered.groupBy(user, "session_no").agg(
+        F.min("_a").alias("start_us"),
+        F.max("_b").alias("end_us"),
+        F.sum("n_events").alias("n_events"),
+        *[F.sum(name).alias(name) for name in flags],
     )
-
-    def from_slots(rows: DataFrame) -> DataFrame:
-        slots = rows.groupBy(user, "_slot").agg(
-            F.min("_t").alias("_a"),
-            F.max("_t").alias("_b"),
-            F.count(F.lit(1)).alias("n_events"),
-            *[F.sum(name).alias(name) for name in flags],
-        )
-        w = Window.partitionBy(user).orderBy("_slot")
-        fresh = F.coalesce(F.col("_a") - F.lag("_b").over(w) > gap, F.lit(True))
-        numbered = slots.withColumn("_new", fresh.cast("long")).withColumn("session_no", F.sum("_new").over(w))
-        return numbered.groupBy(user, "session_no").agg(
-            F.min("_a").alias("start_us"),
-            F.max("_b").alias("end_us"),
-            F.sum("n_events").alias("n_events"),
-            *[F.sum(name).alias(name) for name in flags],
-        )
-
-    return by_load(narrow, [user], lambda rows: from_slots(rows.repartition(user)), from_slots)
 
 
 def trailing_counts(
