@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablegauge.llm import decontaminate
+from tablegauge.llm import decontaminate, mixing, simhash, tokenstore
 from tablegauge.session import prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -60,3 +60,47 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated",
     )
+
+
+@query("op3_token_store")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    return tokenstore.stored(table(spark, folder, "documents"), tokenizer_file())
+
+
+def tokenizer_file() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+@query("op8_simhash")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, folder, "documents"))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("print")), 16, "0").alias("fingerprint"), "component_id")
+
+
+OP9_SQL = f"""
+WITH d AS (SELECT doc_id, source, CAST(len({SPACE_WORDS.format("coalesce(text, '')")}) AS BIGINT) size FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) source_size FROM d GROUP BY source),
+w AS (SELECT source, source_size, CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS BIGINT) weight FROM s),
+o AS (SELECT *, CAST(3 * source_size AS DOUBLE) / weight ratio, row_number() OVER (ORDER BY CAST(3 * source_size AS DOUBLE) / weight, source) k,
+      CAST(coalesce(sum(3 * source_size) OVER before, 0) AS BIGINT) capped, CAST(coalesce(sum(weight) OVER before, 0) AS BIGINT) gone,
+      CAST(sum(source_size) OVER () AS BIGINT) total, CAST(sum(weight) OVER () AS BIGINT) weights
+      FROM w WINDOW before AS (ORDER BY CAST(3 * source_size AS DOUBLE) / weight, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+share AS (SELECT first(CAST(total - capped AS DOUBLE) / CAST(weights - gone AS DOUBLE) ORDER BY k) share FROM o
+          WHERE ratio >= CAST(total - capped AS DOUBLE) / CAST(weights - gone AS DOUBLE)),
+t AS (SELECT source, source_size, CASE WHEN 3 * source_size < share * weight THEN CAST(3 * source_size AS DOUBLE) ELSE share * weight END target
+      FROM w, share),
+r AS (SELECT doc_id, size, source_size, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END rate,
+      CAST(CAST('0x' || substr(md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13) AS BIGINT) AS DOUBLE) / 4503599627370496.0::DOUBLE coin
+      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size, source_size, target,
+       CAST(size * (floor(rate) + CASE WHEN coin < rate - floor(rate) THEN 1 ELSE 0 END) AS BIGINT) taken
+FROM r
+"""
+
+
+@query("op9_mix", OP9_SQL)
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    taken = mixing.takes(table(spark, folder, "documents"))
+    return taken.select("row.doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
