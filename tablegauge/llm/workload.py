@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablegauge.llm import decontaminate, mixing, qualityrules, simhash, tokenstore
+from tablegauge.llm import decontaminate, linededup, mixing, qualityrules, simhash, tokenstore, urlrules
 from tablegauge.session import prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -62,6 +62,24 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+TRIMMED = "trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))"
+OP2_SQL = f"""
+WITH split AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) ls FROM documents),
+lines AS (SELECT doc_id, i, line, {LOWER.format(TRIMMED)} k FROM (SELECT doc_id, unnest(ls) line, generate_subscripts(ls, 1) i FROM split)),
+often AS (SELECT k, max(doc_id) AS keeper FROM lines WHERE length(k) >= 40 GROUP BY k HAVING count(DISTINCT doc_id) >= 5),
+marked AS (SELECT doc_id, i, line, o.k IS NOT NULL AND doc_id <> keeper AS gone FROM lines LEFT JOIN often o USING (k))
+SELECT doc_id, count(*) n_lines, count(*) FILTER (gone) n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) kept_sha256
+FROM marked GROUP BY doc_id
+"""
+
+
+@query("op2_line_dedup", OP2_SQL)
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    found = linededup.dedup_lines(table(spark, folder, "documents"))
+    return found.select("row.doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 @query("op3_token_store")
 def op3(spark: SparkSession, folder: str) -> DataFrame:
     return tokenstore.stored(table(spark, folder, "documents"), tokenizer_file())
@@ -79,6 +97,11 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+@query("op6_url_rules")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    return urlrules.judge(table(spark, folder, "pages"))
+
+
 @query("op8_simhash")
 def op8(spark: SparkSession, folder: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, folder, "documents"))
