@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablegauge.llm import decontaminate, linededup, mixing, qualityrules, simhash, tokenstore, urlrules
+from tablegauge.llm import decontaminate, linededup, lmscore, mixing, qualityrules, simhash, tokenstore, urlrules
 from tablegauge.session import prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -21,7 +21,7 @@ def query(name: str, sql: str | None = None):
     """Register fn(spark, folder) under `name`; sql is the equivalent statement, if there is one."""
 
     def keep(fn):
-        QUERIES[name] = lambda spark, folder: fn(prepare(spark), folder)
+        QUERIES[name] = lambda spark, folder: fn(_ready(spark), folder)
         if sql is not None:
             ORACLE[name] = sql
         return fn
@@ -29,6 +29,12 @@ def query(name: str, sql: str | None = None):
     return keep
 
 
+def _ready(spark: SparkSession) -> SparkSession:
+    # long texts: Python gets batches of bounded bytes, not only of bounded rows
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    return prepare(spark)
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
@@ -91,6 +97,11 @@ def tokenizer_file() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+@query("op4_lm_score")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    return lmscore.scores(table(spark, folder, "documents"))
+
+
 @query("op5_quality_rules")
 def op5(spark: SparkSession, folder: str) -> DataFrame:
     found = qualityrules.judged(table(spark, folder, "documents"), table(spark, folder, "labels"))
