@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablegauge.llm import decontaminate, linededup, lmscore, mixing, qualityrules, simhash, tokenstore, urlrules
+from tablegauge.llm import decontaminate, linededup, lmscore, mixing, pii, qualityrules, simhash, tokenstore, urlrules
 from tablegauge.session import prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -113,6 +113,12 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
     return urlrules.judge(table(spark, folder, "pages"))
 
 
+@query("op7_pii")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    found = pii.find(table(spark, folder, "documents"), doc_id="doc_id")
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans")
+
+
 @query("op8_simhash")
 def op8(spark: SparkSession, folder: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, folder, "documents"))
