@@ -1,13 +1,13 @@
-"""Token ids of a corpus in bit planes.
+"""Token ids of a corpus in byte or bit planes.
 
 Documents are dealt into ranges of doc_id (shards), encoded, and their ids written in order.
 A shard's stream of ids is cut into blocks of fixed size; a block is turned into one plane
-per bit (or per byte) and each plane is compressed with zstandard. A store is a Parquet table
+per byte (or per bit) and each plane is compressed with zstandard. A store is a Parquet table
 with one row per block:
 
   shard, block   the block's place: shards follow doc_id, blocks follow the stream
   n_ids          ids in the block
-  planes         the compressed planes, lowest bit (byte) first; as many as the largest id needs
+  planes         the compressed planes, lowest byte (bit) first; as many as the largest id needs
   docs           doc_id and number of ids of each document that begins in the block
 
 The columns besides `planes` are the index: reading them alone gives every place in the store.
@@ -15,11 +15,13 @@ The columns besides `planes` are the index: reading them alone gives every place
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -31,53 +33,81 @@ from tablegauge.session import new_folder
 BLOCK = 1 << 16
 LEVEL = 3
 END_ID = 1
-# different words remembered by a worker, and characters a word may have to be remembered
-KNOWN_WORDS = 400_000
-KNOWN_LENGTH = 64
+# characters encoded at a time, and of a long text's parts
+PART = 32 << 20
+# punctuation that may follow a plain word; plain words are runs of letters up to U+00FF
+MARKS = ".,;:!?#*$%&|<>()"
+LETTERS = "".join(c for c in map(chr, range(0x100)) if c.isalpha())
 
+Ragged = tuple[np.ndarray, np.ndarray]
 
-class WordMemo(dict):
-    """Ids of the pieces of a text between spaces and line ends, for tokenizers that never join pieces.
 
-    Texts are encoded piece by piece and each piece only once while it is remembered.
-    """
+def _gather(pool: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The runs pool[start : start + size], one after the other."""
+    before = np.cumsum(sizes) - sizes
+    return pool[np.repeat(starts - before, sizes) + np.arange(int(sizes.sum()))]
 
-    def __init__(self, tokenizer):
-        self.tokenizer = tokenizer
 
-    def learn(self, pieces: list[str]) -> None:
-        if len(self) + len(pieces) > KNOWN_WORDS:
-            self.clear()
-        for piece, found in zip(pieces, self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)):
-            self[piece] = np.array(found.ids, dtype="<u4").tobytes()
-
-    def encode(self, text: str) -> bytes:
-        pieces = text.replace("\n", " ").split(" ")
-        new = list({p for p in pieces if p not in self})
-        if len(new) + len(self) > KNOWN_WORDS or any(len(p) > KNOWN_LENGTH for p in new):
-            return self._long(pieces)
-        if new:
-            self.learn(new)
-        return b"".join(map(self.__getitem__, pieces))
-
-    def _long(self, pieces: list[str]) -> bytes:
-        """Texts with very many or very long new pieces: in parts, long pieces not remembered."""
-        out = []
-        for at in range(0, len(pieces), KNOWN_WORDS // 4):
-            part = pieces[at : at + KNOWN_WORDS // 4]
-            new = list({p for p in part if len(p) <= KNOWN_LENGTH and p not in self})
-            if new and len(new) + len(self) > KNOWN_WORDS:
-                self.clear()
-                new = list({p for p in part if len(p) <= KNOWN_LENGTH})
-            if new:
-                self.learn(new)
-            for p in part:
-                if p in self:
-                    out.append(self[p])
-                else:
-                    found = self.tokenizer.encode(p, add_special_tokens=False)
-                    out.append(np.array(found.ids, dtype="<u4").tobytes())
-        return b"".join(out)
+class PieceEncoder:
+    """Ids of texts for tokenizers that never join the pieces between spaces and line ends.
+
+    Of each batch every different piece is encoded once. A `light` tokenizer, if there is one,
+    encodes plain words (see light_spec) without the normalizer and the splitting pattern.
+    """
+
+    def __init__(self, tokenizer, light=None):
+        self.tokenizer, self.light = tokenizer, light
+        if light is not None:
+            suffix = light.model.end_of_word_suffix
+            self.ends = np.zeros(light.get_vocab_size(), dtype=bool)
+            self.ends[[i for token, i in light.get_vocab().items() if token.endswith(suffix)]] = True
+
+    def _whole(self, pieces: list[str]) -> Ragged:
+        """(ids of the pieces one after the other, how many each has)."""
+        found = [x.ids for x in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+        sizes = np.array([len(x) for x in found], dtype=np.int64)
+        return np.array([i for x in found for i in x], dtype="<u4"), sizes
+
+    def _words(self, words: list[str]) -> Ragged:
+        """Plain lower-case words in one go: each ends with the only id that ends a word."""
+        if not words:
+            return self._whole(words)
+        ids = np.array(self.light.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, dtype="<u4")
+        ends = np.flatnonzero(self.ends[ids]) + 1
+        if len(ends) != len(words):
+            return self._whole(words)
+        return ids, np.diff(ends, prepend=0)
+
+    def _pieces(self, pieces: pa.StringArray) -> Ragged:
+        if self.light is None:
+            return self._whole(pieces.to_pylist())
+        rest = pc.utf8_ltrim(pieces, characters=LETTERS)
+        plain = pc.and_(pc.equal(pc.utf8_rtrim(rest, characters=MARKS), ""), pc.less(pc.binary_length(rest), pc.binary_length(pieces)))
+        is_plain = plain.to_numpy(zero_copy_only=False)
+        marks = pc.dictionary_encode(rest.filter(plain))
+        low = pc.dictionary_encode(pc.utf8_lower(pc.utf8_rtrim(pieces.filter(plain), characters=MARKS)))
+        parts = [self._words(low.dictionary.to_pylist()), self._whole(marks.dictionary.to_pylist()),
+                 self._whole(pieces.filter(pc.invert(plain)).to_pylist())]
+        pool = np.concatenate([ids for ids, _ in parts])
+        sizes = [n for _, n in parts]
+        first = np.cumsum([0] + [len(ids) for ids, _ in parts])
+        starts = [at + np.cumsum(n) - n for at, n in zip(first, sizes)]
+        # each piece is a word and its marks, or one run and nothing
+        start, size = np.zeros((len(pieces), 2), dtype=np.int64), np.zeros((len(pieces), 2), dtype=np.int64)
+        for k, of in ((0, low), (1, marks)):
+            index = of.indices.to_numpy()
+            start[is_plain, k], size[is_plain, k] = starts[k][index], sizes[k][index]
+        start[~is_plain, 0], size[~is_plain, 0] = starts[2], sizes[2]
+        return _gather(pool, start.ravel(), size.ravel()), size.sum(axis=1)
+
+    def encode(self, texts: pa.StringArray) -> Ragged:
+        split = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        coded = pc.dictionary_encode(split.flatten())
+        pool, sizes = self._pieces(coded.dictionary)
+        index = coded.indices.to_numpy()
+        of = sizes[index]
+        ends = np.concatenate([[0], np.cumsum(of)])[split.offsets.to_numpy()]
+        return _gather(pool, (np.cumsum(sizes) - sizes)[index], of), np.diff(ends)
 
 
 class WholeTexts:
@@ -86,32 +116,90 @@ class WholeTexts:
     def __init__(self, tokenizer):
         self.tokenizer = tokenizer
 
-    def encode(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+    def encode(self, texts: pa.StringArray) -> Ragged:
+        found = [np.array(x.ids, dtype="<u4") for x in self.tokenizer.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)]
+        return np.concatenate([np.zeros(0, dtype="<u4"), *found]), np.array([len(x) for x in found], dtype=np.int64)
 
 
 _encoders: dict = {}
 
 
-def encoder(spec: str, by_word: bool):
+def encoder(spec: str):
     """The worker's encoder for a tokenizer file's content."""
-    key = (hash(spec), by_word)
+    key = hash(spec)
     if key not in _encoders:
         from tokenizers import Tokenizer
 
         made = Tokenizer.from_str(spec)
         made.no_padding()
         made.no_truncation()
+        light = light_spec(spec)
         _encoders.clear()
-        _encoders[key] = (WordMemo if by_word else WholeTexts)(made)
+        if drops_spaces(spec):
+            _encoders[key] = PieceEncoder(made, light and Tokenizer.from_str(light))
+        else:
+            _encoders[key] = WholeTexts(made)
     return _encoders[key]
 
 
+def _parts(text: str) -> Iterator[str]:
+    """The text in parts of about PART characters that end at a space."""
+    at = 0
+    while len(text) - at > PART and (to := text.find(" ", at + PART)) >= 0:
+        yield text[at:to]
+        at = to + 1
+    yield text[at:]
+
+
+def encoded(texts: pa.StringArray, made) -> Iterator[Ragged]:
+    """The ids of a batch of texts and how many each has, about PART bytes of text at a time."""
+    at = 0
+    while at < len(texts):
+        size = np.cumsum(pc.binary_length(texts.slice(at, 1 << 16)).to_numpy())
+        n = max(1, int(np.searchsorted(size, PART, side="right")))
+        if n == 1 and size[0] > PART and isinstance(made, PieceEncoder):
+            found = [made.encode(pa.array([p], pa.string())) for p in _parts(texts[at].as_py())]
+            yield np.concatenate([ids for ids, _ in found]), np.array([sum(int(x[0]) for _, x in found)])
+        else:
+            yield made.encode(texts.slice(at, n))
+        at += n
+
+
+def _larger(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Batches put together to about PART bytes: the more text, the more pieces are alike."""
+    held = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.nbytes for b in held) >= PART:
+            yield pa.Table.from_batches(held)
+            held = []
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def light_spec(spec: str) -> str | None:
+    """The tokenizer without normalizer and splitting pattern, if it encodes plain words alike.
+
+    Plain words are runs of letters up to U+00FF in lower case. Composing, lower-casing and the
+    pattern, which takes runs of letters whole, leave them as they are; what follows is
+    the same in both.
+    """
+    made = json.loads(spec)
+    steps = [n.get("type") for n in (made.get("normalizer") or {}).get("normalizers", [])]
+    before = (made.get("pre_tokenizer") or {}).get("pretokenizers", [])
+    letters = len(before) == 2 and r"[\p{L}]+" in (before[0].get("pattern") or {}).get("Regex", "").split("|")
+    plain = letters and before[1].get("type") == "ByteLevel" and not before[1].get("use_regex") and not before[1].get("add_prefix_space")
+    added = any(a["content"].isalpha() for a in made.get("added_tokens", []))
+    if not (drops_spaces(spec) and steps == ["NFC", "Replace", "Lowercase"] and plain and not added and made["model"].get("end_of_word_suffix")):
+        return None
+    made["normalizer"] = None
+    made["pre_tokenizer"]["pretokenizers"][0] = {"type": "WhitespaceSplit"}
+    return json.dumps(made)
+
+
 def drops_spaces(spec: str) -> bool:
     """Whether no token of the tokenizer can span or depend on a space: its splitter matches runs
     without white space and drops what lies between."""
-    import json
-
     made = json.loads(spec)
     before = (made.get("pre_tokenizer") or {}).get("pretokenizers") or [made.get("pre_tokenizer") or {}]
     first = before[0]
@@ -122,7 +210,7 @@ def drops_spaces(spec: str) -> bool:
     return spaceless and alternatives_ok and added
 
 
-def pack(ids: np.ndarray, by: str = "bit", level: int = LEVEL) -> list[bytes]:
+def pack(ids: np.ndarray, by: str = "byte", level: int = LEVEL) -> list[bytes]:
     """The compressed planes of a block of ids."""
     squeeze = zstandard.ZstdCompressor(level=level).compress
     ids = np.ascontiguousarray(ids, dtype="<u4")
@@ -135,7 +223,7 @@ def pack(ids: np.ndarray, by: str = "bit", level: int = LEVEL) -> list[bytes]:
     return [squeeze(np.packbits((ids >> i) & 1).tobytes()) for i in range(top.bit_length())]
 
 
-def unpack(planes: list[bytes], n: int, by: str = "bit") -> np.ndarray:
+def unpack(planes: list[bytes], n: int, by: str = "byte") -> np.ndarray:
     """The ids of a block."""
     expand = zstandard.ZstdDecompressor().decompress
     if by == "byte":
@@ -153,30 +241,32 @@ def _store_schema(id_type: str) -> str:
     return f"shard int, block long, n_ids long, planes array<binary>, docs array<struct<doc_id: {id_type}, n_ids: bigint>>"
 
 
-def _encode(spec, by_word: bool, block: int, by: str, level: int, end_id: int, schema: pa.Schema) -> Callable:
+def _encode(spec, block: int, by: str, level: int, end_id: int, schema: pa.Schema) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(spec.value, by_word).encode
+        made = encoder(spec.value)
         shard = TaskContext.get().partitionId()
-        end = np.array([end_id], dtype="<u4").tobytes()
-        held, begun, n = bytearray(), [], 0
+        held, begun, n = np.zeros(0, dtype="<u4"), [], 0
 
-        def row(part: bytes, docs: list) -> pa.RecordBatch:
-            ids = np.frombuffer(part, dtype="<u4")
+        def row(ids: np.ndarray, docs: list) -> pa.RecordBatch:
             one = {"shard": shard, "block": n, "n_ids": len(ids), "planes": pack(ids, by, level), "docs": docs}
             return pa.RecordBatch.from_pylist([one], schema=schema)
 
-        for batch in batches:
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
-                ids = encode(text.as_py()) + end
-                begun.append((len(held), {"doc_id": doc_id, "n_ids": len(ids) // 4}))
-                held += ids
-                while len(held) >= 4 * block:
-                    yield row(bytes(held[: 4 * block]), [d for at, d in begun if at < 4 * block])
-                    begun = [(at - 4 * block, d) for at, d in begun if at >= 4 * block]
-                    del held[: 4 * block]
-                    n += 1
-        if held:
-            yield row(bytes(held), [d for _, d in begun])
+        for batch in _larger(batches):
+            doc_ids, at = batch["doc_id"].to_pylist(), 0
+            for ids, sizes in encoded(batch["text"].combine_chunks(), made):
+                ids, sizes = np.insert(ids, np.cumsum(sizes), end_id), sizes + 1
+                first = (len(held) + np.cumsum(sizes) - sizes).tolist()
+                begun += [(f, {"doc_id": d, "n_ids": s}) for f, d, s in zip(first, doc_ids[at:], sizes.tolist())]
+                at += len(sizes)
+                held = np.concatenate([held, ids])
+                done = 0
+                while len(held) - done >= block:
+                    k = next((i for i, (f, _) in enumerate(begun) if f >= done + block), len(begun))
+                    yield row(held[done : done + block], [d for _, d in begun[:k]])
+                    begun, done, n = begun[k:], done + block, n + 1
+                held, begun = held[done:], [(f - done, d) for f, d in begun]
+        if len(held):
+            yield row(held, [d for _, d in begun])
 
     return run
 
@@ -190,7 +280,7 @@ def arrow_schema(id_type: str) -> pa.Schema:
 
 def write_store(
     docs: DataFrame, path: str, tokenizer_file: str, doc_id: str = "doc_id", text: str = "text", end_id: int = END_ID,
-    block: int = BLOCK, by: str = "bit", level: int = LEVEL,
+    block: int = BLOCK, by: str = "byte", level: int = LEVEL,
 ) -> None:
     """Encode docs in ascending doc_id order (null first, then by text) into a store at `path`.
 
@@ -209,7 +299,7 @@ def write_store(
     # the last column only lets rows that repeat all others be dealt to several shards
     dealt = rows.repartitionByRange("doc_id", "key", "row").sortWithinPartitions("doc_id", "key").select("doc_id", "text")
     sent = docs.sparkSession.sparkContext.broadcast(spec)
-    run = _encode(sent, drops_spaces(spec), block, by, level, end_id, arrow_schema(id_type))
+    run = _encode(sent, block, by, level, end_id, arrow_schema(id_type))
     dealt.mapInArrow(run, _store_schema(id_type)).write.option("compression", "uncompressed").parquet(path)
 
 
@@ -241,7 +331,7 @@ def _decode(by: str) -> Callable:
     return run
 
 
-def read_store(spark: SparkSession, path: str, by: str = "bit") -> DataFrame:
+def read_store(spark: SparkSession, path: str, by: str = "byte") -> DataFrame:
     """Per document of a store, from its decoded ids: doc_id, start, n_tokens, ids_crc32.
 
     start counts the ids of all documents before it, ids_crc32 is the unsigned crc32 of its ids
@@ -259,7 +349,7 @@ def read_store(spark: SparkSession, path: str, by: str = "bit") -> DataFrame:
         "doc_id", (F.col("start") + F.col("first")).alias("start"), F.col("n_ids").alias("n_tokens"), "ids_crc32")
 
 
-def stored(docs: DataFrame, tokenizer_file: str, by: str = "bit", **options) -> DataFrame:
+def stored(docs: DataFrame, tokenizer_file: str, by: str = "byte", **options) -> DataFrame:
     """Write a store of docs to a new folder of the shared one and read it back."""
     path = new_folder(docs.sparkSession, "tokens")
     write_store(docs, path, tokenizer_file, by=by, **options)

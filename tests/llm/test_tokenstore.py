@@ -4,6 +4,7 @@ import os
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -69,24 +70,39 @@ def spec(name="word_bpe_49k.json"):
         return f.read()
 
 
-def test_only_tokenizers_that_drop_spaces_go_by_word():
-    assert tokenstore.drops_spaces(spec()) and not tokenstore.drops_spaces(spec("byte_bpe_50k.json"))
+def test_only_tokenizers_that_drop_spaces_go_by_piece():
+    assert tokenstore.drops_spaces(spec()) and tokenstore.light_spec(spec())
+    assert not tokenstore.drops_spaces(spec("byte_bpe_50k.json")) and not tokenstore.light_spec(spec("byte_bpe_50k.json"))
 
 
-@settings(max_examples=150, deadline=None)
-@given(st.text(alphabet=st.sampled_from(list("aB'sΣς é́̀  \x1c\x85\n\t漢😀<|endoftext|>123#.")), max_size=60))
-def test_pieces_encode_like_whole_texts(text):
-    memo = tokenstore.encoder(spec(), True)
-    whole = memo.tokenizer.encode(text, add_special_tokens=False).ids
-    assert np.frombuffer(memo.encode(text), dtype="<u4").tolist() == whole
+def whole(text):
+    return tokenstore.encoder(spec()).tokenizer.encode(text, add_special_tokens=False).ids
 
 
-def test_memo_stays_bounded(monkeypatch):
-    monkeypatch.setattr(tokenstore, "KNOWN_WORDS", 8)
-    monkeypatch.setattr(tokenstore, "KNOWN_LENGTH", 5)
-    memo = tokenstore.encoder(spec(), True)
-    memo.clear()
-    text = " ".join(f"w{i}" * (1 + i % 4) for i in range(50))
-    assert np.frombuffer(memo.encode(text), dtype="<u4").tolist() == memo.tokenizer.encode(text, add_special_tokens=False).ids
-    assert len(memo) <= 8
-    memo.clear()
+def by_piece(texts):
+    out = []
+    for ids, sizes in tokenstore.encoded(pa.array(texts, pa.string()), tokenstore.encoder(spec())):
+        out += [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])]
+    return out
+
+
+LETTERS = list("aBzéÀÿßµªºİıſœΣς'sİ̇̀ \x1c\x85\xa0\n\t.,!?#(|>漢字😀123ŉǆﬁ") + ["<|endoftext|>", "'s", "'re", " ", "the", "The."]
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(LETTERS), max_size=25).map("".join), min_size=1, max_size=5))
+def test_pieces_encode_like_whole_texts(texts):
+    assert by_piece(texts) == [whole(t) for t in texts]
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.text(max_size=40))
+def test_any_text_encodes_like_whole(text):
+    assert by_piece([text]) == [whole(text)]
+
+
+@pytest.mark.parametrize("part", [1, 20, 60])
+def test_texts_in_parts(monkeypatch, part):
+    monkeypatch.setattr(tokenstore, "PART", part)
+    texts = [" ".join(f"w{i}" * (1 + i % 4) for i in range(50)), "", "x" * 100, "a b\nc " * 30, "end"]
+    assert by_piece(texts) == [whole(t) for t in texts]
