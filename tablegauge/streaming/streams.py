@@ -12,20 +12,24 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablegauge.functions.math import share_of_true
+from tablegauge.plans.joins import join_null_safe
 from tablegauge.session import new_folder
 
 FAIL_LIMIT = 0.05
 
 
-def stream_table(spark: SparkSession, folder: str, file: str, max_files: int = 1000) -> DataFrame:
-    """File-source stream over the files of `folder` whose name matches `file`."""
+def stream_table(spark: SparkSession, folder: str, file: str, max_files: int | None = None) -> DataFrame:
+    """File-source stream over the files of `folder` whose name matches `file`.
+
+    A listing is not in event-time order, so by default all files that are there make one
+    batch and none of their rows can be late. `max_files` per batch is for files that come
+    in time order; `run_available` refuses a result from which late rows were dropped.
+    """
     schema = spark.read.option("pathGlobFilter", file).parquet(folder).schema
-    return (
-        spark.readStream.schema(schema)
-        .option("pathGlobFilter", file)
-        .option("maxFilesPerTrigger", max_files)
-        .parquet(folder)
-    )
+    reader = spark.readStream.schema(schema).option("pathGlobFilter", file)
+    if max_files is not None:
+        reader = reader.option("maxFilesPerTrigger", max_files)
+    return reader.parquet(folder)
 
 
 def event_time(df: DataFrame, ts: str, delay: str = "10 minutes") -> DataFrame:
@@ -89,10 +93,13 @@ def zscore_stream(df: DataFrame, history: DataFrame, column: str, limit: float =
     return df.withColumn("z", (F.col(column) - F.lit(fit["mean"])) / F.lit(fit["sd"])).filter(F.abs("z") > limit)
 
 
-def run_available(df: DataFrame, mode: str = "append") -> DataFrame:
+def run_available(df: DataFrame, mode: str = "append", whole: DataFrame | None = None, keys: Sequence[str] = ()) -> DataFrame:
     """Process what the source holds, write it below the shared folder, and return that table.
 
-    Progress and output live on shared storage, so a lost executor or driver resumes.
+    Progress and output live on shared storage, so a lost executor or driver resumes. A stream
+    gives out a window only after the watermark has passed it; `whole`, the same metric over
+    the batch table, adds the windows (told apart by `keys`) that are still open when the input
+    ends. Raises if the stream dropped late rows.
     """
     spark = df.sparkSession
     out = new_folder(spark, "stream")
@@ -104,4 +111,8 @@ def run_available(df: DataFrame, mode: str = "append") -> DataFrame:
         .start(f"{out}/rows")
     )
     query.awaitTermination()
-    return spark.read.schema(df.schema).parquet(f"{out}/rows")
+    late = sum(s.numRowsDroppedByWatermark for p in query.recentProgress for s in p.stateOperators)
+    if late:
+        raise ValueError(f"{late} rows came later than the watermark allows and were dropped; read more files at once or allow more delay")
+    rows = spark.read.schema(df.schema).parquet(f"{out}/rows")
+    return rows if whole is None else rows.unionByName(join_null_safe(whole, rows.select(*keys), list(keys), "left_anti"))
