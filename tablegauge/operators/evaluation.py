@@ -40,8 +40,12 @@ def confusion(df: DataFrame, label: str, predicted: str) -> DataFrame:
 
 
 def _by_score(df: DataFrame, label: str, score: str) -> DataFrame:
-    """Positives and negatives per distinct score: equal scores are one row from here on."""
-    return df.groupBy(F.col(score).cast("double").alias("_s")).agg(
+    """Positives and negatives per distinct score: equal scores are one row from here on.
+
+    Rows without a score (null or NaN) are left out.
+    """
+    s = F.col(score).cast("double")
+    return df.where(s.isNotNull() & ~F.isnan(s)).groupBy(s.alias("_s")).agg(
         F.count_if(F.col(label) == 1).alias("_pos"), F.count_if(F.col(label) != 1).alias("_neg")
     )
 
@@ -176,8 +180,12 @@ def silhouette(df: DataFrame, vector: str, label: str) -> DataFrame:
 
 
 def top_k(df: DataFrame, user: str, item: str, score: str, k: int) -> DataFrame:
-    """The k best rows per user with `place`. The rank filter also runs before the shuffle."""
-    w = Window.partitionBy(user).orderBy(F.col(score).desc_nulls_last(), F.col(item).asc())
+    """The k best rows per user with `place`. The rank filter also runs before the shuffle.
+
+    Rows without a score (null or NaN) come last.
+    """
+    s = F.col(score).cast("double")
+    w = Window.partitionBy(user).orderBy(F.when(~F.isnan(s), s).desc_nulls_last(), F.col(item).asc())
     return df.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= k)
 
 
@@ -215,10 +223,10 @@ def mrr_map(df: DataFrame, user: str, item: str, score: str, relevance: str) ->
 
     `item` is an integer and breaks ties. Places are running totals per (user, score
     bin) with equal scores counted first, so neither a user with very many rows nor a
-    score that many items share is one task.
+    score that many items share is one task. Rows without a score come last.
     """
     staged = df.select(
-        user, item, (-F.col(score).cast("double")).alias("_down"), F.lit(1).cast("long").alias("_one"),
+        user, item, F.coalesce(F.nanvl(-F.col(score).cast("double"), F.lit(float("inf"))), F.lit(float("inf"))).alias("_down"), F.lit(1).cast("long").alias("_one"),
         (F.col(relevance) > 0).cast("long").alias("_rel"),
     )
     placed = ordered_totals(staged, [user], "_down", item, ["_one", "_rel"])

@@ -22,7 +22,8 @@ def asof_join(
 ) -> DataFrame:
     """Each left row with the values of the latest right row at or before it, null if none.
 
-    Both sides are merged by time and the last right values are carried forward.
+    Both sides are merged by time and the last right values are carried forward. Null keys
+    and times match nothing: such facts are left out and such probes get nulls.
     Work is cut by key and time chunk, so one busy key does not fill one task.
     """
     keys = list(keys)
@@ -32,14 +33,15 @@ def asof_join(
         *keys, micros(F.col(right_ts)).alias("_t"), F.lit(0).alias("_side"), carried.alias("_v")
     )
     # of right rows at the same instant any one may answer; the largest is taken
-    facts = facts.groupBy(*keys, "_t", "_side").agg(F.max("_v").alias("_v"))
+    facts = facts.dropna(subset=[*keys, "_t"]).groupBy(*keys, "_t", "_side").agg(F.max("_v").alias("_v"))
     probes = left.select(
         *keys, micros(F.col(left_ts)).alias("_t"), F.lit(1).alias("_side"), F.struct(*left.columns).alias("_row")
     )
     merged = facts.unionByName(probes, allowMissingColumns=True)
     chunk = F.floor(F.col("_t") / (chunk_seconds * 1_000_000))
     filled = carry_last(merged, keys, [chunk], [F.col("_t"), F.col("_side")], "_v")
-    return filled.filter(F.col("_side") == 1).select("_row.*", *[F.col(f"_v_last.{v}").alias(v) for v in values])
+    timed = F.col("_t").isNotNull()
+    return filled.filter(F.col("_side") == 1).select("_row.*", *[F.when(timed, F.col(f"_v_last.{v}")).alias(v) for v in values])
 
 
 def range_join(

@@ -27,9 +27,16 @@ BIN_SHIFT = 746.0
 
 
 def value_bin(value: Column, steps: int = BIN_STEPS) -> Column:
-    """A whole number that never decreases as the value grows, fine at every scale."""
+    """A whole number that never decreases along Spark's ascending order, fine at every scale.
+
+    Null comes first and NaN last, as in that order.
+    """
     size = F.floor((F.ln(F.abs(value)) + BIN_SHIFT) * steps)
-    return F.when(value > 0, size).when(value < 0, -size).otherwise(F.lit(0)).cast("long")
+    return (
+        F.when(value.isNull(), F.lit(-(1 << 60)))
+        .when(F.isnan(value.cast("double")), F.lit(1 << 60))
+        .when(value > 0, size).when(value < 0, -size).otherwise(F.lit(0)).cast("long")
+    )
 
 
 def by_load(

@@ -22,11 +22,13 @@ def sessions(
     A new session starts after a pause longer than the gap. Events are first counted
     per user and slot of one gap length. Two events of one slot can never be a gap
     apart, so slots are never split between sessions and only the slots, at most
-    17,520 per user and year for half an hour, are put in order.
+    17,520 per user and year for half an hour, are put in order. Rows without a time
+    belong to no session.
     """
     flags = flags or {}
     gap = gap_seconds * SECOND
     t = micros(F.col(ts))
+    df = df.where(t.isNotNull())
     slots = df.groupBy(user, F.floor(t / gap).alias("_slot")).agg(
         F.min(t).alias("_a"),
         F.max(t).alias("_b"),
@@ -56,8 +58,10 @@ def trailing_counts(
     `windows` maps a column name to (seconds, test or None). For busy users a row at
     time t counts for event times in [t, t + seconds]: it enters as +1 at t and leaves
     as -1 just after t + seconds, so every count is one running total per (user, chunk).
+    Rows without a time are in no window and give no row.
     """
     t = micros(F.col(ts))
+    df = df.where(t.isNotNull())
     hit = {n: (F.lit(1) if c is None else F.when(c, 1).otherwise(0)).cast("long") for n, (_, c) in windows.items()}
     names = list(windows)
 

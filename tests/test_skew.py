@@ -190,3 +190,62 @@ def test_mrr_map(spark):
             ap.append(sum((n + 1) / p for n, p in enumerate(places)) / len(places))
     got = evaluation.mrr_map(df, "u", "i", "s", "rel").first()
     assert got["mrr"] == pytest.approx(sum(rr) / len(rr)) and got["map"] == pytest.approx(sum(ap) / len(ap))
+
+
+def test_null_times_and_scores_give_one_result_whatever_the_key_size(spark, monkeypatch):
+    nan = float("nan")
+    rows = [(u, None if i % 5 == 0 else i * 40, (None, nan, -1.0, 2.0, 0.5)[i % 5], i, i % 2) for u in (1, 2, None) for i in range(40)]
+    df = spark.createDataFrame(rows, "user long, s long, score double, item long, rel int").withColumn("ts", F.timestamp_seconds("s"))
+    found = []
+    for limit in (2_000_000, 0):
+        monkeypatch.setattr(ordered, "BUSY_ROWS", limit)
+        counts = trailing_counts(df, "user", "ts", {"n": (600, None)})
+        ranks = ordered.rank_rows(df.withColumn("k", F.monotonically_increasing_id()), "score", "k", ["user"])
+        found.append((
+            sorted(map(repr, counts.collect())), sorted(repr((r.user, r.k, r.row_rank)) for r in ranks.collect()),
+            evaluation.mrr_map(df, "user", "item", "score", "rel").first(), evaluation.roc_auc(df, "rel", "score").first(),
+            evaluation.pr_auc(df, "rel", "score").first(),
+        ))
+    assert found[0][:2] == found[1][:2]
+    assert [tuple(round(x, 12) for x in r) for r in found[0][2:]] == [tuple(round(x, 12) for x in r) for r in found[1][2:]]
+    whole = df.where("score is not null and not isnan(score)")
+    assert evaluation.roc_auc(whole, "rel", "score").first() == found[0][3]
+    assert all("None" not in r.split("event_us=")[1] for r in found[0][0])
+
+
+def test_as_of_join_leaves_null_keys_and_times_unmatched(spark):
+    facts = spark.createDataFrame([(1, None, 10), (None, 5, 20), (1, 5, 30)], "k int, s long, v int").withColumn("f", F.timestamp_seconds("s"))
+    probes = spark.createDataFrame([(1, 4), (1, 6), (None, 9), (1, None)], "k int, s long").withColumn("t", F.timestamp_seconds("s"))
+    got = asof_join(probes, facts.drop("s"), ["k"], "t", "f", ["v"]).collect()
+    assert sorted(((r.k, r.s, r.v) for r in got), key=repr) == sorted([(1, 4, None), (1, 6, 30), (None, 9, None), (1, None, None)], key=repr)
+
+
+def test_null_times_and_scores_give_one_result_whatever_the_key_size(spark, monkeypatch):
+    nan = float("nan")
+    rows = [(u, None if i % 5 == 0 else i * 40, (None, nan, -1.0, 2.0, 0.5)[i % 5], i, i % 2) for u in (1, 2, None) for i in range(40)]
+    df = spark.createDataFrame(rows, "user long, s long, score double, item long, rel int").withColumn("ts", F.timestamp_seconds("s"))
+    df = df.withColumn("k", F.coalesce("user", F.lit(9)) * 1000 + F.col("item"))
+    found = []
+    for limit in (2_000_000, 0):
+        monkeypatch.setattr(ordered, "BUSY_ROWS", limit)
+        counts = sessions.trailing_counts(df, "user", "ts", {"n": (600, None)})
+        ranks = ordered.rank_rows(df, "score", "k", ["user"])
+        found.append((
+            sorted(map(repr, counts.collect())), sorted((r.k, r.row_rank) for r in ranks.collect()),
+            evaluation.mrr_map(df, "user", "item", "score", "rel").first(), evaluation.roc_auc(df, "rel", "score").first(),
+            evaluation.pr_auc(df, "rel", "score").first(),
+        ))
+    assert found[0][:2] == found[1][:2]
+    assert [tuple(round(x, 12) for x in r) for r in found[0][2:]] == [tuple(round(x, 12) for x in r) for r in found[1][2:]]
+    whole = df.where("score is not null and not isnan(score)")
+    assert evaluation.roc_auc(whole, "rel", "score").first() == found[0][3]
+    assert len(found[0][0]) == 3 * 32 and not any("event_us=None" in r for r in found[0][0])
+    first = evaluation.top_k(df, "user", "item", "score", 8).where("user = 1").collect()
+    assert {r.score for r in first} == {2.0}
+
+
+def test_as_of_join_leaves_null_keys_and_times_unmatched(spark):
+    facts = spark.createDataFrame([(1, None, 10), (None, 5, 20), (1, 5, 30)], "k int, s long, v int").withColumn("f", F.timestamp_seconds("s"))
+    probes = spark.createDataFrame([(1, 4), (1, 6), (None, 9), (1, None)], "k int, s long").withColumn("t", F.timestamp_seconds("s"))
+    got = relational.asof_join(probes, facts.drop("s"), ["k"], "t", "f", ["v"]).collect()
+    assert sorted(((r.k, r.s, r.v) for r in got), key=repr) == sorted([(1, 4, None), (1, 6, 30), (None, 9, None), (1, None, None)], key=repr)
