@@ -21,8 +21,10 @@ READ_ROOTS = frozenset(
 )
 # nodes and functions that run outside code from inside a SELECT
 REFUSED_NODES = ("ScriptTransformation",)
-# parentheses with up to three levels inside each other; applied three times
-NESTED = r"\([^()]*+(?:\([^()]*+(?:\([^()]*+\)[^()]*+)*+\)[^()]*+)*+\)"
+# what hides text from the statement, whichever starts first: literals, quoted names, comments
+HIDDEN = "'[^']*'|\"[^\"]*\"|`[^`]*`|--[^\n]*|/\\*(?:[^*]|\\*(?!/))*+\\*/"
+# parentheses and set operations of the text that is left
+MARKS = r"[()]|\b(?:UNION|INTERSECT|EXCEPT)\b"
 REFUSED_FUNCTIONS = r"(?i)\b(java_method|reflect|try_reflect)\b"
 
 
@@ -43,8 +45,8 @@ def blocked_keyword(sql: Column, rules: str = "strict") -> Column:
     return F.when(sql.rlike(rf"(?i)\b({'|'.join(words)})\b"), F.coalesce(*found))
 
 
-def _refusal(spark: SparkSession, sql: str) -> tuple[str, str] | None:
-    """(status, reason) if the statement must not run."""
+def _refusal(spark: SparkSession, sql: str, tables) -> tuple[str, str] | None:
+    """(status, reason) if the statement must not run; it may read the names in `tables` only."""
     import re
 
     if not sql or not sql.strip():
@@ -65,12 +67,18 @@ def _refusal(spark: SparkSession, sql: str) -> tuple[str, str] | None:
     for node in REFUSED_NODES:
         if node in text:
             return "blocked", f"{node} is not allowed"
+    # relations of subqueries and of the parts of WITH stand in the same text
+    read = {n.strip("[]` ").lower() for n in re.findall(r"'UnresolvedRelation \[([^\]]*)\]", text)}
+    # only the names that this statement's own WITH defines count as its own
+    own = {n.lower() for n in re.findall(r"(?i)(?:\bwith(?:\s+recursive)?|,)\s*`?([a-z_][a-z0-9_]*)`?\s*(?:\([^()]*\)\s*)?as\s*\(", re.sub(HIDDEN, " ", sql))}
+    for name in sorted(read - own - {t.lower() for t in tables}):
+        return "error" if "," in name else "blocked", f"{name} is not among the given tables"
     return None
 
 
 def guarded_select(spark: SparkSession, sql: str, tables: dict[str, DataFrame]) -> Selected:
     """Check one statement and plan it over the given tables. Nothing runs yet."""
-    refused = _refusal(spark, sql)
+    refused = _refusal(spark, sql, tables)
     if refused:
         return Selected(refused[0], refused[1], None)
     for name, df in tables.items():
@@ -86,8 +94,8 @@ def guarded_select(spark: SparkSession, sql: str, tables: dict[str, DataFrame])
         spark.conf.set(option, before)
 
 
-def run_select(spark: SparkSession, sql: str, tables: dict[str, DataFrame], cap: int = V.ROW_CAP) -> Selected:
-    """At most `cap` rows of the statement with a `truncated` column.
+def run_select(spark: SparkSession, sql: str, tables: dict[str, DataFrame], cap: int | None = V.ROW_CAP) -> Selected:
+    """At most `cap` rows of the statement with a `truncated` column; all rows if cap is None.
 
     The limit is part of the plan, so the full result is never produced; one row
     above the cap tells whether something was cut.
@@ -95,19 +103,26 @@ def run_select(spark: SparkSession, sql: str, tables: dict[str, DataFrame], cap:
     out = guarded_select(spark, sql, tables)
     if out.frame is None:
         return out
+    if cap is None:
+        return Selected(out.status, None, out.frame.withColumn("truncated", F.lit(False)))
     some = out.frame.limit(cap + 1)
     counted = some.withColumn("truncated", F.count(F.lit(1)).over(Window.partitionBy()) > cap)
     return Selected(out.status, None, counted.limit(cap))
 
 
 def _bare(sql: Column) -> Column:
-    """Upper-cased text without comments, string literals and (nested) parentheses."""
-    out = F.upper(sql)
-    for pattern in (r"--[^\n]*", r"/\*[^*]*\*+([^/*][^*]*\*+)*/", r"'[^']*'"):
-        out = F.regexp_replace(out, pattern, " ")
-    for _ in range(3):
-        out = F.regexp_replace(out, NESTED, " ")
-    return out
+    """Upper-cased text without comments, literals and quoted names."""
+    return F.regexp_replace(F.upper(sql), HIDDEN, " ")
+
+
+def _joins_sets(bare: Column) -> Column:
+    """Whether a set operation stands outside all parentheses, however deep these are nested."""
+    marks = F.regexp_extract_all(bare, F.lit(MARKS), F.lit(0))
+    start = F.struct(F.lit(0).alias("depth"), F.lit(False).alias("found"))
+    return F.aggregate(marks, start, lambda s, m: F.struct(
+        (s["depth"] + F.when(m == "(", 1).when(m == ")", -1).otherwise(0)).alias("depth"),
+        (s["found"] | (~m.isin("(", ")") & (s["depth"] <= 0))).alias("found"),
+    ))["found"]
 
 
 def _kind_of(sql: Column, bare: Column) -> Column:
@@ -116,7 +131,7 @@ def _kind_of(sql: Column, bare: Column) -> Column:
     return (
         F.when(sql.isNull() | (F.trim(sql) == ""), "Empty")
         .when(other, "Other")
-        .when(bare.rlike(r"\b(UNION|INTERSECT|EXCEPT)\b"), "SetOperation")
+        .when(_joins_sets(bare), "SetOperation")
         .otherwise("Select")
     )
 

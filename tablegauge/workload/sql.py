@@ -57,8 +57,9 @@ def duck_word(rules: str) -> str:
 
 
 def duck_bare() -> str:
-    out = "regexp_replace(regexp_replace(upper(q), '--[^\\n]*', ' ', 'g'), '''[^'']*''', ' ', 'g')"
-    for _ in range(4):
+    """Text without literals, quoted names and comments, and then without parentheses, from the inside out."""
+    out = "regexp_replace(upper(q), '''[^'']*''|\"[^\"]*\"|`[^`]*`|--[^\\n]*|/\\*([^*]|\\*+[^*/])*\\*+/', ' ', 'g')"
+    for _ in range(6):
         out = f"regexp_replace({out}, '\\([^()]*\\)', ' ', 'g')"
     return out
 

@@ -63,3 +63,27 @@ def test_basic_rules_are_shorter(spark):
     assert G.audit_sql_log(df, "q", "strict").first()["blocked_reason"] == "GRANT"
     got = G.audit_sql_log(df, "q", "basic").first()
     assert got["is_safe"] and got["warnings"] == ["no_limit", "no_date"]
+
+
+@pytest.mark.parametrize("sql", [
+    "SELECT '--' AS a\nFROM t UNION SELECT 'x', 2", 'SELECT "a (" FROM t UNION SELECT ")" FROM t',
+    "SELECT `(` FROM t /* ' */ UNION SELECT 1 -- '", "SELECT a FROM t" + " WHERE (a IN (1" * 12 + "))" * 12 + " UNION SELECT 1",
+])
+def test_hidden_set_operations_are_found(spark, sql):
+    got = G.audit_sql_log(spark.createDataFrame([(sql,)], "q string"), "q", "basic").first()
+    assert not got["is_safe"] and got["blocked_reason"] == "statement:SetOperation"
+
+
+def test_set_operations_inside_any_depth_do_not_count(spark):
+    sql = "SELECT a FROM " + "(" * 15 + "SELECT a FROM x UNION SELECT a FROM y" + ")" * 15
+    assert G.add_statement_kind(spark.createDataFrame([(sql,)], "q string"), "q").first()["statement"] == "Select"
+
+
+def test_other_views_of_the_session_are_refused(spark, data):
+    spark.range(3).createOrReplaceTempView("secret")
+    for sql in ("SELECT * FROM secret", "SELECT id FROM data WHERE id IN (SELECT id FROM secret)",
+                "WITH x AS (SELECT * FROM secret) SELECT * FROM x", "SELECT 'with secret as (' FROM secret",
+                "SELECT * FROM data d JOIN SECRET s ON d.id = s.id"):
+        assert G.run_select(spark, sql, {"data": data}).status == "blocked", sql
+    assert G.run_select(spark, "WITH a AS (SELECT 1 AS x), b (y) AS (SELECT x FROM a) SELECT y FROM b", {}).status == "success"
+    assert G.run_select(spark, "SELECT id FROM data", {"data": data}, cap=None).frame.count() == 1200
