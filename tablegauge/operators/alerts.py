@@ -1,7 +1,9 @@
 """Alert rules over KPI series.
 
 A series has one row per period (and dimension value), so its windows are as long
-as the calendar, not as the data.
+as the calendar, not as the data. With `grain` ("day", "month" ...) the periods a series skips
+count as 0, up to the last period of the whole series: a dimension value that falls silent
+has fallen to 0. Without it the rules go from row to row.
 """
 
 from __future__ import annotations
@@ -13,28 +15,41 @@ from pyspark.sql import functions as F
 
 from tablegauge.functions import fixed_values as V
 from tablegauge.functions.math import ratio
-from tablegauge.plans.periods import shifted
+from tablegauge.plans.periods import fill_calendar, shifted
 
 
 def _along(dims: Sequence[str]):
     return Window.partitionBy(*dims).orderBy("period")
 
 
-def alert_vs_trailing_avg(series: DataFrame, drop: float = 0.15, periods: int = 7, dims: Sequence[str] = ()) -> DataFrame:
+def _filled(series: DataFrame, dims: Sequence[str], grain: str | None) -> DataFrame:
+    if grain is None:
+        return series
+    zero = F.lit(0).cast(series.schema["value"].dataType)
+    return fill_calendar(series, grain, dims, missing=zero, common_end=True).select(*series.columns)
+
+
+def alert_vs_trailing_avg(
+    series: DataFrame, drop: float = 0.15, periods: int = 7, dims: Sequence[str] = (), grain: str | None = None
+) -> DataFrame:
     """Periods below (1 - drop) x the mean of the previous ones."""
+    series = _filled(series, dims, grain)
     mean = F.avg("value").over(_along(dims).rowsBetween(-periods, -1))
     return series.withColumn("trailing_avg", mean).filter(F.col("value") < (1 - drop) * F.col("trailing_avg"))
 
 
-def with_change(series: DataFrame, dims: Sequence[str] = ()) -> DataFrame:
-    """Add previous and change_pct against the previous row of the series."""
+def with_change(series: DataFrame, dims: Sequence[str] = (), grain: str | None = None) -> DataFrame:
+    """Add previous and change_pct against the previous period of the series."""
+    series = _filled(series, dims, grain)
     out = series.withColumn("previous", F.lag("value").over(_along(dims)))
     return out.withColumn("change_pct", ratio(F.col("value") - F.col("previous"), F.col("previous")) * 100)
 
 
-def alert_period_change(series: DataFrame, below_pct: float = -10.0, dims: Sequence[str] = ()) -> DataFrame:
+def alert_period_change(
+    series: DataFrame, below_pct: float = -10.0, dims: Sequence[str] = (), grain: str | None = None
+) -> DataFrame:
     """Periods whose change is under the limit: -10 for a drop, 0 or 5 for missing growth."""
-    return with_change(series, dims).filter(F.col("change_pct") < below_pct)
+    return with_change(series, dims, grain).filter(F.col("change_pct") < below_pct)
 
 
 def alert_level(series: DataFrame, above: float | None = None, below: float | None = None) -> DataFrame:
@@ -47,15 +62,16 @@ def alert_level(series: DataFrame, above: float | None = None, below: float | No
     return series.filter(test)
 
 
-def alert_vs_prior_week(series: DataFrame, drop: float = 0.20) -> DataFrame:
+def alert_vs_prior_week(series: DataFrame, drop: float = 0.20, grain: str | None = None) -> DataFrame:
     """Days below (1 - drop) x the same day a week before; days without one are not judged."""
+    series = _filled(series, [], grain)
     week = series.select(shifted("period", 7, "day").alias("period"), F.col("value").alias("week_before"))
     return series.join(week, "period").filter(F.col("value") < (1 - drop) * F.col("week_before"))
 
 
-def alert_dim_drop(series: DataFrame, dim: str, drop: float = 0.30) -> DataFrame:
+def alert_dim_drop(series: DataFrame, dim: str, drop: float = 0.30, grain: str | None = None) -> DataFrame:
     """Dimension values that fall by more than `drop` against their previous period."""
-    return with_change(series, [dim]).filter(F.col("change_pct") < -drop * 100)
+    return with_change(series, [dim], grain).filter(F.col("change_pct") < -drop * 100)
 
 
 def alert_kpi_ratio(cost: DataFrame, value: DataFrame, limit: float = 1 / 3) -> DataFrame:
@@ -66,9 +82,9 @@ def alert_kpi_ratio(cost: DataFrame, value: DataFrame, limit: float = 1 / 3) ->
     return joined.filter(F.col("cost") > limit * F.col("worth"))
 
 
-def explain_change(series: DataFrame, metric: str, dims: Sequence[str] = ()) -> DataFrame:
+def explain_change(series: DataFrame, metric: str, dims: Sequence[str] = (), grain: str | None = None) -> DataFrame:
     """Per period: change, direction (stable under 1 %), size band and a sentence."""
-    out = with_change(series, dims).filter(F.col("change_pct").isNotNull())
+    out = with_change(series, dims, grain).filter(F.col("change_pct").isNotNull())
     size = F.abs("change_pct")
     severity = (
         F.when(size >= V.CHANGE_SIGNIFICANT, "significant").when(size >= V.CHANGE_MODERATE, "moderate").otherwise("minor")

@@ -235,8 +235,14 @@ def _(t):
     return plain(K.trend(t.events.filter("event_type = 'purchase'"), "ts", "hour"))
 
 
-REV_DAY = "s AS (" + series_sql("orders", "day", "o_orderdate", "sum(o_totalprice)") + ")"
-REV_MONTH = "s AS (" + series_sql("orders", "month", "o_orderdate", "sum(o_totalprice)") + ")"
+def calendar_sql(series: str, grain: str) -> str:
+    """s: the series with every period of a generated calendar, 0 where it has no row."""
+    return f"""s0 AS ({series}), s AS (SELECT period, coalesce(value, 0) AS value FROM (SELECT unnest(generate_series(
+ (SELECT min(period) FROM s0), (SELECT max(period) FROM s0), INTERVAL 1 {grain})) AS period) c LEFT JOIN s0 USING (period))"""
+
+
+REV_DAY = calendar_sql(series_sql("orders", "day", "o_orderdate", "sum(o_totalprice)"), "day")
+REV_MONTH = calendar_sql(series_sql("orders", "month", "o_orderdate", "sum(o_totalprice)"), "month")
 
 
 @query(
@@ -245,7 +251,7 @@ REV_MONTH = "s AS (" + series_sql("orders", "month", "o_orderdate", "sum(o_total
 SELECT {show()}, round(value, 4) AS value, round(trailing_avg, 4) AS trailing_avg FROM w WHERE value < 0.85 * trailing_avg""",
 )
 def _(t):
-    return plain(A.alert_vs_trailing_avg(K.total_revenue(t.orders, "o_totalprice", "o_orderdate")))
+    return plain(A.alert_vs_trailing_avg(K.total_revenue(t.orders, "o_totalprice", "o_orderdate"), grain="day"))
 
 
 CHANGE = "w AS (SELECT *, lag(value) OVER (ORDER BY period) AS previous FROM s), ch AS (SELECT *, (value - previous) / previous * 100 AS change_pct FROM w)"
@@ -256,7 +262,7 @@ CHANGE = "w AS (SELECT *, lag(value) OVER (ORDER BY period) AS previous FROM s),
     f"WITH {REV_MONTH}, {CHANGE} SELECT {show()}, round(value, 4) AS value, round(previous, 4) AS previous, round(change_pct, 4) AS change_pct FROM ch WHERE change_pct < 5",
 )
 def _(t):
-    return plain(A.alert_period_change(K.total_revenue(t.orders, "o_totalprice", "o_orderdate", "month"), 5.0))
+    return plain(A.alert_period_change(K.total_revenue(t.orders, "o_totalprice", "o_orderdate", "month"), 5.0, grain="month"))
 
 
 @query(
@@ -269,21 +275,23 @@ def _(t):
 
 @query(
     "h27_alert_vs_prior_week",
-    f"""WITH s AS ({series_sql('events', 'day', 'ts', 'count(DISTINCT user_id)')})
+    f"""WITH {calendar_sql(series_sql('events', 'day', 'ts', 'count(DISTINCT user_id)'), 'day')}
 SELECT strftime(a.period, '%Y-%m-%d %H:%M:%S') AS period, a.value, b.value AS week_before FROM s a JOIN s b ON b.period = a.period - INTERVAL 7 DAY WHERE a.value < 0.99 * b.value""",
 )
 def _(t):
-    return plain(A.alert_vs_prior_week(K.active_entities(t.events, "user_id", "ts", "day"), 0.01))
+    return plain(A.alert_vs_prior_week(K.active_entities(t.events, "user_id", "ts", "day"), 0.01, "day"))
 
 
 @query(
     "h28_alert_dim_drop",
-    f"""WITH s AS (SELECT event_type, {P('hour', 'ts')} AS period, count(*) AS value FROM events GROUP BY ALL),
+    f"""WITH s0 AS (SELECT event_type, {P('hour', 'ts')} AS period, count(*) AS value FROM events GROUP BY ALL),
+c AS (SELECT event_type, unnest(generate_series(min(period), (SELECT max(period) FROM s0), INTERVAL 1 HOUR)) AS period FROM s0 GROUP BY event_type),
+s AS (SELECT event_type, period, coalesce(value, 0) AS value FROM c LEFT JOIN s0 USING (event_type, period)),
 w AS (SELECT *, lag(value) OVER (PARTITION BY event_type ORDER BY period) AS previous FROM s)
 SELECT event_type, {show()}, value, previous, round((value - previous) / previous * 100, 4) AS change_pct FROM w WHERE (value - previous) * 100.0 / previous < -30""",
 )
 def _(t):
-    return plain(A.alert_dim_drop(K.volume(t.events, "ts", "hour", ["event_type"]), "event_type"))
+    return plain(A.alert_dim_drop(K.volume(t.events, "ts", "hour", ["event_type"]), "event_type", grain="hour"))
 
 
 @query(
@@ -303,7 +311,7 @@ SELECT {show()}, round(value, 4) AS value, round(previous, 4) AS previous, round
  CASE WHEN direction = 'stable' THEN 'Total Revenue held steady' ELSE 'Total Revenue is ' || direction || ' (' || severity || ')' END AS explanation FROM f""",
 )
 def _(t):
-    return plain(A.explain_change(K.total_revenue(t.orders, "o_totalprice", "o_orderdate", "month"), "total_revenue"))
+    return plain(A.explain_change(K.total_revenue(t.orders, "o_totalprice", "o_orderdate", "month"), "total_revenue", grain="month"))
 
 
 @query(

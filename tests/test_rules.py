@@ -249,3 +249,16 @@ def test_empty_domain_matches_the_first_library(spark):
     df = spark.createDataFrame([("",), ("FinTech app",), ("zoo",)], "d string")
     got = [r[0] for r in df.select(matching.match_domain(F.col("d"))).collect()]
     assert got == ["ecommerce", "fintech", None]
+
+
+def test_a_value_that_falls_silent_has_fallen_to_zero(spark):
+    day = lambda d: dt.datetime(2024, 1, d)
+    rows = [(day(d), "a", 10) for d in range(1, 8)] + [(day(d), "b", 10) for d in (1, 2, 3)] + [(day(5), "c", 4), (day(7), "c", 4)]
+    series = spark.createDataFrame(rows, "period timestamp, kind string, value long")
+    got = {(r.kind, r.period.day) for r in alerts.alert_dim_drop(series, "kind", grain="day").collect()}
+    assert got == {("b", 4), ("c", 6)}
+    assert alerts.alert_dim_drop(series, "kind").count() == 0
+    one = series.where("kind = 'c'").select("period", "value")
+    assert [(r.period.day, r.value) for r in alerts.alert_vs_trailing_avg(one, grain="day").collect()] == [(6, 0)]
+    gap = spark.createDataFrame([(day(d), 5) for d in (1, 2, 9)], "period timestamp, value long")
+    assert {r.period.day for r in alerts.alert_vs_prior_week(gap, grain="day").collect()} == {8}
