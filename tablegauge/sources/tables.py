@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import posixpath
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,15 +12,26 @@ from pyspark.sql import functions as F
 from tablegauge.sources import schema as S
 
 FORMATS = ("csv", "parquet", "json", "orc")
+# fixed values: cell texts that mean a missing value
+MISSING_TEXTS = (
+    "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A",
+    "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
+)
+# types tried on the cells of a CSV column, in this order
+TYPES = ("int", "bigint", "double", "boolean", "date", "timestamp")
 
 
 def resolve(base: str, name: str) -> str:
-    """Path of `name` below `base`; names that lead out of the folder are refused."""
-    root = posixpath.normpath(base)
+    """Path of `name` below `base`; names that lead out of the folder are refused.
+
+    The store of the base (`s3a://bucket`, `hdfs://host:port`) stays as it is.
+    """
+    store, root = re.fullmatch(r"([A-Za-z][A-Za-z0-9+.-]*:(?://[^/]*)?)?(.*)", base, re.DOTALL).groups()
+    root = posixpath.normpath(root or "/")
     path = posixpath.normpath(posixpath.join(root, name))
     if path == root or not path.startswith(root.rstrip("/") + "/"):
         raise ValueError(f"{name!r} is outside the data folder")
-    return path
+    return (store or "") + path
 
 
 def _hadoop_path(spark: SparkSession, path: str):
@@ -33,14 +45,16 @@ def read_table(
     name: str,
     base: str,
     fmt: str = "csv",
-    na_values: Sequence[str] = (),
+    na_values: Sequence[str] | None = None,
     schema=None,
 ) -> DataFrame:
     """Load one table. CSV has a header; give a schema for large files to skip inference.
 
-    `na_values` are cell texts read as null; they become null before types are
-    inferred for one value, and on string columns for the rest.
+    `na_values` are cell texts read as null, MISSING_TEXTS for CSV if not given. They become
+    null before the types of a CSV file are inferred, in one pass over its cells.
     """
+    if na_values is None:
+        na_values = MISSING_TEXTS if fmt == "csv" else ()
     if fmt not in FORMATS:
         raise ValueError(f"format must be one of {FORMATS}")
     path = resolve(base, name)
@@ -53,9 +67,7 @@ def read_table(
     if schema is not None:
         reader = reader.schema(schema)
     if fmt == "csv":
-        reader = reader.option("header", True).option("inferSchema", schema is None)
-        if na_values:
-            reader = reader.option("nullValue", na_values[0])
+        reader = reader.option("header", True)
     df = reader.format(fmt).load(path)
     if na_values:
         texts = set(S.text_columns(df))
@@ -67,7 +79,34 @@ def read_table(
                 for c in df.columns
             ]
         )
-    return df
+    return typed(df) if fmt == "csv" and schema is None else df
+
+
+def typed(df: DataFrame) -> DataFrame:
+    """A table of texts with each column cast to the first of TYPES that takes all its values.
+
+    One aggregate counts the values that each type refuses; columns without values stay text.
+    """
+    if not df.columns:
+        return df
+    def refuses(c: str, kind: str):
+        if kind == "boolean":  # the words only, though a cast takes y and n as well
+            return ~F.lower(F.col(f"`{c}`")).isin("true", "false")
+        return F.col(f"`{c}`").isNotNull() & F.col(f"`{c}`").try_cast(kind).isNull()
+
+    refused = [F.count_if(refuses(c, kind)).alias(f"{i}:{kind}") for i, c in enumerate(df.columns) for kind in TYPES]
+    # timestamps and dates are told apart by their text
+    timed = [F.count_if(F.col(f"`{c}`").rlike(":")).alias(f"{i}:timed") for i, c in enumerate(df.columns)]
+    known = [F.count(F.col(f"`{c}`")).alias(f"{i}:known") for i, c in enumerate(df.columns)]
+    found = df.agg(*refused, *timed, *known).first()
+
+    def kind(i: int) -> str:
+        for k in TYPES if found[f"{i}:known"] else ():
+            if not found[f"{i}:{k}"] and not (k == "date" and found[f"{i}:timed"]):
+                return k
+        return "string"
+
+    return df.select(*[F.col(f"`{c}`").cast(kind(i)).alias(c) for i, c in enumerate(df.columns)])
 
 
 def register_view(df: DataFrame, name: str = "data") -> DataFrame:

@@ -26,6 +26,22 @@ def _(t):
     return parts
 
 
+@query(
+    "a1_read_csv",
+    """SELECT c_custkey, CASE WHEN c_custkey % 7 <> 0 AND c_custkey % 11 <> 0 THEN round(CAST(c_acctbal AS DOUBLE), 4) END AS balance,
+ CASE WHEN c_custkey % 5 <> 0 THEN c_mktsegment END AS segment, c_custkey % 2 = 0 AS even, 'int,double,string,boolean' AS types FROM customer""",
+)
+def _(t):
+    key = F.col("c_custkey")
+    cells = t.customer.select(
+        key, F.when(key % 7 == 0, "NA").when(key % 11 == 0, "N/A").otherwise(F.col("c_acctbal").cast("string")).alias("balance"),
+        F.when(key % 5 == 0, "null").otherwise(F.col("c_mktsegment")).alias("segment"), (key % 2 == 0).alias("even"))
+    folder = new_folder(t.spark, "csv")
+    io.write_result(cells, f"{folder}/customers.csv", "csv")
+    back = io.read_table(t.spark, "customers.csv", folder)
+    return plain(back.withColumn("types", F.lit(",".join(kind for _, kind in back.dtypes))))
+
+
 @query(
     "a2_register_view",
     "SELECT event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY event_type",

@@ -34,7 +34,7 @@ def test_missing_file_and_wrong_suffix(spark, base):
 
 def test_listing_and_columns(spark, base):
     assert [r["dataset"] for r in T.list_datasets(spark, base).collect()] == ["a.csv"]
-    df = T.read_table(spark, "a.csv", base)
+    df = T.read_table(spark, "a.csv", base, na_values=[])
     meta = columns_table(spark, {"a": df}).collect()
     assert [(r["ordinal"], r["column"], r["kind"]) for r in meta] == [
         (0, "id", "numeric"), (1, "name", "string"), (2, "when", "temporal"), (3, "amount", "string")]
@@ -45,3 +45,22 @@ def test_write_round_trip(spark, base, tmp_path):
     for fmt in ("csv", "parquet", "json"):
         path = T.write_result(df, str(tmp_path / f"out_{fmt}"), fmt)
         assert spark.read.format(fmt).option("header", True).load(path).count() == 3
+
+
+def test_all_missing_texts_are_null_before_types_are_found(spark, base, tmp_path):
+    (tmp_path / "data" / "m.csv").write_text("a,b,c,d,e,f\n1,2.5,true,y,2024-01-01 10:00:00,NA\nNA,N/A,NaN,n,#N/A,\nn/a,7,FALSE,None,2024-02-01 11:00:00,null\n3000000000,1e3,,y,,nan\n")
+    df = T.read_table(spark, "m.csv", base)
+    assert dict(df.dtypes) == {"a": "bigint", "b": "double", "c": "boolean", "d": "string", "e": "timestamp", "f": "string"}
+    assert [r["a"] for r in df.collect()] == [1, None, None, 3000000000] and df.where("f is not null").count() == 0
+    assert dict(T.read_table(spark, "m.csv", base, na_values=[]).dtypes)["a"] == "string"
+
+
+@pytest.mark.parametrize("base, path", [
+    ("s3a://bucket", "s3a://bucket/x/a.csv"), ("s3a://bucket/dir/", "s3a://bucket/dir/x/a.csv"), ("hdfs://host:8020/d", "hdfs://host:8020/d/x/a.csv"),
+    ("file:/d", "file:/d/x/a.csv"), ("/d/../e", "/e/x/a.csv"), ("viewfs://store/in", "viewfs://store/in/x/a.csv"),
+])
+def test_stores_keep_their_names(base, path):
+    assert T.resolve(base, "x/a.csv") == path
+    for out in ("../y/a.csv", "/a.csv", "..") if base.rstrip("/").count("/") > 2 else ():
+        with pytest.raises(ValueError):
+            T.resolve(base, out)
