@@ -15,43 +15,46 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh3_64_intdigest, xxh64_intdigest
 
-from tablegauge.llm.common import lower_ascii, null_safe, whole, written
+from tablegauge.llm.common import null_safe, whole, written
 
 LEAST_CHARS = 40
 LEAST_DOCS = 5
-# bits per eligible line, and the limit of one filter: 16 MB
-BITS_EACH = 16
+# bits per line that could be long enough, and the limit of one filter: 16 MB
+BITS_EACH = 4
 MAX_BITS = 1 << 27
 PROBES = 3
 # filters travel in pieces of so many bytes
 PIECE = 1 << 17
+# parts into which a key's rows are dealt
+SALTS = 16
 
 
-def line_key(line: Column) -> Column:
-    """The line without ASCII white space at its ends, A-Z in lower case."""
-    return lower_ascii(F.regexp_replace(line, r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", ""))
+def line_keys(text: bytes, least_chars: int) -> list[tuple[int, bytes]]:
+    """(place, key) of the lines whose key is long enough.
 
+    The key is the line without ASCII white space at its ends, A-Z in lower case; bytes know
+    just that white space and lower just those letters.
+    """
+    out = []
+    for i, line in enumerate(text.lower().split(b"\n")):
+        key = line.strip()
+        # a code point has four bytes at most
+        if len(key) >= least_chars and (len(key) >= 4 * least_chars or len(key.decode(errors="replace")) >= least_chars):
+            out.append((i, key))
+    return out
 
-def _hashed_lines(docs: DataFrame, doc_id: str, text: str, least_chars: int) -> DataFrame:
-    """Per row: doc_id, text_key and, of each line whose key is long enough, place and two hashes."""
-    t = whole(f"`{text}`")
-    keys = F.transform(F.split(t, "\n"), lambda x: line_key(x))
-    long = F.filter(F.transform(keys, lambda k, i: F.struct(i.alias("i"), k.alias("k"))), lambda s: F.length(s["k"]) >= least_chars)
-    return docs.select(
-        F.col(f"`{doc_id}`").alias("doc_id"), F.xxhash64(t).alias("text_key"), long.alias("long")
-    ).select(
-        "doc_id", "text_key", F.transform("long", lambda s: s["i"]).alias("places"),
-        F.transform("long", lambda s: F.xxhash64(s["k"])).alias("h1"),
-        F.transform("long", lambda s: F.xxhash64(F.lit("second"), s["k"])).alias("h2"),
-    )
+
+def _texts(batch: pa.RecordBatch) -> list[bytes]:
+    return batch.column("text").cast(pa.binary()).to_pylist()
 
 
 def probes(hashes: np.ndarray, bits: int) -> np.ndarray:
     """The bit places of each hash, one row per probe; bits is a power of two."""
-    h = hashes.view(np.uint64)
+    h = hashes
     a, b = h & np.uint64(0xFFFFFFFF), (h >> np.uint64(32)) | np.uint64(1)
     return np.stack([(a + np.uint64(i) * b) & np.uint64(bits - 1) for i in range(PROBES)])
 
@@ -77,11 +80,12 @@ def note(once: np.ndarray, twice: np.ndarray, hashes: np.ndarray, bits: int) ->
     _put(once, at)
 
 
-def _build(bits: int) -> Callable:
+def _build(bits: int, hashes_of: Callable[[pa.RecordBatch], Iterator[np.ndarray]]) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         once, twice = np.zeros(bits // 8, dtype=np.uint8), np.zeros(bits // 8, dtype=np.uint8)
         for batch in batches:
-            note(once, twice, batch.column("h").values.to_numpy(zero_copy_only=False).astype(np.int64), bits)
+            for hashes in hashes_of(batch):
+                note(once, twice, hashes, bits)
         squeeze = zstandard.ZstdCompressor(level=1).compress
         size = min(PIECE, bits // 8)
         for k in range(bits // 8 // size):
@@ -110,11 +114,13 @@ def _merge(size: int) -> Callable:
     return run
 
 
-def repeat_filter(hashed: DataFrame, bits: int) -> bytes:
-    """The merged filter of keys seen twice or more: bits / 8 bytes. A document counts a key once."""
+def repeat_filter(rows: DataFrame, bits: int, hashes_of: Callable[[pa.RecordBatch], Iterator[np.ndarray]]) -> bytes:
+    """The merged filter, bits / 8 bytes, of hashes that two documents or more hold.
+
+    hashes_of gives arrays of the hashes in a batch of `text`, in which no text has a hash twice.
+    """
     size = min(PIECE, bits // 8)
-    lines = hashed.select(F.array_distinct("h1").alias("h"))
-    parts = lines.mapInArrow(_build(bits), "piece int, once binary, twice binary")
+    parts = rows.select("text").mapInArrow(_build(bits, hashes_of), "piece int, once binary, twice binary")
     merged = parts.repartition("piece").mapInArrow(_merge(size), "piece int, twice binary")
     out = bytearray(bits // 8)
     for row in merged.toLocalIterator():
@@ -122,18 +128,25 @@ def repeat_filter(hashed: DataFrame, bits: int) -> bytes:
     return bytes(out)
 
 
-def _suspects(sent, bits: int, id_type: pa.DataType) -> Callable:
+def _line_hashes(least_chars: int) -> Callable[[pa.RecordBatch], Iterator[np.ndarray]]:
+    def run(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+        yield np.array([h for t in _texts(batch) for h in {xxh3_64_intdigest(k) for _, k in line_keys(t, least_chars)}], dtype=np.uint64)
+
+    return run
+
+
+def _suspects(sent, bits: int, least_chars: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         twice = np.frombuffer(sent.value, dtype=np.uint8)
         for batch in batches:
-            h1, h2, places = (batch.column(c) for c in ("h1", "h2", "places"))
-            ends = h1.offsets.to_numpy()
-            values = [x.values.to_numpy(zero_copy_only=False)[ends[0] : ends[-1]] for x in (h1, h2, places)]
-            row = np.repeat(np.arange(batch.num_rows), np.diff(ends))
-            found = _has(twice, probes(values[0].astype(np.int64), bits))
-            at = pa.array(row[found])
+            lines = [(row, i, k) for row, t in enumerate(_texts(batch)) for i, k in line_keys(t, least_chars)]
+            hashes = np.array([xxh3_64_intdigest(k) for _, _, k in lines], dtype=np.uint64)
+            found = np.flatnonzero(_has(twice, probes(hashes, bits)))
+            at = pa.array([lines[j][0] for j in found], pa.int64())
+            second = np.array([xxh64_intdigest(lines[j][2]) for j in found], dtype=np.uint64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").take(at), batch.column("text_key").take(at)] + [pa.array(v[found]) for v in values],
+                [batch.column("doc_id").take(at), batch.column("text_key").take(at), pa.array(hashes[found].view(np.int64)),
+                 pa.array(second.view(np.int64)), pa.array([lines[j][1] for j in found], pa.int32())],
                 ["doc_id", "text_key", "h1", "h2", "place"])
 
     return run
@@ -149,18 +162,22 @@ def dropped_lines(
     their lines in all but the largest doc_id that holds them. A null doc_id counts as one that
     is smaller than any other; rows that share a doc_id are parts of one document.
     """
-    hashed = _hashed_lines(docs, doc_id, text, least_chars)
-    eligible = hashed.agg(F.coalesce(F.sum(F.size("h1")), F.lit(0))).first()[0]
-    bits = min(max_bits, 1 << max(13, (BITS_EACH * eligible).bit_length()))
-    sent = docs.sparkSession.sparkContext.broadcast(repeat_filter(hashed, bits))
-    id_type = hashed.schema["doc_id"].dataType
-    found = hashed.where(F.size("h1") > 0).mapInArrow(
-        _suspects(sent, bits, id_type), f"doc_id {id_type.simpleString()}, text_key long, h1 long, h2 long, place int")
+    t = whole(f"`{text}`")
+    rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.xxhash64(t).alias("text_key"), t.alias("text"))
+    # no more keys than that are long enough
+    most = rows.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0] // (least_chars + 1)
+    bits = min(max_bits, 1 << max(13, (BITS_EACH * most).bit_length() - 1))
+    sent = docs.sparkSession.sparkContext.broadcast(repeat_filter(rows, bits, _line_hashes(least_chars)))
+    id_type = rows.schema["doc_id"].dataType.simpleString()
+    found = rows.mapInArrow(_suspects(sent, bits, least_chars), f"doc_id {id_type}, text_key long, h1 long, h2 long, place int")
     suspects = written(found, "suspects")
     in_docs = suspects.select("h1", "h2", "doc_id").distinct()
     # count(1), since a null id is a document as well; max leaves nulls out
     often = in_docs.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("last")).where(F.col("n") >= least_docs)
-    lost = suspects.join(often.select("h1", "h2", "last"), ["h1", "h2"]).where(~F.col("doc_id").eqNullSafe(F.col("last")))
+    # a line may stand in a large part of all documents: its rows are dealt by salt as well
+    salted = suspects.withColumn("salt", F.pmod(F.xxhash64("text_key"), F.lit(SALTS)))
+    keys = often.select("h1", "h2", "last", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt"))
+    lost = salted.join(keys, ["h1", "h2", "salt"]).where(~F.col("doc_id").eqNullSafe(F.col("last")))
     return lost.groupBy("doc_id", "text_key").agg(F.collect_set("place").alias("places"))
 
 
