@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablegauge.llm import decontaminate, linededup, lmscore, mixing, pii, qualityrules, simhash, tokenstore, urlrules
+from tablegauge.llm import decontaminate, linededup, lmscore, mixing, passages, pii, qualityrules, simhash, tokenstore, urlrules
 from tablegauge.session import prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -150,3 +150,8 @@ FROM r
 def op9(spark: SparkSession, folder: str) -> DataFrame:
     taken = mixing.takes(table(spark, folder, "documents"))
     return taken.select("row.doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+
+
+@query("op10_passages")
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    return passages.duplicate_passages(table(spark, folder, "documents"))
