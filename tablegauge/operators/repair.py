@@ -112,12 +112,15 @@ def hash_encode(df: DataFrame, category: str, buckets: int = 64) -> DataFrame:
     return df.withColumn(f"{category}_bucket", F.pmod(digest, F.lit(buckets)))
 
 
-def one_hot(df: DataFrame, column: str, values: Sequence | None = None) -> DataFrame:
-    """Add one 0/1 column per value. Without `values` one job looks them up, at most 50."""
+def one_hot(df: DataFrame, column: str, values: Sequence | None = None, most: int = ONE_HOT_LIMIT) -> DataFrame:
+    """Add one 0/1 column per value. Without `values` one job looks them up.
+
+    `most` is the number of new columns the caller is ready for; more values raise.
+    """
     if values is None:
-        found = df.select(column).filter(F.col(column).isNotNull()).distinct().limit(ONE_HOT_LIMIT + 1).collect()
-        if len(found) > ONE_HOT_LIMIT:
-            raise ValueError(f"{column!r} has more than {ONE_HOT_LIMIT} values; encode it instead")
+        found = df.select(column).filter(F.col(column).isNotNull()).distinct().limit(most + 1).collect()
+        if len(found) > most:
+            raise ValueError(f"{column!r} has more than {most} values; allow more or encode it instead")
         values = sorted(r[0] for r in found)
     return df.withColumns(
         {f"{column}_{v}": F.when(F.col(column) == F.lit(v), 1).otherwise(0) for v in values}

@@ -10,8 +10,16 @@ from pyspark.sql import functions as F
 
 from tablegauge.session import keep
 
-# a fitted table of more rows than this is joined by shuffle
+# a fitted table of more rows or bytes than this is joined by shuffle
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 32 << 20
+
+
+def fits_broadcast(kept: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
+    """Whether a written table may be sent to every executor, by its rows and the bytes of its cells."""
+    cells = F.octet_length(F.to_json(F.struct("*"))) + 16 * len(kept.columns)
+    found = kept.limit(rows + 1).agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(cells), F.lit(0)).alias("bytes")).first()
+    return found["rows"] <= rows and found["bytes"] <= size
 
 
 def join_null_safe(
@@ -34,14 +42,14 @@ def join_null_safe(
 def join_fitted(
     df: DataFrame, fitted: DataFrame, keys: Sequence[str], how: str = "inner", limit: int = BROADCAST_ROWS
 ) -> DataFrame:
-    """Join a large table with statistics fitted per key, without shuffling it if they are few.
+    """Join a large table with statistics fitted per key, without shuffling it if they are small.
 
-    Runs one job: the statistics are written to the shared folder and counted. Up to
-    `limit` rows they are broadcast; beyond it the join is a shuffle join, where
-    adaptive execution splits a key that holds many rows.
+    Runs one job: the statistics are written to the shared folder and measured. Up to
+    `limit` rows and BROADCAST_BYTES they are broadcast; beyond it the join is a shuffle
+    join, where adaptive execution splits a key that holds many rows.
     """
     kept = keep(fitted)
-    return join_null_safe(df, kept, keys, how, small=kept.limit(limit + 1).count() <= limit)
+    return join_null_safe(df, kept, keys, how, small=fits_broadcast(kept, limit))
 
 
 def one_row(df: DataFrame):

@@ -14,7 +14,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablegauge.plans.joins import join_null_safe
+from tablegauge.plans.joins import fits_broadcast, join_null_safe
 from tablegauge.session import keep
 
 # a key with more rows than this is cut into chunks
@@ -31,7 +31,8 @@ def value_bin(value: Column, steps: int = BIN_STEPS) -> Column:
 
     Null comes first and NaN last, as in that order.
     """
-    size = F.floor((F.ln(F.abs(value)) + BIN_SHIFT) * steps)
+    # infinite values stay between the finite ones and the ends
+    size = F.least(F.floor((F.ln(F.abs(value)) + BIN_SHIFT) * steps), F.lit(1 << 59))
     return (
         F.when(value.isNull(), F.lit(-(1 << 60)))
         .when(F.isnan(value.cast("double")), F.lit(1 << 60))
@@ -47,8 +48,8 @@ def by_load(
 ) -> DataFrame:
     """`plain` for keys of ordinary size and `chunked` for busy ones, together.
 
-    Runs one job that counts rows per key. The busy keys are at most rows / BUSY_ROWS,
-    which bounds the broadcast that parts the two sides.
+    Runs one job that counts rows per key. The busy keys, at most rows / BUSY_ROWS, part the
+    two sides; they are broadcast only if their bytes fit.
     """
     if not keys:
         return chunked(df)
@@ -56,8 +57,9 @@ def by_load(
     busy = keep(counts.filter(F.col("_rows") > BUSY_ROWS).select(*keys))
     if busy.isEmpty():
         return plain(df)
-    calm = join_null_safe(df, busy, keys, "left_anti", small=True)
-    loud = join_null_safe(df, busy, keys, "left_semi", small=True)
+    small = fits_broadcast(busy)
+    calm = join_null_safe(df, busy, keys, "left_anti", small=small)
+    loud = join_null_safe(df, busy, keys, "left_semi", small=small)
     return plain(calm).unionByName(chunked(loud))
 
 

@@ -12,7 +12,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablegauge.plans.joins import BROADCAST_ROWS, join_null_safe, one_row
+from tablegauge.plans.joins import fits_broadcast, join_null_safe, one_row
 from tablegauge.plans.ordered import value_bin
 from tablegauge.session import keep
 
@@ -33,12 +33,21 @@ def quantiles(
     """
     group = list(group)
     by = [*group, "column"]
+    # bins are counted from the column's least finite value: their width follows the spread of
+    # the values, not their distance from zero (times, long ids)
+    value = {c: F.col(f"`{c}`").cast("double") for c in columns}
+    finite = lambda v: F.when(~F.isnan(v) & (F.abs(v) < F.lit(float("inf"))), v)
+    low = one_row(df.agg(*[F.min(finite(v)).alias(f"_low{i}") for i, v in enumerate(value.values())]))
+    cells = F.array(*[
+        F.struct(F.lit(c).alias("column"), v.alias("_value"), F.coalesce(F.col(f"_fit._low{i}"), F.lit(0.0)).alias("_low"))
+        for i, (c, v) in enumerate(value.items())
+    ])
     long = (
-        df.select(*group, *[F.col(c).cast("double").alias(f"_c_{c}") for c in columns])
-        .unpivot(group, [f"_c_{c}" for c in columns], "column", "_value")
+        df.withColumn("_fit", low)
+        .select(*group, F.inline(cells))
         .filter(F.col("_value").isNotNull() & ~F.isnan("_value"))
-        .withColumn("column", F.expr("substring(column, 4)"))
-        .withColumn("_bin", bin_of(F.col("_value")))
+        .withColumn("_bin", bin_of(F.col("_value") - F.col("_low")))
+        .drop("_low")
     )
     bins = long.groupBy(*by, "_bin").agg(F.count(F.lit(1)).alias("_rows"))
     along = Window.partitionBy(*by).orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0)
@@ -70,7 +79,7 @@ def quantiles(
     # the bins are written and counted before they may be broadcast
     if group:
         hits = keep(hits)
-    few = not group or hits.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    few = not group or fits_broadcast(hits)
     inside = (
         join_null_safe(long, hits.select(*by, "_bin"), [*by, "_bin"], small=few)
         .groupBy(*by, "_bin", "_value")
@@ -89,7 +98,8 @@ def quantiles(
     )
     part = F.col("_pos") - F.floor("_pos")
     return picked.select(
-        *by, "prob", (F.col("_v0") + (F.col("_v1") - F.col("_v0")) * part).alias("quantile")
+        *by, "prob",
+        F.when(part == 0, F.col("_v0")).otherwise(F.col("_v0") + (F.col("_v1") - F.col("_v0")) * part).alias("quantile"),
     )
 
 

@@ -319,6 +319,18 @@ family(
 )
 
 
-@query("g20_sampling")
+# which rows a sample takes is its own matter: held to its share, to rows of the table, and to the same rows again
+@query(
+    "g20_sampling",
+    "SELECT l_returnflag, count(*) AS n_rows, true AS near_share, true AS same_again FROM lineitem GROUP BY l_returnflag",
+)
 def _(t):
-    return run(t, "SELECT l_returnflag, count(*) AS n FROM lineitem TABLESAMPLE (10 PERCENT) REPEATABLE (7) GROUP BY l_returnflag", "lineitem")
+    take = "SELECT l_returnflag, count(*) AS n, sum(l_orderkey) AS keys FROM lineitem TABLESAMPLE (10 PERCENT) REPEATABLE (7) GROUP BY l_returnflag"
+    one, two = run(t, take, "lineitem"), run(t, take, "lineitem").select("l_returnflag", F.col("n").alias("n2"), F.col("keys").alias("keys2"))
+    every = t.lineitem.groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("n_rows"))
+    n = F.coalesce("n", F.lit(0))
+    # within six deviations of a 10 % draw
+    near = F.abs(n - 0.1 * F.col("n_rows")) <= 6 * F.sqrt(0.09 * F.col("n_rows"))
+    again = F.col("n").eqNullSafe(F.col("n2")) & F.col("keys").eqNullSafe(F.col("keys2"))
+    return every.join(one, "l_returnflag", "left").join(two, "l_returnflag", "left").select(
+        "l_returnflag", "n_rows", near.alias("near_share"), again.alias("same_again"))

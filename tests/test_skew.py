@@ -249,3 +249,21 @@ def test_as_of_join_leaves_null_keys_and_times_unmatched(spark):
     probes = spark.createDataFrame([(1, 4), (1, 6), (None, 9), (1, None)], "k int, s long").withColumn("t", F.timestamp_seconds("s"))
     got = relational.asof_join(probes, facts.drop("s"), ["k"], "t", "f", ["v"]).collect()
     assert sorted(((r.k, r.s, r.v) for r in got), key=repr) == sorted([(1, 4, None), (1, 6, 30), (None, 9, None), (1, None, None)], key=repr)
+
+
+@pytest.mark.parametrize("offset", [0, 10**15, 1_700_000_000_000_000])
+def test_bins_follow_the_data(spark, offset):
+    n = 20_000
+    df = spark.range(n).select((F.lit(offset) + F.col("id") * 100_000_000).cast("double").alias("v"))
+    got = {r.prob: r.quantile for r in quantiles.quantiles(df, ["v"], [0.0, 0.25, 0.5, 0.99, 1.0]).collect()}
+    want = df.toPandas()["v"].quantile([0.0, 0.25, 0.5, 0.99, 1.0])
+    assert all(got[p] == pytest.approx(want[p], rel=1e-12) for p in got)
+    low = float(offset)
+    assert df.groupBy(ordered.value_bin(F.col("v") - low)).count().agg(F.max("count")).first()[0] < n / 500
+
+
+def test_infinite_values_and_offsets_keep_quantiles_exact(spark):
+    rows = [float("-inf"), -5.0, 0.0, 1e15, 1e15 + 1, 1e15 + 2, float("inf")]
+    df = spark.createDataFrame([(v,) for v in rows] + [(float("nan"),), (None,)], "v double")
+    got = {r.prob: r.quantile for r in quantiles.quantiles(df, ["v"], [i / 6 for i in range(7)], interpolate=False).collect()}
+    assert set(got.values()) <= set(rows) and got[0.0] == rows[0] and got[1.0] == rows[-1] and got[0.5] == 1e15
