@@ -11,9 +11,10 @@ from tablegauge.functions.math import ratio, share_of_true
 from tablegauge.plans.joins import join_fitted, join_null_safe, one_row
 from tablegauge.plans.ordered import ordered_totals, running_totals, value_bin
 from tablegauge.plans.quantiles import quantile_row
+from tablegauge.session import keep
 
-# centroids are held in one row per table; more clusters than this are refused
-MAX_CLUSTERS = 10_000
+# centroids that are compared in one row
+CLUSTER_BLOCK = 1000
 
 
 # --- classification -------------------------------------------------------------------
@@ -135,29 +136,28 @@ def cluster_metrics(df: DataFrame, vector: str, label: str) -> DataFrame:
         "_d2", _distance2(F.col(vector), F.col("centroid"))
     )
     spread = near.groupBy(label).agg(F.sum("_d2").alias("_w"), F.avg(F.sqrt("_d2")).alias("_s"))
-    full = join_null_safe(c, spread, [label])
+    full = keep(join_null_safe(c, spread, [label]))
     middle = _dims(df, vector, label).groupBy("_pos").agg(F.avg("_x").alias("_m"))
     middle = middle.agg(
         F.transform(F.sort_array(F.collect_list(F.struct("_pos", "_m"))), lambda s: s["_m"])
     ).scalar()
-    # one row holding all centroids; refused when there are too many
-    every = full.agg(
-        F.when(F.count(F.lit(1)) <= MAX_CLUSTERS, F.collect_list(F.struct(label, "centroid", "_s")))
-        .otherwise(F.raise_error(F.lit(f"more than {MAX_CLUSTERS} clusters")).cast(
-            f"array<struct<{label}:{df.schema[label].dataType.simpleString()},centroid:array<double>,_s:double>>"
-        ))
-    ).scalar()
-    rated = full.withColumns({"_all": every, "_mid": middle})
+    # every centroid meets the others block by block, each block in a row of its own
+    blocks = max(1, -(-full.count() // CLUSTER_BLOCK))
+    block = F.pmod(F.xxhash64(label), F.lit(blocks))
+    parts = full.groupBy(block.alias("_block")).agg(F.collect_list(F.struct(label, "centroid", "_s")).alias("_all"))
+    spread_out = full.select(label, "centroid", "_s", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("_block"))
     similarity = F.transform(
         F.filter("_all", lambda o: o[label] != F.col(label)),
         lambda o: F.try_divide(F.col("_s") + o["_s"], F.sqrt(_distance2(F.col("centroid"), o["centroid"]))),
     )
+    worst = spread_out.join(parts, "_block").select(label, F.array_max(similarity).alias("_worst")).groupBy(label).agg(F.max("_worst").alias("_worst"))
+    rated = join_null_safe(full, worst, [label]).withColumn("_mid", middle)
     sums = rated.agg(
         F.sum("_w").alias("inertia"),
         F.sum(F.col("n") * _distance2(F.col("centroid"), F.col("_mid"))).alias("_b"),
         F.sum("n").alias("_n"),
         F.count(F.lit(1)).alias("_k"),
-        F.avg(F.array_max(similarity)).alias("davies_bouldin"),
+        F.avg("_worst").alias("davies_bouldin"),
     )
     between, within = ratio(F.col("_b"), F.col("_k") - 1), ratio(F.col("inertia"), F.col("_n") - F.col("_k"))
     return sums.select("inertia", ratio(between, within).alias("calinski_harabasz"), "davies_bouldin")
