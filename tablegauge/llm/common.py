@@ -61,6 +61,16 @@ def null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str)
     return left.join(other, cond, how).drop(*[f"_r_{k}" for k in keys])
 
 
+def where_computed(df: DataFrame, condition: Column) -> DataFrame:
+    """df.where(condition), computed once.
+
+    Spark moves a plain filter below the projections that lead to it and copies their
+    expressions into it, several times over if columns build on each other. What a generator
+    gives is filtered where it is.
+    """
+    return df.withColumn("_met", F.explode_outer(F.array(condition))).where("_met").drop("_met")
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """Write a table to the shared folder and read it back: lineage ends there."""
     spark = df.sparkSession
@@ -71,5 +81,5 @@ def written(df: DataFrame, label: str) -> DataFrame:
 
 __all__ = [
     "BROADCAST_BYTES", "NOT_WORD", "SPACE", "UPPER", "keep", "lower_ascii", "neighbours", "null_safe",
-    "sliding", "split_words", "whole", "written",
+    "sliding", "split_words", "where_computed", "whole", "written",
 ]

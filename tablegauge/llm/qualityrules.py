@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablegauge.llm.common import keep, neighbours, split_words, whole, written
+from tablegauge.llm.common import neighbours, split_words, where_computed, whole, written
 
 #: fixed by the contract of the base rule
 LEAST_WORDS, REPEAT_PERCENT = 50, 50
@@ -227,7 +227,7 @@ def judged(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
 
 def filter_quality(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """The rows of docs that the base rule and the learned list keep, with all their columns."""
-    stats = statistics(docs, doc_id, text).drop(*[c for c in COUNTS if c not in ("n_words", "n_repeat_words")])
-    rules = learn_rules(keep(labelled_statistics(stats, labels)), **options)
+    stats = written(statistics(docs, doc_id, text).select("doc_id", "n_repeat_words", *FEATURES), "statistics")
+    rules = learn_rules(labelled_statistics(stats, labels), **options)
     rows = with_statistics(docs.select(F.struct("*").alias("row"), F.col(f"`{text}`").alias("text")), "text")
-    return rows.where(~base_failed() & verdict(rules)).select("row.*")
+    return where_computed(rows, ~base_failed() & verdict(rules)).select("row.*")
