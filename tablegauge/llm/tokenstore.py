@@ -34,7 +34,7 @@ BLOCK = 1 << 16
 LEVEL = 3
 END_ID = 1
 # characters encoded at a time, and of a long text's parts
-PART = 32 << 20
+PART = 8 << 20
 # punctuation that may follow a plain word; plain words are runs of letters up to U+00FF
 MARKS = ".,;:!?#*$%&|<>()"
 LETTERS = "".join(c for c in map(chr, range(0x100)) if c.isalpha())
