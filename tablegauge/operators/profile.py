@@ -104,41 +104,56 @@ def profile_table(df: DataFrame) -> DataFrame:
     return facts.filter((F.col("metric") != "nulls") | (F.col("value") > 0)).unionByName(copies)
 
 
-def column_samples(df: DataFrame, order_by: str, n: int = 5, columns: Sequence[str] | None = None) -> DataFrame:
-    """(column, samples): the first n distinct non-missing values by `order_by`, as text."""
-    names = list(columns or df.columns)
-    shaped = df.select(
-        F.col(order_by).alias("_key"), *[S.known(df, c).cast("string").alias(f"_c_{c}") for c in names]
-    )
-    seen = (
-        shaped.unpivot(["_key"], [f"_c_{c}" for c in names], "column", "value")
+def _first_values(df: DataFrame, order_by: str) -> DataFrame:
+    """(column, value, _first): each known value of each column as text, and the least key that has it."""
+    shaped = df.select(F.col(order_by).alias("_key"), *[S.known(df, c).cast("string").alias(f"_c_{c}") for c in df.columns])
+    return (
+        shaped.unpivot(["_key"], [f"_c_{c}" for c in df.columns], "column", "value")
         .filter(F.col("value").isNotNull())
-        .groupBy("column", "value")
+        .groupBy(F.expr("substring(column, 4)").alias("column"), "value")
         .agg(F.min("_key").alias("_first"))
     )
+
+
+def _samples(seen: DataFrame, n: int) -> DataFrame:
     # the rank filter is applied before the shuffle too, so no column's values gather in one task
     rank = F.row_number().over(Window.partitionBy("column").orderBy("_first", "value"))
     return (
         seen.withColumn("_rank", rank)
         .filter(F.col("_rank") <= n)
-        .groupBy(F.expr("substring(column, 4)").alias("column"))
+        .groupBy("column")
         .agg(F.sort_array(F.collect_list(F.struct("_rank", "value"))).alias("_s"))
         .select("column", F.col("_s.value").alias("samples"))
     )
 
 
+def column_samples(df: DataFrame, order_by: str, n: int = 5, columns: Sequence[str] | None = None) -> DataFrame:
+    """(column, samples): the first n distinct non-missing values by `order_by`, as text."""
+    wanted = df if columns is None else df.select(*dict.fromkeys([order_by, *columns]))
+    found = _samples(_first_values(wanted, order_by), n)
+    return found if columns is None else found.where(F.col("column").isin(*columns))
+
+
+def _counted(df: DataFrame, names: Sequence[str], counted: DataFrame) -> DataFrame:
+    """One row for each name, which the schema knows, with its count or 0."""
+    named = df.sparkSession.createDataFrame([(c,) for c in names], "column string")
+    return named.join(F.broadcast(counted), "column", "left").select(
+        "column", F.coalesce("distinct_values", F.lit(0)).alias("distinct_values")
+    )
+
+
+def _countable(df: DataFrame) -> list[str]:
+    return [c for c in df.columns if S.kind(df.schema[c].dataType) != "other"]
+
+
 def distinct_counts(df: DataFrame, columns: Sequence[str] | None = None, exact: bool = True) -> DataFrame:
     """(column, distinct_values), nulls not counted. exact=False uses a sketch in one scan."""
-    names = list(columns or [c for c in df.columns if S.kind(df.schema[c].dataType) != "other"])
+    names = list(columns or _countable(df))
     if not exact:
         return per_column(
             df, names, {"distinct_values": lambda c: f"approx_count_distinct({known_sql(df, c)})"}
         ).select("column", "distinct_values")
-    present = per_column(df, names, {"filled": lambda c: f"count({known_sql(df, c)})"}).select("column")
-    counted = value_freq(df, names).groupBy("column").agg(F.count(F.lit(1)).alias("distinct_values"))
-    return present.join(F.broadcast(counted), "column", "left").select(
-        "column", F.coalesce("distinct_values", F.lit(0)).alias("distinct_values")
-    )
+    return _counted(df, names, value_freq(df, names).groupBy("column").agg(F.count(F.lit(1)).alias("distinct_values")))
 
 
 def column_meaning(columns: DataFrame) -> DataFrame:
@@ -165,20 +180,25 @@ def column_role_flags(columns: DataFrame) -> DataFrame:
     )
 
 
-def column_facts(df: DataFrame, exact: bool = True) -> DataFrame:
+def column_facts(df: DataFrame, exact: bool = True, distinct: DataFrame | None = None) -> DataFrame:
     """Columns table of one DataFrame with nulls and distinct_values."""
     meta = S.columns_table(df.sparkSession, {"data": df}).drop("dataset")
     nulls = null_counts(df, all_columns=True)
+    distinct = distinct_counts(df, exact=exact) if distinct is None else distinct
     # all three sides have one row per column
-    return meta.join(F.broadcast(nulls), "column").join(
-        F.broadcast(distinct_counts(df, exact=exact)), "column", "left"
-    )
+    return meta.join(F.broadcast(nulls), "column").join(F.broadcast(distinct), "column", "left")
 
 
 def data_dictionary(df: DataFrame, order_by: str, exact: bool = True) -> DataFrame:
-    """One row per column: type, meaning, samples, nulls, distinct values, role flags."""
-    described = column_role_flags(column_meaning(column_facts(df, exact)))
-    return described.join(F.broadcast(column_samples(df, order_by)), "column", "left")
+    """One row per column: type, meaning, samples, nulls, distinct values, role flags.
+
+    Exact counts and samples come from one grouping of the cells, which Spark shuffles once.
+    """
+    seen = _first_values(df, order_by)
+    counted = seen.groupBy("column").agg(F.count(F.lit(1)).alias("distinct_values"))
+    distinct = _counted(df, _countable(df), counted) if exact else None
+    described = column_role_flags(column_meaning(column_facts(df, exact, distinct)))
+    return described.join(F.broadcast(_samples(seen, 5)), "column", "left")
 
 
 def column_summary(df: DataFrame, column: str) -> DataFrame:
