@@ -113,7 +113,7 @@ def check_duplicates(df: DataFrame, check: str = "duplicate_rows") -> DataFrame:
 
 def check_constant(df: DataFrame, all_null: bool = True) -> DataFrame:
     """Columns with at most one distinct value; all_null=False leaves all-null columns out."""
-    return issues_where(column_facts(df, outliers=False), constant_issue(all_null))
+    return issues_where(column_facts(df, outliers=False, counts=False), constant_issue(all_null))
 
 
 def check_high_cardinality(

@@ -75,13 +75,14 @@ def number(df: DataFrame, c: str) -> Column:
 
 
 def column_facts(
-    df: DataFrame, limit: float = 3.0, outliers: bool = True, temporal_as_string: bool = False
+    df: DataFrame, limit: float = 3.0, outliers: bool = True, temporal_as_string: bool = False, counts: bool = True
 ) -> DataFrame:
     """One row per comparable column: n_rows, nulls, lowest, variety, distinct, negatives, outliers.
 
     `variety` is 0 for an all-null column, 1 for a single value, 2 for more, which
     finds constant columns without counting distinct values. `distinct` is filled for
-    text columns. `outliers` counts values further than `limit` sample deviations from
+    text columns, unless `counts` is off: then the least and greatest text, read in one scan
+    without a shuffle, tell the variety. `outliers` counts values further than `limit` sample deviations from
     the mean, null without spread.
 
     Two scans without a row shuffle (fit as one row, then count outliers against it)
@@ -131,12 +132,24 @@ def column_facts(
     facts = tall(row, names, listed)
     if not texts:
         return facts.withColumn("distinct", F.lit(None).cast("long"))
+    is_text = F.col("column").isin(*texts)
+    if not counts:
+        text = lambda c: f"CAST({known_sql(df, c)} AS STRING)"
+        ends = wide(df, texts, {
+            "_lowest": lambda c: f"min({text(c)})",
+            "_variety": lambda c: f"CASE WHEN min({text(c)}) IS NULL THEN 0 WHEN min({text(c)}) = max({text(c)}) THEN 1 ELSE 2 END",
+        })
+        both = facts.join(F.broadcast(tall(ends, texts, ["_lowest", "_variety"]).select("column", "_lowest", "_variety")), "column", "left")
+        return both.withColumns({
+            "distinct": F.lit(None).cast("long"),
+            "variety": F.coalesce("_variety", "variety"),
+            "lowest": F.coalesce("_lowest", "lowest"),
+        }).drop("_lowest", "_variety")
     values = value_freq(df, texts).groupBy("column").agg(
         F.count(F.lit(1)).alias("distinct"), F.min("value").alias("_lowest")
     )
     # one row per text column
     joined = facts.join(F.broadcast(values), "column", "left")
-    is_text = F.col("column").isin(*texts)
     seen = F.coalesce("distinct", F.lit(0))
     return joined.withColumns(
         {
