@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tablegauge.llm import decontaminate, mixing, qualityrules, simhash, tokenstore
 from tablegauge.llm.common import written
-from tablegauge.llm.workload import query, table, tokenizer_file
+from tablegauge.llm.workload import query, ready, table, tokenizer_file
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,13 +38,12 @@ def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return tokenstore.stored(docs, tokenizer_file())
 
 
-STAGES = [
-    ("quality_rules", quality_rules),
-    ("simhash_dedup", simhash_dedup),
-    ("benchmark_decontamination", benchmark_decontamination),
-    ("source_mix", source_mix),
-    ("token_output", token_output),
-]
+def _staged(stage):
+    """The stage in a session whose settings the operators rely on."""
+    return lambda spark, docs, sf_dir: stage(ready(spark), docs, sf_dir)
+
+
+STAGES = [(f.__name__, _staged(f)) for f in (quality_rules, simhash_dedup, benchmark_decontamination, source_mix, token_output)]
 
 # learned rules, hashes and tokens can't be written in SQL; tests hold run() against brute force
 ORACLE_SQL = None

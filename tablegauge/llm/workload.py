@@ -21,7 +21,7 @@ def query(name: str, sql: str | None = None):
     """Register fn(spark, folder) under `name`; sql is the equivalent statement, if there is one."""
 
     def keep(fn):
-        QUERIES[name] = lambda spark, folder: fn(_ready(spark), folder)
+        QUERIES[name] = lambda spark, folder: fn(ready(spark), folder)
         if sql is not None:
             ORACLE[name] = sql
         return fn
@@ -29,7 +29,7 @@ def query(name: str, sql: str | None = None):
     return keep
 
 
-def _ready(spark: SparkSession) -> SparkSession:
+def ready(spark: SparkSession) -> SparkSession:
     # long texts: Python gets batches of bounded bytes, not only of bounded rows
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
     return prepare(spark)
