@@ -34,20 +34,19 @@ POSTING = 64
 COUNTED = 1 << 16
 
 
-def shingle_hashes(text: Column, words: int = WORDS) -> Column:
-    """XXH64 (seed 42) of every run of `words` words; of all words if they are fewer; repeats stay."""
-    w = split_words(lower_ascii(text))
-    runs = w
-    for k in range(1, words):
-        runs = neighbours_of(runs, w, k)
-    few = F.when(F.size(w) > 0, F.array(F.xxhash64(F.array_join(w, " ")))).otherwise(F.array().cast("array<bigint>"))
-    return F.when(F.size(w) >= words, F.transform(runs, lambda r: F.xxhash64(r))).otherwise(few)
-
+def with_shingles(df: DataFrame, text: str, name: str, words: int = WORDS) -> DataFrame:
+    """Add `name`: XXH64 (seed 42) of every run of `words` words; of all words if they are fewer.
 
-def neighbours_of(runs: Column, words: Column, k: int) -> Column:
-    """Each run with the word that follows it."""
-    n = F.greatest(F.size(words) - k, F.lit(0))
-    return F.zip_with(F.slice(runs, F.lit(1), n), F.slice(words, F.lit(1 + k), n), lambda a, b: F.concat(a, F.lit(" "), b))
+    Step by step in columns of their own, so nothing is computed twice.
+    """
+    df = df.withColumn("_words", split_words(lower_ascii(F.col(text)))).withColumn("_runs", F.col("_words"))
+    for k in range(1, words):
+        n = F.greatest(F.size("_words") - k, F.lit(0))
+        longer = F.zip_with(F.slice("_runs", F.lit(1), n), F.slice("_words", F.lit(1 + k), n), lambda a, b: F.concat(a, F.lit(" "), b))
+        df = df.withColumn("_runs", longer)
+    few = F.when(F.size("_words") > 0, F.array(F.array_join("_words", " "))).otherwise(F.array().cast("array<string>"))
+    runs = F.when(F.size("_words") >= words, F.col("_runs")).otherwise(few)
+    return df.withColumn(name, F.transform(runs, lambda r: F.xxhash64(r))).drop("_words", "_runs")
 
 
 def majority(hashes: np.ndarray) -> int:
@@ -73,9 +72,8 @@ def _fingerprint_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Recor
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS) -> DataFrame:
     """Per document row: doc_id, text_key (a hash of the text), print (a signed long)."""
     t = whole(f"`{text}`")
-    hashed = docs.select(
-        F.col(f"`{doc_id}`").alias("doc_id"), F.xxhash64(t).alias("text_key"), shingle_hashes(t, words).alias("hashes")
-    )
+    rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.xxhash64(t).alias("text_key"), t.alias("text"))
+    hashed = with_shingles(rows, "text", "hashes", words).drop("text")
     kind = hashed.schema["doc_id"].dataType.simpleString()
     return hashed.mapInArrow(_fingerprint_batches, f"doc_id {kind}, text_key long, print long")
 
