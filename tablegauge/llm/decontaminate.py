@@ -51,7 +51,8 @@ def benchmark_runs(benchmark: DataFrame, item_id: str, text: str, window: int, g
     parts = []
     for length in lengths:
         own = _fingerprints(items.where(F.col("length") == length), "words", "prints", length, gram)
-        runs = own.select("item", "length", "words", F.posexplode("prints").alias("at", "print"))
+        # the outer form keeps Spark from testing for empty arrays ahead, which would compute them twice
+        runs = own.select("item", "length", "words", F.posexplode_outer("prints").alias("at", "print")).where("at is not null")
         parts.append(runs.select("item", "length", "print", F.slice("words", F.col("at") + 1, F.lit(length)).alias("run")))
     if not parts:
         return items.select("length", F.lit(0).cast("long").alias("print"), F.col("words").alias("run"),
@@ -146,7 +147,7 @@ def _hits(keyed: DataFrame, runs: DataFrame, lengths: list[int], gram: int, broa
         found = _fingerprints(found, "words", f"_prints_{length}", length, gram)
         found = found.withColumn(f"_places_{length}", _places(f"_prints_{length}", length, known)).drop(f"_prints_{length}")
         places.append(F.col(f"_places_{length}"))
-    candidates = found.select("doc_id", "text_key", "words", F.explode(F.concat(*places)).alias("p")).select(
+    candidates = found.select("doc_id", "text_key", "words", F.explode_outer(F.concat(*places)).alias("p")).where("p is not null").select(
         "doc_id", "text_key", "p.start", "p.length", "p.print", F.slice("words", F.col("p.start"), F.col("p.length")).alias("run")
     )
     other = F.broadcast(runs) if size["bytes"] <= broadcast_bytes else runs
