@@ -20,11 +20,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablegauge.llm.common import null_safe, whole, written
+from tablegauge.llm.tokens import END, START, batch_tokens, batch_words, chunks, mix
 
 #: fixed by the contract: documents whose crc32 leaves HELD of FOLDS are held out
 FOLDS, HELD = 7, 2
@@ -34,11 +34,8 @@ SEGMENT_BYTES = 64 << 20
 HEAD_WORDS = 1 << 20
 # weight of the pair model against the word model
 PAIR_WEIGHT = 0.7
-# tokens counted at a time, and words whose hash a worker remembers
-COUNTED, KNOWN_WORDS = 1 << 22, 400_000
-# white space never occurs in a word
-START = np.uint64(xxhash.xxh64_intdigest(b" start"))
-END = np.uint64(xxhash.xxh64_intdigest(b" end"))
+# keys counted at a time
+COUNTED = 1 << 22
 # levels of more than this are not told apart (2**48 occurrences)
 TOP_LEVEL = 48
 
@@ -47,43 +44,19 @@ def held_out(doc_id: str | Column) -> Column:
     return F.crc32(F.coalesce(F.col(doc_id).cast("string") if isinstance(doc_id, str) else doc_id, F.lit(""))) % FOLDS == HELD
 
 
-class _Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= KNOWN_WORDS:
-            self.clear()
-        found = self[word] = xxhash.xxh64_intdigest(word)
-        return found
-
-
-_hashes = _Hashes()
-
-
-def token_hashes(text: bytes) -> np.ndarray:
-    """The hashes of a text's words, A-Z in lower case, and of the end."""
-    words = text.lower().split()  # bytes split at ASCII white space and lower ASCII only
-    out = np.empty(len(words) + 1, dtype=np.uint64)
-    out[:-1] = np.fromiter(map(_hashes.__getitem__, words), dtype=np.uint64, count=len(words))
-    out[-1] = END
-    return out
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x7FB5D329728EA185)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x81DADEF4BC2DD44D)
-    return x ^ (x >> np.uint64(33))
-
-
 def word_keys(h: np.ndarray) -> np.ndarray:
-    return _mix(h + np.uint64(1))
+    return mix(h + np.uint64(1))
 
 
 def pair_keys(before: np.ndarray, h: np.ndarray) -> np.ndarray:
-    return _mix(_mix(before) + h * np.uint64(3))
+    return mix(mix(before) + h * np.uint64(3))
 
 
 def _before(h: np.ndarray) -> np.ndarray:
+    """The token before each; START after an END and at first."""
     out = np.empty_like(h)
-    out[0], out[1:] = START, h[:-1]
+    out[:1], out[1:] = START, h[:-1]
+    out[out == END] = START
     return out
 
 
@@ -97,7 +70,7 @@ LEVEL_COUNT = np.array([0.0] + [(2.0 ** (q - 1) + 2.0**q - 1) / 2 for q in range
 
 
 def _bits(keys: np.ndarray, q: int) -> list[np.ndarray]:
-    x = _mix(keys + np.uint64(q * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
+    x = mix(keys + np.uint64(q * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
     return [(x >> np.uint64(20 * i)) & np.uint64(BLOCK_BITS - 1) for i in range(PROBES)]
 
 
@@ -115,14 +88,15 @@ def put_levels(block: np.ndarray, keys: np.ndarray, levels: np.ndarray) -> None:
 def read_levels(segment: np.ndarray, first: int, last: int, blocks: int, keys: np.ndarray) -> np.ndarray:
     """The levels of the n-grams whose blocks are first .. last - 1; 0 for all others."""
     out = np.zeros(len(keys), dtype=np.uint8)
-    block = block_of(keys, blocks)
+    block = block_of(keys, blocks).view(np.int64)
     alive = np.flatnonzero((block >= first) & (block < last))
-    base = (block[alive] - np.uint64(first)) * np.uint64(BLOCK_BITS // 8)
+    base = (block[alive] - first) * (BLOCK_BITS // 8)
     keys = keys[alive]
     for q in range(1, TOP_LEVEL + 1):
         found = np.ones(len(alive), dtype=bool)
         for at in _bits(keys, q):
-            found &= (segment[base + (at >> np.uint64(3))] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+            at = at.view(np.int64)
+            found &= (segment[base + (at >> 3)] >> (at & 7).astype(np.uint8) & 1).astype(bool)
         alive, base, keys = alive[found], base[found], keys[found]
         if not len(alive):
             break
@@ -130,39 +104,62 @@ def read_levels(segment: np.ndarray, first: int, last: int, blocks: int, keys: n
     return out
 
 
-def _texts(batch: pa.RecordBatch) -> list[bytes]:
-    return batch.column("text").cast(pa.binary()).to_pylist()
+def _summed(keys: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Each different key with its number, or the sum of its n."""
+    if n is None:
+        return np.unique(keys, return_counts=True)
+    some, back = np.unique(keys, return_inverse=True)
+    return some, np.bincount(back, weights=n, minlength=len(some)).astype(np.int64)
+
+
+def _rows(columns: list, names: list[str]) -> Iterator[pa.RecordBatch]:
+    for at in range(0, len(columns[0]), 1 << 18):
+        yield pa.RecordBatch.from_arrays([pa.array(c[at : at + (1 << 18)]) for c in columns], names)
+
+
+def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held, size = [], 0
+    for batch in batches:
+        for part in chunks(batch):
+            own, index, _ = batch_words(part.column("text"))
+            held.append((own, np.bincount(index, minlength=len(own))))
+            size += len(own)
+            if size >= COUNTED:
+                keys, n = _summed(*map(np.concatenate, zip(*held)))
+                yield from _rows([keys.view(np.int64), n], ["h", "n"])
+                held, size = [], 0
+    if held:
+        keys, n = _summed(*map(np.concatenate, zip(*held)))
+        yield from _rows([keys.view(np.int64), n], ["h", "n"])
 
 
-def _counts(make: Callable, names: tuple[str, ...], blocks: int = 0) -> Callable:
-    """Counts the keys that make(token hashes) gives, summed over COUNTED tokens at a time."""
+def _keyed(keys: np.ndarray, n: np.ndarray, blocks: int) -> Iterator[pa.RecordBatch]:
+    yield from _rows([keys.view(np.int64), n, block_of(keys, blocks).astype(np.int32)], ["key", "n", "block"])
 
+
+def _pair_counts(blocks: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(held):
-            keys, n = np.unique(np.concatenate(held), return_counts=True)
-            for at in range(0, len(keys), 1 << 18):
-                k = keys[at : at + (1 << 18)]
-                columns = [pa.array(k.view(np.int64)), pa.array(n[at : at + (1 << 18)])]
-                if blocks:
-                    columns.append(pa.array(block_of(k, blocks).astype(np.int32)))
-                yield pa.RecordBatch.from_arrays(columns, list(names))
-
-        held, n = [], 0
+        held, size = [], 0
         for batch in batches:
-            for text in _texts(batch):
-                held.append(make(token_hashes(text)))
-                n += len(held[-1])
-                if n >= COUNTED:
-                    yield from out(held)
-                    held, n = [], 0
+            for part in chunks(batch):
+                h, _ = batch_tokens(part.column("text"))
+                held.append(pair_keys(_before(h), h))
+                size += len(h)
+                if size >= COUNTED:
+                    yield from _keyed(*_summed(np.concatenate(held)), blocks)
+                    held, size = [], 0
         if held:
-            yield from out(held)
+            yield from _keyed(*_summed(np.concatenate(held)), blocks)
 
     return run
 
 
-def _both(h: np.ndarray) -> np.ndarray:
-    return np.concatenate([word_keys(h), pair_keys(_before(h), h)])
+def _word_rows(blocks: int) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield from _keyed(word_keys(batch.column("h").to_numpy().view(np.uint64)), batch.column("n").to_numpy(), blocks)
+
+    return run
 
 
 def _built(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,71 +178,84 @@ def _built(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([bits.tobytes()], pa.binary())], ["block", "bits"])
 
 
-def filter_blocks(train: DataFrame, tokens: int) -> tuple[DataFrame, int]:
-    """(the filter's blocks as rows block, bits; how many there are) for a column `text`."""
+def filter_blocks(train: DataFrame, words: DataFrame, tokens: int) -> tuple[DataFrame, int]:
+    """(the filter's blocks as rows block, bits; how many there are) from texts and their words' counts."""
     blocks = max(1, -(-BITS_EACH * tokens // BLOCK_BITS))
-    counted = train.mapInArrow(_counts(_both, ("key", "n", "block"), blocks), "key long, n long, block int")
+    kind = "key long, n long, block int"
+    counted = train.mapInArrow(_pair_counts(blocks), kind).unionByName(words.select("h", "n").mapInArrow(_word_rows(blocks), kind))
     # dealt by block, counts of a key meet there without another shuffle
     summed = counted.repartition("block").groupBy("block", "key").agg(F.sum("n").alias("n"))
     return written(summed.mapInArrow(_built, "block int, bits binary"), "filter"), blocks
 
 
-def _levels(sent, first: int, last: int, blocks: int, head) -> Callable:
-    """Per document the levels of its words and pairs in one segment; with `head`, base figures too."""
+def token_logs(words: np.ndarray, pairs: np.ndarray, starts: np.ndarray, tokens: float, different: float, end_count: float) -> np.ndarray:
+    """log10 probability of each token from the levels of its word and pair; texts begin at `starts`."""
+    words, pairs = LEVEL_COUNT[words], LEVEL_COUNT[pairs]
+    context = np.empty_like(words)
+    context[1:] = words[:-1]
+    context[starts] = end_count  # as many texts start as end
+    alone = (words + 1) / (tokens + different + 1)
+    seen = context > 0
+    share = np.minimum(np.divide(pairs, context, out=np.zeros_like(pairs), where=seen), 1.0)
+    return np.log10(np.where(seen, PAIR_WEIGHT * share + (1 - PAIR_WEIGHT) * alone, alone))
+
+
+def _levels(sent, first: int, last: int, blocks: int, head, model=None) -> Callable:
+    """Per document the levels of its words and pairs in one segment; with `head`, base figures too.
+
+    With `model` (arguments of token_logs) the segment is the whole filter, and each document's
+    score stands in place of its levels.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         segment = np.frombuffer(sent.value, dtype=np.uint8)
         if head is not None:
             known, logs = head.value
         for batch in batches:
-            each = [token_hashes(t) for t in _texts(batch)]
-            columns = [batch.column("doc_id"), batch.column("text_key")]
-            found, base, n_known, tail_h, tail_n = [], [], [], [], []
-            for h in each:
-                some, back = np.unique(h, return_inverse=True)
+            for part in chunks(batch):
+                some, back, ends = batch_words(part.column("text"))
+                h, starts = some[back], np.concatenate([[0], ends[:-1]])
                 words = read_levels(segment, first, last, blocks, word_keys(some))[back]
                 pairs = read_levels(segment, first, last, blocks, pair_keys(_before(h), h))
-                found.append(np.stack([words, pairs]).tobytes())
+                columns, names = [part.column("doc_id"), part.column("text_key")], ["doc_id", "text_key"]
+                if model is None:
+                    columns.append(pa.array([words[a:b].tobytes() + pairs[a:b].tobytes() for a, b in zip(starts.tolist(), ends.tolist())], pa.binary()))
+                    names.append("levels")
+                else:
+                    columns.append(pa.array(np.add.reduceat(token_logs(words, pairs, starts, *model), starts)))
+                    names.append("score")
                 if head is not None:
-                    n = np.bincount(back, minlength=len(some))
                     at = np.minimum(np.searchsorted(known, some), max(len(known) - 1, 0))
                     is_head = known[at] == some if len(known) else np.zeros(len(some), dtype=bool)
-                    base.append(float((n[is_head] * logs[at[is_head]]).sum()))
-                    n_known.append(int(n[is_head].sum()))
-                    tail_h.append(some[~is_head].view(np.int64))
-                    tail_n.append(n[~is_head])
-            columns.append(pa.array(found, pa.binary()))
-            names = ["doc_id", "text_key", "levels"]
-            if head is not None:
-                columns += [pa.array([len(h) for h in each], pa.int64()), pa.array(base, pa.float64()), pa.array(n_known, pa.int64()),
-                            pa.array(tail_h, pa.list_(pa.int64())), pa.array(tail_n, pa.list_(pa.int64()))]
-                names += ["n_tokens", "base", "known", "tail_h", "tail_n"]
-            yield pa.RecordBatch.from_arrays(columns, names)
+                    base = np.where(is_head, logs[at], 0.0) if len(known) else np.zeros(len(some))
+                    # rare words of each text, once with their number
+                    text = np.repeat(np.arange(len(ends)), ends - starts)
+                    rare = ~is_head[back]
+                    pair, n = np.unique(text[rare] * len(some) + back[rare], return_counts=True)
+                    lists = pa.array(np.searchsorted(pair, np.arange(len(ends) + 1) * len(some)), pa.int32())
+                    columns += [pa.array(ends - starts), pa.array(np.add.reduceat(base[back], starts)),
+                                pa.array(np.add.reduceat(is_head[back].astype(np.int64), starts)),
+                                pa.ListArray.from_arrays(lists, pa.array(some[pair % len(some)].view(np.int64))),
+                                pa.ListArray.from_arrays(lists, pa.array(n))]
+                    names += ["n_tokens", "base", "known", "tail_h", "tail_n"]
+                yield pa.RecordBatch.from_arrays(columns, names)
 
     return run
 
 
-def pair_score(levels: np.ndarray, tokens: float, different: float, end_count: float) -> float:
-    """log10 probability of a text from its word (row 0) and pair (row 1) levels."""
-    words, pairs = LEVEL_COUNT[levels[0]], LEVEL_COUNT[levels[1]]
-    context = np.empty_like(words)
-    context[0], context[1:] = end_count, words[:-1]  # as many texts start as end
-    alone = (words + 1) / (tokens + different + 1)
-    seen = context > 0
-    share = np.minimum(np.divide(pairs, context, out=np.zeros_like(pairs), where=seen), 1.0)
-    return float(np.log10(np.where(seen, PAIR_WEIGHT * share + (1 - PAIR_WEIGHT) * alone, alone)).sum())
-
+def _scored(model: tuple, segments: int) -> Callable:
+    """Scores from the levels that all segments gave."""
 
-def _scored(tokens: int, different: int, end_count: float, segments: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             parts = [batch.column(f"levels_{s}").to_pylist() for s in range(segments)]
             scores = []
             for each in zip(*parts):
-                levels = np.frombuffer(each[0], dtype=np.uint8).reshape(2, -1)
+                levels = np.frombuffer(each[0], dtype=np.uint8)
                 for other in each[1:]:  # an n-gram has a level in one segment only
-                    levels = levels | np.frombuffer(other, dtype=np.uint8).reshape(2, -1)
-                scores.append(pair_score(levels, tokens, different, end_count))
+                    levels = levels | np.frombuffer(other, dtype=np.uint8)
+                words, pairs = levels.reshape(2, -1)
+                scores.append(float(token_logs(words, pairs, np.array([0]), *model).sum()))
             keep = [c for c in batch.schema.names if not c.startswith("levels_")]
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in keep] + [pa.array(scores, pa.float64())], [*keep, "score"])
 
@@ -266,7 +276,7 @@ def scores(
     t = whole(f"`{text}`")
     rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), t.alias("text"), F.xxhash64(t).alias("text_key"))
     train = rows.where(~held_out("doc_id")).select("text")
-    counted = train.mapInArrow(_counts(lambda h: h, ("h", "n")), "h long, n long")
+    counted = train.mapInArrow(_word_counts, "h long, n long")
     words = written(counted.groupBy("h").agg(F.sum("n").alias("n")), "words")
     sums = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v"),
                      F.coalesce(F.max(F.when(F.col("h") == int(END.view(np.int64)), F.col("n"))), F.lit(0)).alias("end")).first()
@@ -283,26 +293,32 @@ def scores(
     divide = float(total + different + 1)
     head = spark.sparkContext.broadcast((known[order], np.log10((n[order] + 1) / divide)))
 
-    table, blocks = filter_blocks(train, total)
+    table, blocks = filter_blocks(train, words, total)
     each = max(1, segment_bytes * 8 // BLOCK_BITS)
     id_type = rows.schema["doc_id"].dataType.simpleString()
-    found, ranges = None, [(a, min(a + each, blocks)) for a in range(0, blocks, each)]
+    ranges = [(a, min(a + each, blocks)) for a in range(0, blocks, each)]
+    model = (total, different, float(LEVEL_COUNT[level(np.array([sums["end"]]))[0]]))
+    more = "n_tokens long, base double, known long, tail_h array<long>, tail_n array<long>"
+    found = None
     for s, (first, last) in enumerate(ranges):
         bits = bytearray((last - first) * BLOCK_BITS // 8)
         for r in table.where(F.col("block").between(first, last - 1)).toLocalIterator():
             at = (r["block"] - first) * BLOCK_BITS // 8
             bits[at : at + BLOCK_BITS // 8] = r["bits"]
         sent = spark.sparkContext.broadcast(bytes(bits))
-        kind = f"doc_id {id_type}, text_key long, levels binary"
-        if s == 0:
-            kind += ", n_tokens long, base double, known long, tail_h array<long>, tail_n array<long>"
-            found = rows.mapInArrow(_levels(sent, first, last, blocks, head), kind).withColumnRenamed("levels", "levels_0")
+        if len(ranges) == 1:
+            scored = rows.mapInArrow(_levels(sent, first, last, blocks, head, model), f"doc_id {id_type}, text_key long, score double, {more}")
+        elif s == 0:
+            found = rows.mapInArrow(_levels(sent, first, last, blocks, head), f"doc_id {id_type}, text_key long, levels binary, {more}")
+            found = found.withColumnRenamed("levels", "levels_0")
         else:
-            more = rows.dropDuplicates(["doc_id", "text_key"]).mapInArrow(_levels(sent, first, last, blocks, None), kind)
-            found = null_safe(found, more.withColumnRenamed("levels", f"levels_{s}"), ["doc_id", "text_key"], "left")
-    kind = f"doc_id {id_type}, text_key long, n_tokens long, base double, known long, tail_h array<long>, tail_n array<long>, score double"
-    names = ["doc_id", "text_key", "n_tokens", "base", "known", "tail_h", "tail_n", *[f"levels_{s}" for s in range(len(ranges))]]
-    scored = written(found.select(*names).mapInArrow(_scored(total, different, LEVEL_COUNT[level(np.array([sums["end"]]))[0]], len(ranges)), kind), "scores")
+            own = rows.dropDuplicates(["doc_id", "text_key"]).mapInArrow(
+                _levels(sent, first, last, blocks, None), f"doc_id {id_type}, text_key long, levels binary")
+            found = null_safe(found, own.withColumnRenamed("levels", f"levels_{s}"), ["doc_id", "text_key"], "left")
+    if found is not None:
+        names = ["doc_id", "text_key", "n_tokens", "base", "known", "tail_h", "tail_n", *[f"levels_{s}" for s in range(len(ranges))]]
+        scored = found.select(*names).mapInArrow(_scored(model, len(ranges)), f"doc_id {id_type}, text_key long, {more}, score double")
+    scored = written(scored, "scores")
 
     # rare and unknown words: repeated rows have the same ones, and count them once
     rare = scored.where(F.size("tail_h") > 0).select("doc_id", "text_key", F.explode(F.arrays_zip("tail_h", "tail_n")).alias("t"))

@@ -16,9 +16,9 @@ START = np.uint64(xxhash.xxh64_intdigest(b" start"))
 END = np.uint64(xxhash.xxh64_intdigest(b" end"))
 
 
-def batch_tokens(texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
-    """The hashes of the words of all texts, A-Z in lower case, each text's followed by END; the
-    places after the ENDs."""
+def batch_words(texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The different word hashes of all texts, A-Z in lower case, with END; which of them each token
+    is, where an END follows the words of every text; the places after the ENDs."""
     split = pc.ascii_split_whitespace(pc.ascii_lower(texts))
     words, ends = split.flatten(), split.offsets.to_numpy().astype(np.int64) - split.offsets[0].as_py()
     real = pc.binary_length(words).to_numpy() > 0  # white space at the ends of a text leaves empty pieces
@@ -26,8 +26,14 @@ def batch_tokens(texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
         ends = np.concatenate([[0], np.cumsum(real)])[ends]
         words = words.filter(pa.array(real))
     coded = pc.dictionary_encode(words)
-    own = np.array([xxhash.xxh64_intdigest(w) for w in coded.dictionary.cast(pa.binary()).to_pylist()], dtype=np.uint64)
-    return np.insert(own[coded.indices.to_numpy()], ends[1:], END), ends[1:] + np.arange(1, len(ends))
+    own = np.array([xxhash.xxh64_intdigest(w) for w in coded.dictionary.cast(pa.binary()).to_pylist()] + [int(END)], dtype=np.uint64)
+    return own, np.insert(coded.indices.to_numpy(), ends[1:], len(own) - 1), ends[1:] + np.arange(1, len(ends))
+
+
+def batch_tokens(texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of all tokens, and the places after each text's END."""
+    own, index, ends = batch_words(texts)
+    return own[index], ends
 
 
 def chunks(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
