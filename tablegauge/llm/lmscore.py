@@ -3,10 +3,10 @@
 Word and word-pair counts of the training documents are quantised to powers of two. The
 filter holds an n-gram of level q as the q pairs (n-gram, 1) .. (n-gram, q), so its level is
 read by asking for (n-gram, 1), (n-gram, 2) and on until one is missing; a count can only be
-overstated, by one level with about the filter's error rate. All bits of an n-gram lie in one
+overstated, by one level in less than ERROR of the reads. All bits of an n-gram lie in one
 block of the filter, which lets blocks be built where the n-grams' counts meet.
 
-The filter grows with the training tokens. It is sent to the workers in segments of a fixed
+The filter grows with the levels of the different n-grams, which are counted first. It is sent to the workers in segments of a fixed
 size limit: each segment is one more pass over the texts that reads the levels of its n-grams,
 and the passes' levels meet per document before scoring.
 
@@ -28,8 +28,10 @@ from tablegauge.llm.tokens import END, START, batch_tokens, batch_words, chunks,
 
 #: fixed by the contract: documents whose crc32 leaves HELD of FOLDS are held out
 FOLDS, HELD = 7, 2
-# filter bits for each training token, bits set for each level, bits of a block
-BITS_EACH, PROBES, BLOCK_BITS = 2, 3, 1 << 19
+# filter bits for each level of a different n-gram, bits set for each level, bits of a block
+BITS_EACH, PROBES, BLOCK_BITS = 14, 3, 1 << 19
+# share of absent n-grams that read as held: (1 - exp(-3 / 14)) ** 3 is 0.0073
+ERROR = 0.01
 SEGMENT_BYTES = 64 << 20
 HEAD_WORDS = 1 << 20
 # weight of the pair model against the word model
@@ -133,31 +135,39 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _rows([keys.view(np.int64), n], ["h", "n"])
 
 
-def _keyed(keys: np.ndarray, n: np.ndarray, blocks: int) -> Iterator[pa.RecordBatch]:
-    yield from _rows([keys.view(np.int64), n, block_of(keys, blocks).astype(np.int32)], ["key", "n", "block"])
+def _keyed(keys: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+    yield from _rows([keys.view(np.int64), n], ["key", "n"])
 
 
-def _pair_counts(blocks: int) -> Callable:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-        for batch in batches:
-            for part in chunks(batch):
-                h, _ = batch_tokens(part.column("text"))
-                held.append(pair_keys(_before(h), h))
-                size += len(h)
-                if size >= COUNTED:
-                    yield from _keyed(*_summed(np.concatenate(held)), blocks)
-                    held, size = [], 0
-        if held:
-            yield from _keyed(*_summed(np.concatenate(held)), blocks)
+def _pair_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held, size = [], 0
+    for batch in batches:
+        for part in chunks(batch):
+            h, _ = batch_tokens(part.column("text"))
+            held.append(pair_keys(_before(h), h))
+            size += len(h)
+            if size >= COUNTED:
+                yield from _keyed(*_summed(np.concatenate(held)))
+                held, size = [], 0
+    if held:
+        yield from _keyed(*_summed(np.concatenate(held)))
 
-    return run
+
+def _word_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield from _keyed(word_keys(batch.column("h").to_numpy().view(np.uint64)), batch.column("n").to_numpy())
+
+
+def _leveled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(level(batch.column("n").to_numpy()).astype(np.int8))], ["key", "level"])
 
 
-def _word_rows(blocks: int) -> Callable:
+def _blocked(blocks: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield from _keyed(word_keys(batch.column("h").to_numpy().view(np.uint64)), batch.column("n").to_numpy(), blocks)
+            block = block_of(batch.column("key").to_numpy().view(np.uint64), blocks)
+            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("level"), pa.array(block.astype(np.int32))], ["key", "level", "block"])
 
     return run
 
@@ -167,7 +177,7 @@ def _built(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         block = batch.column("block").to_numpy()
         keys = batch.column("key").to_numpy().view(np.uint64)
-        levels = level(batch.column("n").to_numpy())
+        levels = batch.column("level").to_numpy()
         order = np.argsort(block, kind="stable")
         at, starts = np.unique(block[order], return_index=True)
         for b, rows in zip(at.tolist(), np.split(order, starts[1:])):
@@ -178,14 +188,16 @@ def _built(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([bits.tobytes()], pa.binary())], ["block", "bits"])
 
 
-def filter_blocks(train: DataFrame, words: DataFrame, tokens: int) -> tuple[DataFrame, int]:
+def filter_blocks(train: DataFrame, words: DataFrame) -> tuple[DataFrame, int]:
     """(the filter's blocks as rows block, bits; how many there are) from texts and their words' counts."""
-    blocks = max(1, -(-BITS_EACH * tokens // BLOCK_BITS))
-    kind = "key long, n long, block int"
-    counted = train.mapInArrow(_pair_counts(blocks), kind).unionByName(words.select("h", "n").mapInArrow(_word_rows(blocks), kind))
-    # dealt by block, counts of a key meet there without another shuffle
-    summed = counted.repartition("block").groupBy("block", "key").agg(F.sum("n").alias("n"))
-    return written(summed.mapInArrow(_built, "block int, bits binary"), "filter"), blocks
+    kind = "key long, n long"
+    counted = train.mapInArrow(_pair_counts, kind).unionByName(words.select("h", "n").mapInArrow(_word_rows, kind))
+    summed = counted.groupBy("key").agg(F.sum("n").alias("n"))
+    leveled = written(summed.mapInArrow(_leveled, "key long, level byte"), "levels")
+    held = leveled.agg(F.coalesce(F.sum("level"), F.lit(0))).first()[0]
+    blocks = max(1, -(-BITS_EACH * held // BLOCK_BITS))
+    dealt = leveled.mapInArrow(_blocked(blocks), "key long, level byte, block int").repartition("block")
+    return written(dealt.mapInArrow(_built, "block int, bits binary"), "filter"), blocks
 
 
 def token_logs(words: np.ndarray, pairs: np.ndarray, starts: np.ndarray, tokens: float, different: float, end_count: float) -> np.ndarray:
@@ -293,7 +305,7 @@ def scores(
     divide = float(total + different + 1)
     head = spark.sparkContext.broadcast((known[order], np.log10((n[order] + 1) / divide)))
 
-    table, blocks = filter_blocks(train, words, total)
+    table, blocks = filter_blocks(train, words)
     each = max(1, segment_bytes * 8 // BLOCK_BITS)
     id_type = rows.schema["doc_id"].dataType.simpleString()
     ranges = [(a, min(a + each, blocks)) for a in range(0, blocks, each)]

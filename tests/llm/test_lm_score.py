@@ -111,3 +111,27 @@ def test_held_out_text_scores_above_its_shuffled_words(spark):
     both = docs.select("doc_id", "text").unionByName(spark.createDataFrame(mixed, "doc_id long, text string"))
     got = {r.doc_id: r.score for r in lm.scores(both).collect()}
     assert np.mean([got[r.doc_id] > got[d] for r, (d, _) in zip(picked, mixed)]) > 0.8
+
+
+def test_absent_pairs_read_as_absent(spark):
+    # 20,000 different pairs a text: most n-grams are held once
+    rng = np.random.default_rng(5)
+    texts = [" ".join(f"{x}w" for x in rng.integers(0, 30_000, 20_000)) for _ in range(4)]
+    train = spark.createDataFrame([(t,) for t in texts], "text string")
+    words = train.mapInArrow(lm._word_counts, "h long, n long").groupBy("h").agg({"n": "sum"}).toDF("h", "n")
+    table, blocks = lm.filter_blocks(train, words)
+    bits = np.zeros(blocks * lm.BLOCK_BITS // 8, dtype=np.uint8)
+    for r in table.collect():
+        bits[r.block * lm.BLOCK_BITS // 8 : (r.block + 1) * lm.BLOCK_BITS // 8] = np.frombuffer(r.bits, dtype=np.uint8)
+    absent = lm.mix(rng.integers(0, 1 << 63, 100_000, dtype=np.uint64))
+    assert 0 < (lm.read_levels(bits, 0, blocks, blocks, absent) > 0).mean() < lm.ERROR
+    h, _ = lm.batch_tokens(pa.array(texts))
+    keys, n = lm._summed(lm.pair_keys(lm._before(h), h))
+    read = lm.read_levels(bits, 0, blocks, blocks, keys)
+    assert (read >= lm.level(n)).all() and (read > lm.level(n)).mean() < lm.ERROR
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="test tables are not here")
+def test_scores_are_those_of_the_exact_levels(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    close([tuple(r) for r in lm.scores(docs).collect()], brute([(r.doc_id, r.text) for r in docs.collect()]), 0.02)
