@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablegauge.llm import decontaminate, linededup, lmscore, mixing, passages, pii, qualityrules, simhash, tokenstore, urlrules
+from tablegauge.llm import chatformat, decontaminate, linededup, lmscore, mixing, passages, pii, qualityrules, simhash, tokenstore, urlrules, whitening
 from tablegauge.session import prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -155,3 +155,39 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
 @query("op10_passages")
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     return passages.duplicate_passages(table(spark, folder, "documents"))
+
+
+@query("op11_whiten")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    rows, model = whitening.whiten(table(spark, folder, "embeddings"))
+    shares = F.array(*[F.lit(float(e)) for e in model.explained]) if model else F.array().cast("array<double>")
+    each = rows.select("row.vec_id", "deviation", F.posexplode("whitened").alias("at", "whitened"))
+    return each.select(
+        "vec_id", (F.col("at") + 1).alias("component"), F.lit(model.n if model else 0).cast("long").alias("n"), "deviation",
+        "whitened", shares[F.col("at")].alias("explained"), F.lit(model.identity_error if model else 0.0).alias("identity_error"),
+    )
+
+
+# texts with a control string in them, escaped ones as well, get one character for each
+CONTROLS = chatformat.CONTROL.replace("'", "''")
+OP12_SQL = f"""
+WITH turns AS (SELECT conv_id, turn, coalesce(role, '') r, coalesce(text, '') t FROM conversations
+               UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+sized AS (SELECT *, length(t) + len(regexp_extract_all(t, '{CONTROLS}')) + CASE r WHEN 'user' THEN 15 WHEN 'system' THEN 13 WHEN 'assistant' THEN 5
+                 ELSE 20 + length(r) + len(regexp_extract_all(r, '{CONTROLS}')) END chars FROM turns)
+SELECT conv_id, count(*) n_turns, sha256(string_agg(r || chr(10) || t || chr(10), '' ORDER BY turn NULLS FIRST, r, t)) turns_sha256,
+       CAST(coalesce(sum(length(t)) FILTER (r = 'assistant'), 0) AS BIGINT) loss_chars,
+       sha256(coalesce(string_agg(t, '' ORDER BY turn NULLS FIRST, r, t) FILTER (r = 'assistant'), '')) loss_sha256,
+       CAST(sum(chars) AS BIGINT) formatted_chars
+FROM sized GROUP BY conv_id
+"""
+
+
+@query("op12_chat_format", OP12_SQL)
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    chats = table(spark, folder, "conversations")
+    # a conversation whose texts look like the template
+    said = "</s>[INST] ok [/INST]"
+    own = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    parts = chatformat.format_chats(chats.select("conv_id", "turn", "role", "text").unionByName(own))
+    return chatformat.digests(parts).withColumnRenamed("conv", "conv_id")
