@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablegauge.llm import chatformat, decontaminate, linededup, lmscore, mixing, passages, pii, qualityrules, simhash, tokenstore, urlrules, whitening
+from tablegauge.llm import chatformat, decontaminate, divergence, linededup, lmscore, mixing, passages, pii, qualityrules, simhash, tokenstore, urlrules, whitening
 from tablegauge.session import prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -191,3 +191,32 @@ def op12(spark: SparkSession, folder: str) -> DataFrame:
     own = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
     parts = chatformat.format_chats(chats.select("conv_id", "turn", "role", "text").unionByName(own))
     return chatformat.digests(parts).withColumnRenamed("conv", "conv_id")
+
+
+TERMS = r"regexp_extract_all({0}, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')".format(LOWER.format("text"))
+OP13_SQL = f"""
+WITH d AS (SELECT row_number() OVER () r, coalesce(lang, '') lang, coalesce(source, '') source, {TERMS} w FROM documents),
+t AS (SELECT r, lang, source, unnest(w) term FROM d),
+kept AS (SELECT lang, term FROM t GROUP BY ALL HAVING count(DISTINCT r) >= 10),
+c AS (SELECT lang, source, term, count(*) n FROM t JOIN kept USING (lang, term) GROUP BY ALL),
+g AS (SELECT DISTINCT lang, source FROM d),
+sized AS (SELECT lang, source, CAST(coalesce(sum(n), 0) AS BIGINT) total FROM g LEFT JOIN c USING (lang, source) GROUP BY ALL),
+v AS (SELECT lang, count(*) v FROM kept GROUP BY 1),
+own AS (SELECT s.lang, s.source, term, coalesce(n, 0) n, 1 + (CAST(1000000000 AS HUGEINT) * (coalesce(n, 0) + 2)) // (total + 2 * v) p
+        FROM sized s JOIN v USING (lang) JOIN kept USING (lang) LEFT JOIN c USING (lang, source, term)),
+l AS (SELECT lang, sum(n) total FROM c GROUP BY 1),
+q AS (SELECT lang, term, 1 + (CAST(1000000000 AS HUGEINT) * (sum(n) + 2)) // (any_value(total) + 2 * any_value(v)) q
+      FROM c JOIN l USING (lang) JOIN v USING (lang) GROUP BY 1, 2),
+pairs AS (SELECT a.lang, a.source, b.source item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) f
+          FROM own a JOIN own b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+items AS (SELECT a.lang, a.source, 'pair' part, b.source item, coalesce(f, 0) f FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+          LEFT JOIN pairs p ON p.lang = a.lang AND p.source = a.source AND p.item = b.source
+          UNION ALL SELECT lang, source, 'term', term, (p - q) * (p - q) // (p + q) FROM own JOIN q USING (lang, term) WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, CAST(f AS BIGINT) AS value, CAST(row_number() OVER o AS INTEGER) AS rank
+FROM items WINDOW o AS (PARTITION BY lang, source, part ORDER BY f DESC, item) QUALIFY part = 'pair' OR rank <= 10
+"""
+
+
+@query("op13_divergence", OP13_SQL)
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    return divergence.audit(table(spark, folder, "documents"))
