@@ -6,12 +6,20 @@ import os
 import tempfile
 import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
+import tablegauge
+
+# folders of local sessions whose configuration names none, by application
+_LOCAL_FOLDERS: dict[str, str] = {}
+
 
 def prepare(spark: SparkSession) -> SparkSession:
     """Set the few session options results depend on. Safe to call repeatedly."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
+    # functions that run in Python workers travel whole: the package need not be installed there
+    cloudpickle.register_pickle_by_value(tablegauge)
     return spark
 
 
@@ -25,9 +33,10 @@ def shared_folder(spark: SparkSession) -> str:
         return named
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("spark.checkpoint.dir must name a shared folder on a cluster")
-    named = tempfile.mkdtemp(prefix="tablegauge-")
-    spark.conf.set("spark.checkpoint.dir", named)
-    return named
+    app = spark.sparkContext.applicationId
+    if app not in _LOCAL_FOLDERS:
+        _LOCAL_FOLDERS[app] = tempfile.mkdtemp(prefix="tablegauge-")
+    return _LOCAL_FOLDERS[app]
 
 
 def keep(df: DataFrame) -> DataFrame:
