@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -10,22 +12,26 @@ from pyspark.sql import functions as F
 from tablegauge.functions import fixed_values as V
 from tablegauge.functions.text import has_any
 
-# statement roots that only read; everything else Spark's parser returns is refused
-READ_ROOTS = frozenset(
+# kinds of plan nodes that only read; a statement with any other kind in it is refused
+READ_NODES = frozenset(
     (
         "Project", "GlobalLimit", "LocalLimit", "Distinct", "Sort", "Aggregate", "Filter", "UnresolvedWith",
         "LocalRelation", "Union", "Intersect", "Except", "SubqueryAlias", "WithWindowDefinition", "Offset",
         "UnresolvedHaving", "Pivot", "UnresolvedPivot", "Unpivot", "UnresolvedInlineTable", "OneRowRelation",
-        "UnresolvedSubqueryColumnAliases", "UnresolvedHint", "Sample",
+        "UnresolvedSubqueryColumnAliases", "UnresolvedHint", "Sample", "UnresolvedRelation", "Join", "AsOfJoin",
+        "LateralJoin", "Generate", "UnresolvedTableValuedFunction", "UnresolvedTVFAliases", "Window", "Tail", "PipeOperator",
     )
 )
-# nodes and functions that run outside code from inside a SELECT
-REFUSED_NODES = ("ScriptTransformation",)
+# functions that run outside code, and table functions that are part of the language
+REFUSED_FUNCTIONS = ("java_method", "reflect", "try_reflect")
+TABLE_FUNCTIONS = (
+    "range", "explode", "explode_outer", "posexplode", "posexplode_outer", "inline", "inline_outer", "stack",
+    "json_tuple", "variant_explode", "variant_explode_outer",
+)
 # what hides text from the statement, whichever starts first: literals, quoted names, comments
 HIDDEN = "'[^']*'|\"[^\"]*\"|`[^`]*`|--[^\n]*|/\\*(?:[^*]|\\*(?!/))*+\\*/"
 # parentheses and set operations of the text that is left
 MARKS = r"[()]|\b(?:UNION|INTERSECT|EXCEPT)\b"
-REFUSED_FUNCTIONS = r"(?i)\b(java_method|reflect|try_reflect)\b"
 
 
 @dataclass
@@ -45,34 +51,104 @@ def blocked_keyword(sql: Column, rules: str = "strict") -> Column:
     return F.when(sql.rlike(rf"(?i)\b({'|'.join(words)})\b"), F.coalesce(*found))
 
 
+class Refused(Exception):
+    """A statement that must not run: status and reason."""
+
+    def __init__(self, status: str, reason: str):
+        super().__init__(reason)
+        self.status = status
+
+
+class _Reader:
+    """Walks a parsed statement and yields the relations that it reads from outside.
+
+    Every part of a node is visited, whatever field holds it: children, subqueries of
+    expressions, window definitions, join conditions. A name counts as the statement's own
+    only where a WITH that defines it is in scope.
+    """
+
+    def __init__(self, spark: SparkSession):
+        jvm = spark.sparkContext._jvm
+        load = spark._jsparkSession.getClass().getClassLoader().loadClass
+        catalyst = "org.apache.spark.sql.catalyst."
+        self.plan, self.expression = load(catalyst + "plans.logical.LogicalPlan"), load(catalyst + "expressions.Expression")
+        self.holder, self.product = load("scala.collection.Iterable"), load("scala.Product")
+        self.converters = jvm.scala.jdk.javaapi.CollectionConverters
+
+    def relations(self, part, own: frozenset[str] = frozenset()) -> Iterator[tuple[str, ...]]:
+        if not hasattr(part, "getClass"):  # text and numbers
+            return
+        if self.holder.isInstance(part):
+            for each in self.converters.asJava(part):
+                yield from self.relations(each, own)
+        elif self.plan.isInstance(part):
+            yield from self._of_plan(part, own)
+        elif self.product.isInstance(part):
+            if self.expression.isInstance(part):
+                self._check_expression(part)
+            yield from self._parts(part, own)
+
+    def _parts(self, part, own: frozenset[str]) -> Iterator[tuple[str, ...]]:
+        for i in range(part.productArity()):
+            yield from self.relations(part.productElement(i), own)
+
+    def _of_plan(self, plan, own: frozenset[str]) -> Iterator[tuple[str, ...]]:
+        kind = plan.getClass().getSimpleName()
+        if kind not in READ_NODES:
+            raise Refused("blocked", f"{kind} is not allowed: it does not only read")
+        if kind == "UnresolvedWith":
+            # a definition sees those before it, and itself if the WITH is recursive
+            for definition in self.converters.asJava(plan.cteRelations()):
+                name = definition._1().lower()
+                yield from self.relations(definition._2(), own | {name} if plan.allowRecursion() else own)
+                own = own | {name}
+            yield from self.relations(plan.child(), own)
+            return
+        if kind == "UnresolvedRelation":
+            name = tuple(self.converters.asJava(plan.multipartIdentifier()))
+            if len(name) > 1 or name[0].lower() not in own:
+                yield name
+        elif kind == "UnresolvedTableValuedFunction":
+            name = ".".join(self.converters.asJava(plan.name()))
+            if name.lower() not in TABLE_FUNCTIONS:
+                raise Refused("blocked", f"table function {name} is not allowed")
+        yield from self._parts(plan, own)
+
+    def _check_expression(self, expression) -> None:
+        kind = expression.getClass().getSimpleName()
+        if "UnresolvedIdentifier" in kind:  # names that are computed
+            raise Refused("blocked", "IDENTIFIER is not allowed")
+        if kind == "UnresolvedFunction" and list(self.converters.asJava(expression.nameParts()))[-1].lower() in REFUSED_FUNCTIONS:
+            raise Refused("blocked", "calls into the JVM are not allowed")
+
+
+def relations_read(spark: SparkSession, sql: str) -> list[tuple[str, ...]]:
+    """The names, in parts, of what one statement reads, other than what its own WITH defines.
+
+    Raises Refused if the statement does anything but read.
+    """
+    try:
+        plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)
+    except Exception as e:
+        raise Refused("error", str(e).split("\n")[0]) from e
+    return list(dict.fromkeys(_Reader(spark).relations(plan)))
+
+
 def _refusal(spark: SparkSession, sql: str, tables) -> tuple[str, str] | None:
     """(status, reason) if the statement must not run; it may read the names in `tables` only."""
-    import re
-
     if not sql or not sql.strip():
         return "blocked", "empty query"
     for word in V.BLOCKED_STRICT:
         if re.search(rf"\b{word}\b", sql, re.IGNORECASE):
             return "blocked", word
-    if re.search(REFUSED_FUNCTIONS, sql):
-        return "blocked", "calls into the JVM are not allowed"
     try:
-        plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)
-    except Exception as e:
-        return "error", str(e).split("\n")[0]
-    root = plan.nodeName()
-    if root not in READ_ROOTS:
-        return "blocked", f"{root} is not a read statement"
-    text = plan.toString()
-    for node in REFUSED_NODES:
-        if node in text:
-            return "blocked", f"{node} is not allowed"
-    # relations of subqueries and of the parts of WITH stand in the same text
-    read = {n.strip("[]` ").lower() for n in re.findall(r"'UnresolvedRelation \[([^\]]*)\]", text)}
-    # only the names that this statement's own WITH defines count as its own
-    own = {n.lower() for n in re.findall(r"(?i)(?:\bwith(?:\s+recursive)?|,)\s*`?([a-z_][a-z0-9_]*)`?\s*(?:\([^()]*\)\s*)?as\s*\(", re.sub(HIDDEN, " ", sql))}
-    for name in sorted(read - own - {t.lower() for t in tables}):
-        return "error" if "," in name else "blocked", f"{name} is not among the given tables"
+        read = relations_read(spark, sql)
+    except Refused as e:
+        return e.status, str(e)
+    given = {t.lower() for t in tables}
+    for name in read:
+        if len(name) > 1 or name[0].lower() not in given:
+            return "error" if len(name) > 1 else "blocked", f"{'.'.join(name)} is not among the given tables"
     return None
 
 

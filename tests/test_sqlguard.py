@@ -87,3 +87,69 @@ def test_other_views_of_the_session_are_refused(spark, data):
         assert G.run_select(spark, sql, {"data": data}).status == "blocked", sql
     assert G.run_select(spark, "WITH a AS (SELECT 1 AS x), b (y) AS (SELECT x FROM a) SELECT y FROM b", {}).status == "success"
     assert G.run_select(spark, "SELECT id FROM data", {"data": data}, cap=None).frame.count() == 1200
+
+
+LEAKS = [
+    "SELECT id, row_number() OVER w AS n FROM secret WINDOW w AS (ORDER BY id), secret AS (ORDER BY id DESC)",
+    "WITH secret AS (SELECT * FROM secret) SELECT * FROM secret",
+    "WITH secret (id) AS (SELECT id FROM secret) SELECT * FROM secret",
+    "WITH a AS (SELECT * FROM secret), secret AS (SELECT 1 AS id) SELECT * FROM a",
+    "SELECT * FROM (WITH secret AS (SELECT 1 AS id) SELECT * FROM secret) x JOIN secret s ON x.id = s.id",
+    "WITH a AS (WITH secret AS (SELECT 1 AS id) SELECT * FROM secret) SELECT * FROM a, secret",
+    "SELECT id FROM data WHERE EXISTS (SELECT 1 FROM secret s WHERE s.id = data.id)",
+    "SELECT (SELECT max(id) FROM secret) AS x FROM data",
+    "SELECT id FROM data ORDER BY (SELECT max(id) FROM secret)",
+    "SELECT id FROM data GROUP BY id HAVING count(*) > (SELECT max(id) FROM secret)",
+    "SELECT d.id FROM data d JOIN data e ON d.id = e.id AND e.id IN (SELECT id FROM secret)",
+    "SELECT * FROM data, LATERAL (SELECT * FROM secret)",
+    "SELECT CASE WHEN id IN (SELECT id FROM secret) THEN 1 END FROM data",
+    "SELECT * FROM VALUES ((SELECT max(id) FROM secret)) AS t(x)",
+    "SELECT id FROM data LIMIT (SELECT 1 FROM secret)",
+    "SELECT * FROM data PIVOT (sum(id) FOR event_type IN (0, 1)) UNION ALL SELECT 1, id FROM secret",
+    "TABLE secret",
+    "FROM secret SELECT id",
+    "SELECT * FROM IDENTIFIER('secret')",
+    "SELECT * FROM IDENTIFIER('sec' || 'ret')",
+    "SELECT sum(id) OVER (ORDER BY (SELECT max(id) FROM secret)) FROM data",
+    "WITH RECURSIVE r AS (SELECT 1 AS id UNION ALL SELECT r.id + 1 FROM r JOIN secret s ON s.id = r.id) SELECT * FROM r",
+    "SELECT transform(array(1), x -> x + (SELECT max(id) FROM secret)) FROM data",
+    "FROM data |> JOIN secret USING (id)",
+]
+
+
+@pytest.mark.parametrize("sql", LEAKS)
+def test_names_outside_the_scope_are_refused(spark, data, sql):
+    spark.range(3).createOrReplaceTempView("secret")
+    out = G.run_select(spark, sql, {"data": data})
+    assert out.frame is None and out.status in ("blocked", "error"), sql
+    assert "secret" in out.reason or "not allowed" in out.reason or out.status == "error", out.reason
+
+
+@pytest.mark.parametrize("sql,rows", [
+    ("WITH secret AS (SELECT id FROM data) SELECT count(*) AS n FROM secret", 1),
+    ("WITH a AS (SELECT 1 AS id), b AS (SELECT id + 1 AS id FROM a) SELECT * FROM a UNION ALL SELECT * FROM b", 2),
+    ("WITH a AS (WITH b AS (SELECT 1 AS x) SELECT x FROM b) SELECT x FROM a", 1),
+    ("WITH RECURSIVE r AS (SELECT 1 AS n UNION ALL SELECT n + 1 FROM r WHERE n < 5) SELECT n FROM r", 5),
+    ("WITH RECURSIVE r (n) AS (SELECT 1 UNION ALL SELECT n + 1 FROM r WHERE n < 3), s AS (SELECT n FROM r) SELECT n FROM s", 3),
+    ("SELECT id, row_number() OVER w AS n FROM data WINDOW w AS (PARTITION BY event_type ORDER BY id) LIMIT 7", 7),
+    ("SELECT id FROM DATA WHERE id IN (SELECT max(id) FROM Data)", 1),
+    ("SELECT d.id, x FROM data d LATERAL VIEW explode(array(1, 2)) t AS x WHERE d.id = 0", 2),
+    ("SELECT t.* FROM data d, LATERAL (SELECT d.id + 1 AS y) t WHERE d.id = 3", 1),
+    ("SELECT id FROM range(4)", 4),
+    ("SELECT * FROM VALUES (1), (2) AS t(x)", 2),
+    ("SELECT event_type, count(*) AS n FROM data GROUP BY ROLLUP (event_type) HAVING count(*) > 0", 5),
+    ("SELECT * FROM (SELECT event_type, id FROM data) PIVOT (count(id) FOR event_type IN (0, 1))", 1),
+    ("FROM data |> WHERE id < 2 |> SELECT id", 2),
+    ("SELECT id FROM data TABLESAMPLE (3 ROWS)", 3),
+    ("SELECT DISTINCT event_type FROM data ORDER BY 1 OFFSET 1", 3),
+])
+def test_legal_statements_still_run(spark, data, sql, rows):
+    out = G.run_select(spark, sql, {"data": data}, cap=None)
+    assert out.status == "success", out.reason
+    assert out.frame.count() == rows
+
+
+def test_relations_read(spark):
+    assert G.relations_read(spark, "WITH a AS (SELECT * FROM t) SELECT * FROM a JOIN b.c ON true") == [("t",), ("b", "c")]
+    with pytest.raises(G.Refused):
+        G.relations_read(spark, "SELECT * FROM my_table_function(1)")
