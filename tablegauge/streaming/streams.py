@@ -1,21 +1,25 @@
 """Structured Streaming forms of the time-bounded metrics.
 
 Each builder takes a streaming DataFrame (or a batch one) and returns the transformed
-DataFrame; `run_available` drives it to the end of the available input.
+DataFrame; `run_available` drives one to the end of the available input, and `run_closed` also
+closes the windows that are still open there.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import datetime as dt
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tablegauge.functions.math import share_of_true
-from tablegauge.plans.joins import join_null_safe
 from tablegauge.session import new_folder
 
 FAIL_LIMIT = 0.05
+# time of the row that ends an input: the watermark passes every earlier window
+END_OF_TIME = dt.datetime(9999, 12, 1, tzinfo=dt.timezone.utc)
 
 
 def stream_table(spark: SparkSession, folder: str, file: str, max_files: int | None = None) -> DataFrame:
@@ -51,8 +55,11 @@ def failed_rate(df: DataFrame, ts: str, failed: Column, delay: str = "10 minutes
 
 def login_attempts(df: DataFrame, ts: str, user: str, is_login: Column, delay: str = "10 minutes") -> DataFrame:
     """(period, user, attempts) per sliding hour, every five minutes."""
+    # the condition names the time as well, so that it stays above the watermark, which all rows move
+    login = F.when(F.col(ts).isNotNull(), is_login)
     per = (
-        event_time(df.filter(is_login), ts, delay)
+        event_time(df, ts, delay)
+        .filter(login)
         .groupBy(F.window(ts, "1 hour", "5 minutes"), user)
         .agg(F.count(F.lit(1)).alias("attempts"))
     )
@@ -82,37 +89,79 @@ def active_users(df: DataFrame, ts: str, user: str, delay: str = "10 minutes") -
     return per.select(F.col("window.start").alias("period"), "users")
 
 
-def zscore_stream(df: DataFrame, history: DataFrame, column: str, limit: float = 3.0) -> DataFrame:
-    """Rows of the stream further than `limit` deviations from the history's mean.
+def fit_zscore(history: DataFrame, column: str, folder: str) -> None:
+    """Write (mean, sd, fitted) of the history's column as the newest fit of the folder."""
+    fit = history.agg(F.avg(column).alias("mean"), F.stddev_pop(column).alias("sd")).withColumn("fitted", F.current_timestamp())
+    fit.write.mode("append").parquet(folder)
 
-    The fitted row is computed once, when the stream is defined, and is one row wide.
-    """
-    fit = history.agg(F.avg(column).alias("mean"), F.stddev_pop(column).alias("sd")).first()
-    if not fit["sd"]:
-        return df.filter(F.lit(False)).withColumn("z", F.lit(None).cast("double"))
-    return df.withColumn("z", (F.col(column) - F.lit(fit["mean"])) / F.lit(fit["sd"])).filter(F.abs("z") > limit)
 
+def zscore_stream(df: DataFrame, fits: str, column: str, limit: float = 3.0) -> DataFrame:
+    """Rows of the stream further than `limit` deviations from the newest fitted mean, with z.
 
-def run_available(df: DataFrame, mode: str = "append", whole: DataFrame | None = None, keys: Sequence[str] = ()) -> DataFrame:
-    """Process what the source holds, write it below the shared folder, and return that table.
-
-    Progress and output live on shared storage, so a lost executor or driver resumes. A stream
-    gives out a window only after the watermark has passed it; `whole`, the same metric over
-    the batch table, adds the windows (told apart by `keys`) that are still open when the input
-    ends. Raises if the stream dropped late rows.
+    A join of the stream with the one row that `fit_zscore` wrote last. The folder is read when
+    the query starts, and again at every start: with `run_available(again=...)` each run is a
+    batch with the fit of its time, and earlier rows keep their flags. A history without spread
+    flags nothing.
     """
+    # one row, whatever the number of fits
+    newest = df.sparkSession.read.parquet(fits).agg(F.max_by(F.struct("mean", "sd"), "fitted").alias("_fit")).withColumn("_one", F.lit(1))
+    joined = df.withColumn("_one", F.lit(1)).join(F.broadcast(newest), "_one").withColumn("_sd", F.nullif(F.col("_fit.sd"), F.lit(0.0)))
+    found = joined.withColumn("z", (F.col(column) - F.col("_fit.mean")) / F.col("_sd")).filter(F.abs("z") > limit)
+    return found.select(*[F.col(f"`{c}`") for c in df.columns], "z")
+
+
+def _run(df: DataFrame, out: str, mode: str) -> None:
+    """One run of the query over what its source holds; raises if it dropped late rows."""
     spark = df.sparkSession
-    out = new_folder(spark, "stream")
-    query = (
-        df.writeStream.format("parquet")
-        .outputMode(mode)
-        .option("checkpointLocation", f"{out}/progress")
-        .trigger(availableNow=True)
-        .start(f"{out}/rows")
-    )
-    query.awaitTermination()
+    option = "spark.sql.streaming.numRecentProgressUpdates"
+    before = spark.conf.get(option)
+    spark.conf.set(option, "1000000")  # the count of late rows is taken from all batches
+    try:
+        query = (
+            df.writeStream.format("parquet")
+            .outputMode(mode)
+            .option("checkpointLocation", f"{out}/progress")
+            .trigger(availableNow=True)
+            .start(f"{out}/rows")
+        )
+        query.awaitTermination()
+    finally:
+        spark.conf.set(option, before)
     late = sum(s.numRowsDroppedByWatermark for p in query.recentProgress for s in p.stateOperators)
     if late:
         raise ValueError(f"{late} rows came later than the watermark allows and were dropped; read more files at once or allow more delay")
-    rows = spark.read.schema(df.schema).parquet(f"{out}/rows")
-    return rows if whole is None else rows.unionByName(join_null_safe(whole, rows.select(*keys), list(keys), "left_anti"))
+
+
+def run_available(df: DataFrame, mode: str = "append", again: str | None = None) -> DataFrame:
+    """Process what the source holds, write it below the shared folder, and return that table.
+
+    Progress and output live on shared storage, so a lost executor or driver resumes. `again` is
+    a folder of an earlier run: the query goes on where that ended, and the table has the rows of
+    all runs. A stream gives out a window only after the watermark has passed it; `run_closed` is
+    for queries with windows. Raises if the stream dropped late rows.
+    """
+    out = again or new_folder(df.sparkSession, "stream")
+    _run(df, out, mode)
+    return df.sparkSession.read.schema(df.schema).parquet(f"{out}/rows")
+
+
+def run_closed(stream: DataFrame, ts: str, build: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """`run_available` of build(stream), and then a closing batch of the same query.
+
+    The source is the stream together with a folder of end marks. It is empty until the stream's
+    input has been processed; then one row arrives there that has only a time, later than every
+    window. It moves the watermark past all open windows, which the query gives out itself. The
+    mark's own window stays open and never comes out. `build` has to put the watermark on all
+    rows (`event_time`) before it filters. Rows of the mark's time or later stay open too.
+    """
+    spark = stream.sparkSession
+    out = new_folder(spark, "stream")
+    marks, schema = f"{out}/marks", stream.schema
+    row = {f.name: END_OF_TIME if f.name == ts else None for f in schema.fields}
+    mark = spark.createDataFrame([row], T.StructType([T.StructField(f.name, f.dataType, True) for f in schema.fields]))
+    mark.limit(0).write.parquet(marks)
+    df = build(stream.unionByName(spark.readStream.schema(schema).parquet(marks)))
+    _run(df, out, "append")
+    mark.write.mode("append").parquet(marks)
+    _run(df, out, "append")
+    return spark.read.schema(df.schema).parquet(f"{out}/rows")

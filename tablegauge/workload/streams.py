@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from tablegauge.session import new_folder
 from tablegauge.streaming import streams as S
 from tablegauge.workload.registry import plain, query
 
@@ -19,7 +20,7 @@ SELECT strftime(p, '%Y-%m-%d %H:%M:%S') AS period, events, round(value, 4) AS va
 )
 def _(t):
     rate = lambda df: S.failed_rate(df, "ts", kind("error"))
-    return plain(S.run_available(rate(events(t)), whole=rate(t.events), keys=["period"]))
+    return plain(S.run_closed(events(t), "ts", rate))
 
 
 @query(
@@ -29,7 +30,7 @@ SELECT strftime(p, '%Y-%m-%d %H:%M:%S') AS period, user_id, count(*) AS attempts
 )
 def _(t):
     attempts = lambda df: S.login_attempts(df, "ts", "user_id", kind("signup"))
-    return plain(S.run_available(attempts(events(t)), whole=attempts(t.events), keys=["period", "user_id"]))
+    return plain(S.run_closed(events(t), "ts", attempts))
 
 
 @query(
@@ -42,7 +43,7 @@ SELECT user_id, strftime(a, '%Y-%m-%d %H:%M:%S') AS start, round((epoch_us(b) -
 )
 def _(t):
     found = lambda df: S.session_stream(df, "ts", "user_id")
-    return plain(S.run_available(found(events(t)), whole=found(t.events), keys=["user_id", "start"]), 6)
+    return plain(S.run_closed(events(t), "ts", found), 6)
 
 
 @query("n4_stream_dedup", "SELECT user_id, event_type, count(DISTINCT event_id) AS n FROM events GROUP BY 1, 2")
@@ -59,7 +60,7 @@ def _(t):
 )
 def _(t):
     users = lambda df: S.active_users(df, "ts", "user_id")
-    got = S.run_available(users(events(t)), whole=users(t.events), keys=["period"])
+    got = S.run_closed(events(t), "ts", users)
     exact = t.events.groupBy(F.date_trunc("day", "ts").alias("period")).agg(F.count_distinct("user_id").alias("exact"))
     return plain(got.join(exact, "period", "full").select(
         "period", "exact", (F.abs(F.col("users") - F.col("exact")) <= 0.1 * F.col("exact")).alias("near")))
@@ -71,5 +72,7 @@ def _(t):
 WHERE abs((value - m) / s) > 3""",
 )
 def _(t):
-    out = S.zscore_stream(events(t), t.events, "value")
+    fits = new_folder(t.spark, "fits")
+    S.fit_zscore(t.events, "value", fits)
+    out = S.zscore_stream(events(t), fits, "value")
     return plain(S.run_available(out.select("event_id", "value", "z")))
