@@ -42,6 +42,57 @@ def _(t):
     return plain(back.withColumn("types", F.lit(",".join(kind for _, kind in back.dtypes))))
 
 
+# texts with line ends, quotes and commas, written as CSV and read back
+@query(
+    "a1_read_csv_quoted",
+    """SELECT doc_id, CASE WHEN text NOT IN ('', 'NA', 'null') THEN sha256(text) END AS text_sha256, lang, CAST(n_chars AS BIGINT) AS n_chars
+FROM (SELECT doc_id, text || CASE doc_id % 4 WHEN 0 THEN chr(10) || '"quoted, ""twice""' WHEN 1 THEN ',' WHEN 2 THEN chr(13) || chr(10) || ' end ' ELSE '' END AS text, lang, n_chars FROM documents)""",
+)
+def _(t):
+    more = F.when(F.col("doc_id") % 4 == 0, '\n"quoted, ""twice""').when(F.col("doc_id") % 4 == 1, ",").when(F.col("doc_id") % 4 == 2, "\r\n end ").otherwise("")
+    folder = new_folder(t.spark, "csv")
+    io.write_result(t.documents.select("doc_id", F.concat("text", more).alias("text"), "lang", "n_chars"), f"{folder}/documents.csv", "csv")
+    back = io.read_table(t.spark, "documents.csv", folder)
+    return back.select(F.col("doc_id").cast("long").alias("doc_id"), F.sha2("text", 256).alias("text_sha256"), "lang", F.col("n_chars").cast("long").alias("n_chars"))
+
+
+# lines with a cell too few or too many, and some with quoted commas, which are even
+UNEVEN_SQL = """lines AS (SELECT c_custkey, CASE WHEN c_custkey % 13 = 0 THEN 2 WHEN c_custkey % 17 = 0 THEN 4 ELSE 3 END AS cells FROM customer)"""
+
+
+def uneven_file(t) -> str:
+    key = F.col("c_custkey")
+    line = (
+        F.when(key % 13 == 0, F.concat_ws(",", key, "c_mktsegment"))
+        .when(key % 17 == 0, F.concat_ws(",", key, "c_mktsegment", F.col("c_acctbal").cast("string"), F.lit("extra")))
+        .when(key % 5 == 0, F.concat(key.cast("string"), F.lit(',"'), F.col("c_mktsegment"), F.lit(', ""so""",'), F.col("c_acctbal").cast("string")))
+        .otherwise(F.concat_ws(",", key, "c_mktsegment", F.col("c_acctbal").cast("string")))
+    )
+    folder = new_folder(t.spark, "csv")
+    # every file of a table has a header of its own
+    head = t.spark.range(1).select(F.lit(0).alias("place"), F.lit("id,segment,balance").alias("value"))
+    rows = head.unionByName(t.customer.select(F.lit(1).alias("place"), line.alias("value")))
+    rows.repartition(1).sortWithinPartitions("place").select("value").write.text(f"{folder}/customers.csv")
+    return folder
+
+
+@query(
+    "a1_record_account",
+    f"""WITH {UNEVEN_SQL} SELECT count(*) AS records, count(*) FILTER (cells = 3) AS even, count(*) FILTER (cells < 3) AS short, count(*) FILTER (cells > 3) AS long FROM lines""",
+)
+def _(t):
+    return io.record_account(t.spark, "customers.csv", uneven_file(t))
+
+
+@query(
+    "a1_uneven_records",
+    f"WITH {UNEVEN_SQL} SELECT c_custkey AS id, CAST(cells AS BIGINT) AS cells, CAST(3 AS BIGINT) AS expected FROM lines WHERE cells <> 3",
+)
+def _(t):
+    found = io.uneven_records(t.spark, "customers.csv", uneven_file(t))
+    return found.select(F.split("record", ",")[0].cast("long").alias("id"), "cells", "expected")
+
+
 @query(
     "a2_register_view",
     "SELECT event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY event_type",
