@@ -40,12 +40,17 @@ def _spread(df: DataFrame, column: str) -> list[Column]:
     ]
 
 
-def flagged(df: DataFrame, column: str, method: str = "both", threshold: float = V.Z_LIMIT, factor: float = 1.5) -> DataFrame:
-    """Every row with `z`, `by_zscore`, `by_iqr`. Flags of methods not asked for are false."""
+def flagged(
+    df: DataFrame, column: str, method: str = "both", threshold: float = V.Z_LIMIT, factor: float = 1.5, exact: bool = True,
+) -> DataFrame:
+    """Every row with `z`, `by_zscore`, `by_iqr`. Flags of methods not asked for are false.
+
+    exact=False takes the quartiles from a sketch.
+    """
     _check(df, column, method)
     out = df.withColumn("_fit", one_row(df.agg(*_spread(df, column))))
     if method != "zscore":
-        out = out.withColumn("_q", quantile_row(df, {"q1": (column, 0.25), "q3": (column, 0.75)}))
+        out = out.withColumn("_q", quantile_row(df, {"q1": (column, 0.25), "q3": (column, 0.75)}, exact=exact))
     fit = lambda f: F.col(f"_q.{f}") if f in ("q1", "q3") else F.col(f"_fit.{f}")
     v = number(df, column)
     off = F.lit(False)
@@ -72,21 +77,21 @@ def anomalies(df: DataFrame, column: str, key: Sequence[str], method: str = "zsc
     )
 
 
-def anomaly_thresholds(df: DataFrame, column: str, method: str = "both") -> DataFrame:
+def anomaly_thresholds(df: DataFrame, column: str, method: str = "both", exact: bool = True) -> DataFrame:
     """Per method: anomalies, lower, upper, q1, q3, iqr.
 
     The z flags use the population deviation while the reported z limits use the
     sample deviation, so a flagged value may lie inside the reported limits.
     """
     _check(df, column, method)
-    counts = flagged(df, column, method).agg(
+    counts = flagged(df, column, method, exact=exact).agg(
         F.count_if("by_zscore").alias("nz"), F.count_if("by_iqr").alias("ni")
     )
     row = counts.withColumn("f", one_row(df.agg(*_spread(df, column))))
     if method == "zscore":
         row = row.withColumn("q", F.struct(F.lit(None).cast("double").alias("q1"), F.lit(None).cast("double").alias("q3")))
     else:
-        row = row.withColumn("q", quantile_row(df, {"q1": (column, 0.25), "q3": (column, 0.75)}))
+        row = row.withColumn("q", quantile_row(df, {"q1": (column, 0.25), "q3": (column, 0.75)}, exact=exact))
     none = F.lit(None).cast("double")
     span = F.col("q.q3") - F.col("q.q1")
     parts = []

@@ -70,8 +70,8 @@ def pr_auc(df: DataFrame, label: str, score: str) -> DataFrame:
 # --- regression and forecasting ---------------------------------------------------------
 
 
-def regression_metrics(df: DataFrame, actual: str, predicted: str) -> DataFrame:
-    """rmse, mae, r2, mape (percent, zero actuals left out), median_ae."""
+def regression_metrics(df: DataFrame, actual: str, predicted: str, exact: bool = True) -> DataFrame:
+    """rmse, mae, r2, mape (percent, zero actuals left out), median_ae; exact=False sketches the median."""
     a, p = F.col(actual).cast("double"), F.col(predicted).cast("double")
     known = df.filter(a.isNotNull() & p.isNotNull())
     err = known.withColumn("_ae", F.abs(a - p))
@@ -82,7 +82,7 @@ def regression_metrics(df: DataFrame, actual: str, predicted: str) -> DataFrame:
         (1 - ratio(F.avg((a - p) * (a - p)), F.var_pop(a))).alias("r2"),
         (F.avg(F.when(a != 0, F.abs((a - p) / a))) * 100).alias("mape"),
     )
-    return out.withColumn("median_ae", quantile_row(err, {"q": ("_ae", 0.5)}).getField("q"))
+    return out.withColumn("median_ae", quantile_row(err, {"q": ("_ae", 0.5)}, exact=exact).getField("q"))
 
 
 def forecast_metrics(

@@ -11,10 +11,11 @@ from pyspark.sql import functions as F
 from tablegauge.functions import fixed_values as V
 from tablegauge.functions.math import percent
 from tablegauge.functions.text import first_match, has_any
-from tablegauge.plans.facts import (
-    known_sql, null_count, number, number_sql, per_column, repeats, text_literal, value_freq, wide,
-)
+from tablegauge.plans.digests import distinct_by_digest
+from tablegauge.plans.facts import null_count, number, number_sql, per_column, repeats, text_literal, wide
+from tablegauge.plans.joins import one_row
 from tablegauge.plans.quantiles import quantile_row
+from tablegauge.plans.sketches import distinct_states, merged_distinct
 from tablegauge.sources import schema as S
 
 
@@ -104,20 +105,45 @@ def profile_table(df: DataFrame) -> DataFrame:
     return facts.filter((F.col("metric") != "nulls") | (F.col("value") > 0)).unionByName(copies)
 
 
-def _first_values(df: DataFrame, order_by: str) -> DataFrame:
-    """(column, value, _first): each known value of each column as text, and the least key that has it."""
-    shaped = df.select(F.col(order_by).alias("_key"), *[S.known(df, c).cast("string").alias(f"_c_{c}") for c in df.columns])
-    return (
-        shaped.unpivot(["_key"], [f"_c_{c}" for c in df.columns], "column", "value")
-        .filter(F.col("value").isNotNull())
-        .groupBy(F.expr("substring(column, 4)").alias("column"), "value")
-        .agg(F.min("_key").alias("_first"))
-    )
+# buckets of values for each sample wanted: a bucket keeps one number per task and column
+SAMPLE_BUCKETS = 16
+
 
+def _last_keys(df: DataFrame, names: Sequence[str], key: str, n: int) -> DataFrame:
+    """One row with k0, k1, ...: a key up to which column i has n different values; null if it has fewer.
+
+    Values are dealt into buckets and each bucket keeps the least key of its values, which tasks
+    do on their own. n buckets that have begun by a key hold n values at least.
+    """
+    cells = [
+        F.when(S.known(df, c).isNotNull(), F.struct(F.lit(i).alias("at"), F.pmod(F.xxhash64(f"`{c}`"), F.lit(SAMPLE_BUCKETS * n)).alias("bucket")))
+        for i, c in enumerate(names)
+    ]
+    found = df.select(F.col(f"`{key}`").alias("_key"), F.inline(F.array(*cells))).where("at IS NOT NULL AND _key IS NOT NULL")
+    begun = found.groupBy("at", "bucket").agg(F.min("_key").alias("_first"))
+    nth = begun.groupBy("at").agg(F.get(F.sort_array(F.collect_list("_first")), F.lit(n - 1)).alias("_k"))
+    return nth.agg(*[F.max(F.when(F.col("at") == i, F.col("_k"))).alias(f"k{i}") for i in range(len(names))])
+
+
+def column_samples(df: DataFrame, order_by: str, n: int = 5, columns: Sequence[str] | None = None) -> DataFrame:
+    """(column, samples): the first n distinct non-missing values by `order_by`, as text.
 
-def _samples(seen: DataFrame, n: int) -> DataFrame:
-    # the rank filter is applied before the shuffle too, so no column's values gather in one task
-    rank = F.row_number().over(Window.partitionBy("column").orderBy("_first", "value"))
+    Values come by the least key that has them, then by their text; those without a key come
+    last. Two scans: the first finds a key up to which each column has n values, the second
+    groups the cells up to it, which are about n different ones, task by task.
+    """
+    names = [c for c in (columns or df.columns)]
+    key = F.col(f"`{order_by}`")
+    shaped = df.select(key.alias("_key"), *[F.col(f"`{c}`") for c in names if c != order_by], *([key] if order_by in names else []))
+    fit = one_row(_last_keys(shaped, names, "_key", n))
+    near = lambda i: F.col(f"_fit.k{i}").isNull() | (F.col("_key") <= F.col(f"_fit.k{i}"))
+    cells = [
+        F.when(S.known(df, c).isNotNull() & near(i), F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("string").alias("value")))
+        for i, c in enumerate(names)
+    ]
+    found = shaped.withColumn("_fit", fit).select("_key", F.inline(F.array(*cells))).where("column IS NOT NULL")
+    seen = found.groupBy("column", "value").agg(F.min("_key").alias("_first"))
+    rank = F.row_number().over(Window.partitionBy("column").orderBy(F.asc_nulls_last("_first"), "value"))
     return (
         seen.withColumn("_rank", rank)
         .filter(F.col("_rank") <= n)
@@ -127,13 +153,6 @@ def _samples(seen: DataFrame, n: int) -> DataFrame:
     )
 
 
-def column_samples(df: DataFrame, order_by: str, n: int = 5, columns: Sequence[str] | None = None) -> DataFrame:
-    """(column, samples): the first n distinct non-missing values by `order_by`, as text."""
-    wanted = df if columns is None else df.select(*dict.fromkeys([order_by, *columns]))
-    found = _samples(_first_values(wanted, order_by), n)
-    return found if columns is None else found.where(F.col("column").isin(*columns))
-
-
 def _counted(df: DataFrame, names: Sequence[str], counted: DataFrame) -> DataFrame:
     """One row for each name, which the schema knows, with its count or 0."""
     named = df.sparkSession.createDataFrame([(c,) for c in names], "column string")
@@ -147,13 +166,15 @@ def _countable(df: DataFrame) -> list[str]:
 
 
 def distinct_counts(df: DataFrame, columns: Sequence[str] | None = None, exact: bool = True) -> DataFrame:
-    """(column, distinct_values), nulls not counted. exact=False uses a sketch in one scan."""
+    """(column, distinct_values), nulls not counted.
+
+    Exact counts shuffle one digest for each different cell of a task; exact=False uses a sketch
+    for each column in one scan. Sketches of parts of a table that are kept and merged are in
+    `plans/sketches.py`.
+    """
     names = list(columns or _countable(df))
-    if not exact:
-        return per_column(
-            df, names, {"distinct_values": lambda c: f"approx_count_distinct({known_sql(df, c)})"}
-        ).select("column", "distinct_values")
-    return _counted(df, names, value_freq(df, names).groupBy("column").agg(F.count(F.lit(1)).alias("distinct_values")))
+    found = distinct_by_digest(df, names) if exact else merged_distinct(distinct_states(df, names))
+    return _counted(df, names, found)
 
 
 def column_meaning(columns: DataFrame) -> DataFrame:
@@ -180,29 +201,25 @@ def column_role_flags(columns: DataFrame) -> DataFrame:
     )
 
 
-def column_facts(df: DataFrame, exact: bool = True, distinct: DataFrame | None = None) -> DataFrame:
+def column_facts(df: DataFrame, exact: bool = True) -> DataFrame:
     """Columns table of one DataFrame with nulls and distinct_values."""
     meta = S.columns_table(df.sparkSession, {"data": df}).drop("dataset")
     nulls = null_counts(df, all_columns=True)
-    distinct = distinct_counts(df, exact=exact) if distinct is None else distinct
     # all three sides have one row per column
-    return meta.join(F.broadcast(nulls), "column").join(F.broadcast(distinct), "column", "left")
+    return meta.join(F.broadcast(nulls), "column").join(F.broadcast(distinct_counts(df, exact=exact)), "column", "left")
 
 
 def data_dictionary(df: DataFrame, order_by: str, exact: bool = True) -> DataFrame:
-    """One row per column: type, meaning, samples, nulls, distinct values, role flags.
+    """One row per column: type, meaning, samples, nulls, distinct values, role flags."""
+    described = column_role_flags(column_meaning(column_facts(df, exact)))
+    return described.join(F.broadcast(column_samples(df, order_by)), "column", "left")
 
-    Exact counts and samples come from one grouping of the cells, which Spark shuffles once.
-    """
-    seen = _first_values(df, order_by)
-    counted = seen.groupBy("column").agg(F.count(F.lit(1)).alias("distinct_values"))
-    distinct = _counted(df, _countable(df), counted) if exact else None
-    described = column_role_flags(column_meaning(column_facts(df, exact, distinct)))
-    return described.join(F.broadcast(_samples(seen, 5)), "column", "left")
 
+def column_summary(df: DataFrame, column: str, exact: bool = True) -> DataFrame:
+    """One row for a numeric column: mean, median, std, min, max, count of known values.
 
-def column_summary(df: DataFrame, column: str) -> DataFrame:
-    """One row for a numeric column: mean, median, std, min, max, count of known values."""
+    exact=False takes the median from a sketch, in the scan's own size (`plans/quantiles.py`).
+    """
     S.require_numeric(df, column)
     v = number(df, column)
     return df.agg(
@@ -211,4 +228,4 @@ def column_summary(df: DataFrame, column: str) -> DataFrame:
         F.min(v).alias("min"),
         F.max(v).alias("max"),
         F.count(v).alias("count"),
-    ).withColumn("median", F.round(quantile_row(df, {"q": (column, 0.5)}).getField("q"), 4))
+    ).withColumn("median", F.round(quantile_row(df, {"q": (column, 0.5)}, exact=exact).getField("q"), 4))

@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from tablegauge.functions import fixed_values as V
 from tablegauge.functions.math import percent
-from tablegauge.plans.facts import column_facts, null_count, number_sql, per_column, repeats, value_freq, wide
+from tablegauge.plans.digests import distinct_by_digest
+from tablegauge.plans.facts import column_facts, null_count, number_sql, per_column, repeats, wide
+from tablegauge.plans.sketches import distinct_states, merged_distinct
 from tablegauge.sources import schema as S
 
 ISSUE = ("check", "column", "severity", "affected", "pct", "detail", "fix")
@@ -117,15 +119,13 @@ def check_constant(df: DataFrame, all_null: bool = True) -> DataFrame:
 
 
 def check_high_cardinality(
-    df: DataFrame, limit: int = V.HIGH_CARDINALITY, temporal_as_string: bool = False, check: str = "high_cardinality"
+    df: DataFrame, limit: int = V.HIGH_CARDINALITY, temporal_as_string: bool = False, check: str = "high_cardinality",
+    exact: bool = True,
 ) -> DataFrame:
-    """String columns with more than `limit` distinct values."""
+    """String columns with more than `limit` distinct values; exact=False counts by sketch in one scan."""
     names = S.text_columns(df, temporal_as_string)
-    values = (
-        value_freq(df, names) if names else df.sparkSession.createDataFrame([], "column string, value string, n long")
-    )
-    counted = values.groupBy("column").agg(F.count(F.lit(1)).alias("distinct"))
-    return issues_where(counted, cardinality_issue(check, limit))
+    counted = distinct_by_digest(df, names) if exact or not names else merged_distinct(distinct_states(df, names))
+    return issues_where(counted.withColumnRenamed("distinct_values", "distinct"), cardinality_issue(check, limit))
 
 
 def check_negative_in_positive(df: DataFrame) -> DataFrame:

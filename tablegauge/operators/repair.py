@@ -64,13 +64,13 @@ def drop_constant_columns(df: DataFrame, all_null: bool = True) -> DataFrame:
     return df.drop(*constant)
 
 
-def clip_iqr(df: DataFrame, columns: Sequence[str], factor: float = 1.5) -> DataFrame:
-    """Clip to [Q1 - factor IQR, Q3 + factor IQR]."""
+def clip_iqr(df: DataFrame, columns: Sequence[str], factor: float = 1.5, exact: bool = True) -> DataFrame:
+    """Clip to [Q1 - factor IQR, Q3 + factor IQR]; exact=False takes the quartiles from a sketch."""
     wanted = {}
     for c in columns:
         wanted[f"{c}_q1"] = (c, 0.25)
         wanted[f"{c}_q3"] = (c, 0.75)
-    fitted = df.withColumn("_fit", quantile_row(df, wanted))
+    fitted = df.withColumn("_fit", quantile_row(df, wanted, exact=exact))
     out = []
     for c in df.columns:
         if c in columns:

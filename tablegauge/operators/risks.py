@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablegauge.functions import fixed_values as V
@@ -14,6 +14,7 @@ from tablegauge.operators import quality as Q
 from tablegauge.plans.facts import column_facts, null_count, per_column
 from tablegauge.plans.joins import join_fitted, one_row
 from tablegauge.plans.quantiles import quantile_row
+from tablegauge.session import keep
 from tablegauge.sources import schema as S
 
 # our own limit for the population stability index
@@ -184,72 +185,68 @@ def schema_check(actual: DataFrame, expected: DataFrame, keys=("column",)) -> Da
     return joined.withColumn("finding", finding).filter(F.col("finding").isNotNull())
 
 
-def drift_report(before: DataFrame, after: DataFrame, columns: list[str] | None = None) -> DataFrame:
+def _bin_number(v, edges: list) -> Column:
+    """How many of the sorted edges lie below v, by halving."""
+    if not edges:
+        return F.lit(0).cast("long")
+    middle = len(edges) // 2
+    above = _bin_number(v, edges[middle + 1 :]) + (middle + 1)
+    return F.when(v > edges[middle], above).otherwise(_bin_number(v, edges[:middle]))
+
+
+def drift_report(before: DataFrame, after: DataFrame, columns: list[str] | None = None, exact: bool = True) -> DataFrame:
     """Per column: null-rate change, mean shift in deviations of `before`, PSI and a drift flag.
 
-    Numeric columns are binned by the deciles of `before`, text columns by value.
+    Numeric columns are binned by the deciles of `before`, text columns by value (its digest).
+    One pass over both tables counts bins and values and sums up their moments; it is written,
+    one row per column and bin, and all figures come from it. The deciles are found before it,
+    exact=False in one scan by a sketch.
     """
     names = columns or S.columns_of(before, "numeric", "string")
     numeric = [c for c in names if S.kind(before.schema[c].dataType) == "numeric"]
     probs = [i / 10 for i in range(1, 10)]
-    wanted = {f"{c}_{i}": (c, p) for c in numeric for i, p in enumerate(probs)}
-    both = before.select(*names, F.lit(0).alias("_after")).unionByName(
-        after.select(*names, F.lit(1).alias("_after"))
-    )
+    both = before.select(*names, F.lit(0).alias("_after")).unionByName(after.select(*names, F.lit(1).alias("_after")))
     if numeric:
-        both = both.withColumn("_edge", quantile_row(before, wanted))
-
-    def label(c: str):
+        wanted = {f"{i}_{k}": (c, p) for i, c in enumerate(names) if c in numeric for k, p in enumerate(probs)}
+        both = both.withColumn("_edge", quantile_row(before, wanted, exact=exact))
+    cells = []
+    for i, c in enumerate(names):
         v = S.known(before, c)
-        if c not in numeric:
-            return v
-        bin_no = reduce(
-            lambda a, b: a + b,
-            [(v.cast("double") > F.col(f"_edge.`{c}_{i}`")).cast("int") for i in range(len(probs))],
-        )
-        return bin_no.cast("string")
-
-    cells = both.select(
-        "_after",
-        F.inline(
-            F.array(
-                *[
-                    F.struct(
-                        F.lit(c).alias("column"),
-                        label(c).alias("label"),
-                        (S.known(before, c).cast("double") if c in numeric else _none()).alias("v"),
-                    )
-                    for c in names
-                ]
-            )
-        ),
-    )
+        if c in numeric:
+            x = v.cast("double")
+            bin_no = F.when(x.isNotNull(), _bin_number(x, [F.col(f"_edge.`{i}_{k}`") for k in range(len(probs))]))
+            label, other = bin_no, F.lit(0).cast("long")
+        else:
+            x = _none()
+            label, other = (F.when(v.isNotNull(), F.xxhash64(F.lit(seed), v)) for seed in (1, 2))
+        cells.append(F.struct(F.lit(i).alias("at"), label.alias("a"), other.alias("b"), x.alias("v")))
     was, now = F.col("_after") == 0, F.col("_after") == 1
-    bins = cells.groupBy("column", "label").agg(F.count_if(was).alias("n0"), F.count_if(now).alias("n1"))
-    totals = cells.groupBy("column").agg(
-        F.count_if(was & F.col("label").isNotNull()).alias("known0"),
-        F.count_if(now & F.col("label").isNotNull()).alias("known1"),
-        F.count_if(was).alias("rows0"),
-        F.count_if(now).alias("rows1"),
-        F.avg(F.when(was, F.col("v"))).alias("mean0"),
-        F.avg(F.when(now, F.col("v"))).alias("mean1"),
-        F.stddev_samp(F.when(was, F.col("v"))).alias("sd0"),
+    old, new = F.when(was, F.col("v")), F.when(now, F.col("v"))
+    bins = keep(both.select("_after", F.inline(F.array(*cells))).groupBy("at", "a", "b").agg(
+        F.count_if(was).alias("n0"), F.count_if(now).alias("n1"), F.avg(old).alias("mean0"), F.avg(new).alias("mean1"), F.var_pop(old).alias("var0")))
+
+    filled = F.col("a").isNotNull()
+    weighted = lambda n, mean: ratio(F.sum(F.when(filled, F.col(n) * F.col(mean))), F.sum(F.when(filled, F.col(n))))
+    totals = bins.groupBy("at").agg(
+        *[F.sum(F.when(filled, F.col(f"n{p}")).otherwise(0)).alias(f"known{p}") for p in (0, 1)],
+        *[F.sum(f"n{p}").alias(f"rows{p}") for p in (0, 1)],
+        weighted("n0", "mean0").alias("mean0"), weighted("n1", "mean1").alias("mean1"),
     )
     p = F.greatest(ratio(F.col("n0"), F.col("known0")), F.lit(EMPTY_SHARE))
     q = F.greatest(ratio(F.col("n1"), F.col("known1")), F.lit(EMPTY_SHARE))
-    psi = (
-        bins.filter(F.col("label").isNotNull())
-        .join(F.broadcast(totals.select("column", "known0", "known1")), "column")
-        .groupBy("column")
-        .agg(F.sum((q - p) * F.ln(q / p)).alias("psi"))
-    )
+    # squares within the bins and between them
+    apart = F.col("n0") * (F.col("var0") + (F.col("mean0") - F.col("all0")) ** 2)
+    # one row per column
+    found = bins.where(filled).join(F.broadcast(totals.select("at", "known0", "known1", F.col("mean0").alias("all0"))), "at").groupBy("at").agg(
+        F.sum((q - p) * F.ln(q / p)).alias("psi"), F.sum(F.when(F.col("n0") > 0, apart)).alias("squares"))
     nulls = lambda i: 1 - ratio(F.col(f"known{i}"), F.col(f"rows{i}"))
-    return totals.join(F.broadcast(psi), "column", "left").select(
-        "column",
+    sd = F.sqrt(ratio(F.col("squares"), F.when(F.col("known0") > 1, F.col("known0") - 1)))
+    return totals.join(F.broadcast(found), "at", "left").select(
+        F.array(*[F.lit(c) for c in names])[F.col("at")].alias("column"),
         nulls(0).alias("null_rate_before"),
         nulls(1).alias("null_rate_after"),
         (nulls(1) - nulls(0)).alias("null_rate_change"),
-        ratio(F.col("mean1") - F.col("mean0"), F.col("sd0")).alias("mean_shift"),
+        ratio(F.col("mean1") - F.col("mean0"), sd).alias("mean_shift"),
         "psi",
         F.coalesce(F.col("psi") > PSI_LIMIT, F.lit(False)).alias("drift"),
     )

@@ -17,19 +17,22 @@ def _by_hour(v: Column) -> Column:
     return F.floor(v / HOUR)
 
 
-def time_cuts(df: DataFrame, ts: str, probs: list[float]):
+def time_cuts(df: DataFrame, ts: str, probs: list[float], exact: bool = True):
     """Event times (in microseconds) at the given shares of rows, as one struct column."""
     timed = df.select(micros(F.col(ts)).alias("_t"))
     return quantile_row(
-        timed, {f"c{i}": ("_t", p) for i, p in enumerate(probs)}, interpolate=False, bin_of=_by_hour
+        timed, {f"c{i}": ("_t", p) for i, p in enumerate(probs)}, interpolate=False, bin_of=_by_hour, exact=exact
     )
 
 
-def temporal_split(df: DataFrame, ts: str, train_share: float = 0.8, cutoff: Column | None = None) -> DataFrame:
-    """Add `split`: train up to the cutoff time, test after it. Equal times stay together."""
+def temporal_split(df: DataFrame, ts: str, train_share: float = 0.8, cutoff: Column | None = None, exact: bool = True) -> DataFrame:
+    """Add `split`: train up to the cutoff time, test after it. Equal times stay together.
+
+    exact=False finds the cutoff by a sketch; the train share is then near the one asked for.
+    """
     if cutoff is not None:
         return df.withColumn("split", F.when(F.col(ts) <= cutoff, "train").otherwise("test"))
-    cut = time_cuts(df, ts, [train_share]).getField("c0")
+    cut = time_cuts(df, ts, [train_share], exact).getField("c0")
     return (
         df.withColumn("_cut", cut)
         .withColumn("split", F.when(micros(F.col(ts)) <= F.col("_cut"), "train").otherwise("test"))

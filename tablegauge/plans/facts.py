@@ -1,4 +1,4 @@
-"""Per-column facts in one scan, value frequencies in one shuffle, repeated rows.
+"""Per-column facts in one scan, distinct values and repeated rows by digest.
 
 Wide aggregates keep a scan at one row per input row; unpivoting first would
 multiply the rows by the column count. Metrics are SQL text, so a table of many
@@ -12,6 +12,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tablegauge.plans.digests import distinct_by_digest, repeated_rows
 from tablegauge.plans.joins import one_row
 from tablegauge.sources import schema as S
 
@@ -81,14 +82,14 @@ def column_facts(
 
     `variety` is 0 for an all-null column, 1 for a single value, 2 for more, which
     finds constant columns without counting distinct values. `distinct` is filled for
-    text columns, unless `counts` is off: then the least and greatest text, read in one scan
-    without a shuffle, tell the variety. `outliers` counts values further than `limit` sample deviations from
-    the mean, null without spread.
+    text columns, unless `counts` is off. `outliers` counts values further than `limit` sample
+    deviations from the mean, null without spread.
 
     Two scans without a row shuffle (fit as one row, then count outliers against it)
-    and, if there is text, one pass that counts text values. Text minima stay out of
-    the scan aggregate: they would take it off the hash path. The fitted row is one
-    scalar subquery used twice, so it is computed once.
+    and, if there is text, one for the least and greatest texts, and one that counts
+    different texts by digest. Text minima stay out of the first aggregate: they would take
+    it off the hash path. The fitted row is one scalar subquery used twice, so it is
+    computed once.
     """
     names = [c for c in df.columns if S.kind(df.schema[c].dataType) != "other"]
     texts = [c for c in names if c in set(S.text_columns(df, temporal_as_string))]
@@ -132,54 +133,25 @@ def column_facts(
     facts = tall(row, names, listed)
     if not texts:
         return facts.withColumn("distinct", F.lit(None).cast("long"))
-    is_text = F.col("column").isin(*texts)
-    if not counts:
-        text = lambda c: f"CAST({known_sql(df, c)} AS STRING)"
-        ends = wide(df, texts, {
-            "_lowest": lambda c: f"min({text(c)})",
-            "_variety": lambda c: f"CASE WHEN min({text(c)}) IS NULL THEN 0 WHEN min({text(c)}) = max({text(c)}) THEN 1 ELSE 2 END",
-        })
-        both = facts.join(F.broadcast(tall(ends, texts, ["_lowest", "_variety"]).select("column", "_lowest", "_variety")), "column", "left")
-        return both.withColumns({
-            "distinct": F.lit(None).cast("long"),
-            "variety": F.coalesce("_variety", "variety"),
-            "lowest": F.coalesce("_lowest", "lowest"),
-        }).drop("_lowest", "_variety")
-    values = value_freq(df, texts).groupBy("column").agg(
-        F.count(F.lit(1)).alias("distinct"), F.min("value").alias("_lowest")
-    )
+    text = lambda c: f"CAST({known_sql(df, c)} AS STRING)"
+    ends = wide(df, texts, {
+        "_lowest": lambda c: f"min({text(c)})",
+        "_variety": lambda c: f"CASE WHEN min({text(c)}) IS NULL THEN 0 WHEN min({text(c)}) = max({text(c)}) THEN 1 ELSE 2 END",
+    })
     # one row per text column
-    joined = facts.join(F.broadcast(values), "column", "left")
-    seen = F.coalesce("distinct", F.lit(0))
-    return joined.withColumns(
-        {
-            "distinct": F.when(is_text, seen),
-            "variety": F.when(is_text, F.least(seen, F.lit(2))).otherwise(F.col("variety")),
-            "lowest": F.coalesce("_lowest", "lowest"),
-        }
-    ).drop("_lowest")
-
-
-def value_freq(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """(column, value as text, n) over the non-missing cells of the given columns."""
-    shaped = df.selectExpr(*[f"CAST({known_sql(df, c)} AS STRING) AS {quoted(c)}" for c in columns])
-    return (
-        shaped.unpivot([], list(columns), "column", "value")
-        .filter(F.col("value").isNotNull())
-        .groupBy("column", "value")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-
-
-def row_freq(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """Identical rows counted once, nulls equal. Column `_copies` holds the count."""
-    names = list(columns or df.columns)
-    return df.groupBy(*[F.col(f"`{c}`") for c in names]).agg(F.count(F.lit(1)).alias("_copies"))
+    told = tall(ends, texts, ["_lowest", "_variety"]).select("column", "_lowest", "_variety")
+    if counts:
+        told = told.join(F.broadcast(distinct_by_digest(df, texts)), "column", "left")
+        distinct = F.when(F.col("_variety").isNotNull(), F.coalesce("distinct_values", F.lit(0)))
+    else:
+        told, distinct = told.withColumn("distinct_values", F.lit(None)), F.lit(None).cast("long")
+    return facts.join(F.broadcast(told), "column", "left").withColumns({
+        "distinct": distinct,
+        "variety": F.coalesce("_variety", "variety"),
+        "lowest": F.coalesce("_lowest", "lowest"),
+    }).drop("_lowest", "_variety", "distinct_values")
 
 
 def repeats(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """One row: n_rows and duplicate_rows, the rows that repeat an earlier one."""
-    return row_freq(df, columns).agg(
-        F.coalesce(F.sum("_copies"), F.lit(0)).alias("n_rows"),
-        F.coalesce(F.sum(F.col("_copies") - 1), F.lit(0)).alias("duplicate_rows"),
-    )
+    return repeated_rows(df, list(columns or df.columns))

@@ -1,4 +1,4 @@
-"""Exact quantiles without holding a column's values in one task.
+"""Exact quantiles without holding a column's values in one task, or sketched ones in one scan.
 
 Values are counted in fine, ordered bins. Bin totals tell which bin holds each
 wanted rank; only the rows of those few bins are then counted value by value.
@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tablegauge.plans.joins import fits_broadcast, join_null_safe, one_row
 from tablegauge.plans.ordered import value_bin
+from tablegauge.plans.sketches import merged_quantiles, quantile_states
 from tablegauge.session import keep
 
 
@@ -24,15 +25,19 @@ def quantiles(
     group: Sequence[str] = (),
     interpolate: bool = True,
     bin_of: Callable[[Column], Column] = value_bin,
+    exact: bool = True,
 ) -> DataFrame:
     """Rows (group..., column, prob, quantile). Null and NaN are left out.
 
     `interpolate` gives the linear form (percentile_cont), otherwise the smallest
     value whose cumulative share reaches prob (percentile_disc). With `group` one job
-    runs to find the bins.
+    runs to find the bins. `exact=False` gives a value of the column whose rank is off by
+    `sketches.rank_error()` of the rows at most, in one scan and a few kilobytes per group.
     """
     group = list(group)
     by = [*group, "column"]
+    if not exact:
+        return merged_quantiles(quantile_states(df, columns, group), probs, group)
     # bins are counted from the column's least finite value: their width follows the spread of
     # the values, not their distance from zero (times, long ids)
     value = {c: F.col(f"`{c}`").cast("double") for c in columns}

@@ -3,6 +3,8 @@
 from pyspark.sql import functions as F
 
 from tablegauge.operators import profile as P
+from tablegauge.plans import sketches as K
+from tablegauge.session import new_folder
 from tablegauge.workload.registry import plain, query
 from tablegauge.workload.samples import holey_events, sql_holey_events
 
@@ -122,6 +124,22 @@ def _(t):
     return P.distinct_counts(t.lineitem)
 
 
+# one sketch per part and column, stored part by part; held to the stated error of the merged count
+@query(
+    "b9_distinct_states",
+    " UNION ALL ".join(f"""SELECT '{c}' AS "column", count(DISTINCT {c}) AS exact, true AS near FROM events""" for c in ("user_id", "event_type", "props", "event_id")),
+)
+def _(t):
+    names, folder = ["user_id", "event_type", "props", "event_id"], new_folder(t.spark, "states")
+    middle = F.lit("2024-01-16").cast("timestamp_ntz")
+    for part, rows in (("first", t.events.filter(F.col("ts") < middle)), ("second", t.events.filter(F.col("ts") >= middle))):
+        K.store_states(K.distinct_states(rows, names), folder, part)
+    merged = K.merged_distinct(K.stored_states(t.spark, folder)).withColumnRenamed("distinct_values", "guess")
+    both = P.distinct_counts(t.events, names).join(F.broadcast(merged), "column")
+    off = F.abs(F.col("guess") - F.col("distinct_values")) <= K.distinct_error() * F.col("distinct_values")
+    return both.select("column", F.col("distinct_values").alias("exact"), off.alias("near"))
+
+
 MEANING = """CASE
  WHEN contains(c,'id') OR contains(c,'key') OR contains(c,'uuid') OR contains(c,'guid') THEN 'identifier'
  WHEN contains(c,'date') OR contains(c,'time') OR contains(c,'created') OR contains(c,'updated') THEN 'date'
@@ -215,3 +233,20 @@ round(quantile_cont(l_extendedprice, 0.5), 4) AS median FROM lineitem""",
 )
 def _(t):
     return plain(P.column_summary(t.lineitem, "l_extendedprice"))
+
+
+# quantiles of sketches that were stored part by part; their ranks are held to the stated error
+@query(
+    "b13_quantile_states",
+    "SELECT c AS \"column\", CAST(p AS DOUBLE) AS prob, true AS near FROM (SELECT unnest(['l_extendedprice', 'l_quantity', 'l_discount']) AS c), (SELECT unnest([0.25, 0.5, 0.75, 0.99]) AS p)",
+)
+def _(t):
+    names, folder, probs = ["l_extendedprice", "l_quantity", "l_discount"], new_folder(t.spark, "states"), [0.25, 0.5, 0.75, 0.99]
+    for part in ("A", "N", "R"):
+        K.store_states(K.quantile_states(t.lineitem.filter(F.col("l_returnflag") == part), names), folder, part)
+    guess = K.merged_quantiles(K.stored_states(t.spark, folder), probs)
+    cells = t.lineitem.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v")) for c in names])))
+    ranked = cells.join(F.broadcast(guess), "column").groupBy("column", "prob").agg(
+        F.avg((F.col("v") < F.col("quantile")).cast("double")).alias("below"), F.avg((F.col("v") <= F.col("quantile")).cast("double")).alias("upto"))
+    off = K.rank_error()
+    return ranked.select("column", "prob", ((F.col("below") - off <= F.col("prob")) & (F.col("upto") + off >= F.col("prob"))).alias("near"))

@@ -4,6 +4,8 @@ from pyspark.sql import functions as F
 
 from tablegauge.operators import relational as J
 from tablegauge.operators import sqlguard as G
+from tablegauge.plans.quantiles import quantiles
+from tablegauge.plans.sketches import rank_error
 from tablegauge.workload.registry import plain, query
 
 
@@ -159,7 +161,10 @@ family(
     "g5_distinct",
     "lineitem",
     """SELECT l_returnflag, count(DISTINCT l_suppkey) AS suppliers, count(DISTINCT l_partkey) AS parts,
- approx_count_distinct(l_suppkey) > 0 AS has_suppliers FROM (SELECT DISTINCT l_returnflag, l_suppkey, l_partkey FROM lineitem) d GROUP BY l_returnflag""",
+ abs(approx_count_distinct(l_suppkey, 0.01) - count(DISTINCT l_suppkey)) <= 0.03 * count(DISTINCT l_suppkey) AS near
+FROM (SELECT DISTINCT l_returnflag, l_suppkey, l_partkey FROM lineitem) d GROUP BY l_returnflag""",
+    # the sketch is held to three times its stated error
+    """SELECT l_returnflag, count(DISTINCT l_suppkey) AS suppliers, count(DISTINCT l_partkey) AS parts, true AS near FROM lineitem GROUP BY l_returnflag""",
 )
 family(
     "g6_top_k",
@@ -272,14 +277,30 @@ UNPIVOT (n FOR status IN (open, filled))""",
     """SELECT l_returnflag, CASE l_linestatus WHEN 'O' THEN 'open' ELSE 'filled' END AS status, count(*) AS n FROM lineitem
 WHERE l_linestatus IN ('O', 'F') GROUP BY 1, 2""",
 )
-family(
+@query(
     "g14_statistics",
-    "part",
-    """SELECT p_brand, round(percentile(p_retailprice, 0.9), 4) AS p90, round(median(p_retailprice), 4) AS med, round(stddev(p_retailprice), 4) AS sd,
- round(corr(p_retailprice, p_size), 4) AS c, max_by(p_partkey, p_retailprice * 1000000 + p_partkey) AS dearest FROM part GROUP BY p_brand""",
     """SELECT p_brand, round(quantile_cont(p_retailprice, 0.9), 4) AS p90, round(median(p_retailprice), 4) AS med, round(stddev(p_retailprice), 4) AS sd,
  round(corr(p_retailprice, p_size), 4) AS c, arg_max(p_partkey, p_retailprice * 1000000 + p_partkey) AS dearest FROM part GROUP BY p_brand""",
 )
+def _(t):
+    found = J.grouped_statistics(t.part, ["p_brand"], "p_retailprice", {"p90": 0.9, "med": 0.5}, {
+        "sd": F.stddev("p_retailprice"), "c": F.corr("p_retailprice", "p_size"),
+        "dearest": F.max_by("p_partkey", F.col("p_retailprice") * 1000000 + F.col("p_partkey"))})
+    return plain(found)
+
+
+# a sketch: its quantiles' ranks in their group are held to the stated error
+@query("g14_statistics_sketch", "SELECT l_returnflag, CAST(prob AS DOUBLE) AS prob, true AS near FROM (SELECT DISTINCT l_returnflag FROM lineitem), (SELECT unnest([0.5, 0.9]) AS prob)")
+def _(t):
+    lines = t.lineitem.select("l_returnflag", "l_extendedprice")
+    guess = quantiles(lines, ["l_extendedprice"], [0.5, 0.9], ["l_returnflag"], exact=False)
+    ranked = lines.join(F.broadcast(guess.drop("column")), "l_returnflag").groupBy("l_returnflag", "prob").agg(
+        (F.avg((F.col("l_extendedprice") < F.col("quantile")).cast("double")) - F.col("prob")).alias("below"),
+        (F.avg((F.col("l_extendedprice") <= F.col("quantile")).cast("double")) - F.col("prob")).alias("upto"))
+    off = rank_error()
+    return ranked.select("l_returnflag", "prob", ((F.col("below") <= off) & (F.col("upto") >= -off)).alias("near"))
+
+
 family(
     "g15_strings",
     "part",

@@ -54,7 +54,7 @@ def differences(df, con, sql) -> list[str]:
         return [f"columns {got_cols} != {want_cols}"]
     types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
     for name, kind, *_ in con.execute(f"DESCRIBE {sql}").fetchall():
-        if {"bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN"}.get(
+        if {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN"}.get(
             types[name]
         ) != kind:
             out.append(f"type of {name}: {types[name]} != {kind}")
