@@ -31,13 +31,17 @@ from tablegauge.llm.tokens import chunks
 
 LEAST_DOCS = 10
 TOP = 10
-# bytes of the first level's prefixes; each level doubles them
-FIRST_BYTES = 4
+# bytes of the first level's prefixes; each level doubles them. Fewer bytes discard next to nothing
+FIRST_BYTES = 8
 # bits of the bitmap of open prefixes: 16 MB
 BITS = 1 << 27
 # sources compared at a time, and source blocks that a task holds sums of
 BLOCK = 256
 HELD = 16
+# bytes of text worked on at a time, for prefixes and for counts; a longer text is worked on alone
+PREFIX_CHUNK, COUNT_CHUNK = 4 << 20, 8 << 20
+# (lang, key) pairs of a chunk that are marked in a table instead of being sorted
+TABLE = 1 << 26
 # numbers of a block of probabilities
 CELLS = 1 << 22
 # what Spark's xxhash64 starts from
@@ -87,11 +91,17 @@ def _open(bitmap: np.ndarray, langs: list[bytes], prefixes: list[bytes], lang: n
 def _alive(bitmap: np.ndarray, langs: pa.DictionaryArray, doc: np.ndarray, index: np.ndarray, keys: pa.Array) -> np.ndarray:
     """Per term in the texts, of which index tells the vocabulary's entry: whether its key is open."""
     coded = keys.dictionary_encode()
-    key = coded.indices.to_numpy()[index]
-    pair = langs.indices.to_numpy().astype(np.int64)[doc] * len(coded.dictionary) + key
-    different, back = np.unique(pair, return_inverse=True)
-    names = [x.encode() for x in langs.dictionary.to_pylist()]
-    return _open(bitmap, names, coded.dictionary.to_pylist(), different // len(coded.dictionary), different % len(coded.dictionary))[back]
+    n, names = len(coded.dictionary), [x.encode() for x in langs.dictionary.to_pylist()]
+    pair = langs.indices.to_numpy().astype(np.int64)[doc] * n + coded.indices.to_numpy()[index]
+    look = lambda pairs: _open(bitmap, names, coded.dictionary.to_pylist(), pairs // n, pairs % n)
+    if n * len(names) > TABLE:
+        different, back = np.unique(pair, return_inverse=True)
+        return look(different)[back]
+    table = np.zeros(n * len(names), dtype=bool)
+    table[pair] = True
+    different = np.flatnonzero(table)
+    table[different] = look(different)
+    return table[pair]
 
 
 def _bits(bitmap) -> np.ndarray:
@@ -102,7 +112,7 @@ def _prefixes(before: int, width: int, bitmap) -> Callable:
     """Per batch: (lang, prefix, docs) of the terms that are open after the level of `before` bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (part for b in batches for part in chunks(b)):
+        for batch in (part for b in batches for part in chunks(b, PREFIX_CHUNK)):
             terms, doc = batch_terms(batch.column("text"), max(before, 1))
             if not len(terms):
                 continue
@@ -125,7 +135,7 @@ def _counts(bitmap) -> Callable:
     """Per batch: (lang, source, term, n) of the terms in the bitmap."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (part for b in batches for part in chunks(b)):
+        for batch in (part for b in batches for part in chunks(b, COUNT_CHUNK)):
             terms, doc = batch_terms(batch.column("text"))
             if not len(terms):
                 continue

@@ -36,12 +36,12 @@ def batch_tokens(texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
     return own[index], ends
 
 
-def chunks(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """A batch in parts of about CHUNK bytes of text."""
+def chunks(batch: pa.RecordBatch, most: int = CHUNK) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of about so many bytes of text."""
     at = 0
     while at < batch.num_rows:
         size = np.cumsum(pc.binary_length(batch.column("text").slice(at, 1 << 14)).to_numpy())
-        n = max(1, int(np.searchsorted(size, CHUNK, side="right")))
+        n = max(1, int(np.searchsorted(size, most, side="right")))
         yield batch.slice(at, n)
         at += n
 
