@@ -190,7 +190,11 @@ def top_k(df: DataFrame, user: str, item: str, score: str, k: int) -> DataFrame:
 
 
 def ranking_at_k(df: DataFrame, user: str, item: str, score: str, relevance: str, k: int = 10) -> DataFrame:
-    """precision, recall, hit_rate and ndcg at k over users with a relevant item; coverage over items."""
+    """precision, recall, hit_rate and ndcg at k over users with a relevant item; coverage over items.
+
+    The four columns are written once: each part reads them, and none works out the table anew.
+    """
+    df = keep(df.select(user, item, score, relevance))
     rel = F.col(relevance).cast("double")
     top = top_k(df, user, item, score, k)
     got = top.groupBy(user).agg(
