@@ -4,11 +4,12 @@ Word and word-pair counts of the training documents are quantised to powers of t
 filter holds an n-gram of level q as the q pairs (n-gram, 1) .. (n-gram, q), so its level is
 read by asking for (n-gram, 1), (n-gram, 2) and on until one is missing; a count can only be
 overstated, by one level in less than ERROR of the reads. All bits of an n-gram lie in one
-block of the filter, which lets blocks be built where the n-grams' counts meet.
+block of the filter. Counts are shuffled once, by block; where a block's counts meet they are
+added up, and the block gets as many bits as the levels of its n-grams ask for.
 
-The filter grows with the levels of the different n-grams, which are counted first. It is sent to the workers in segments of a fixed
-size limit: each segment is one more pass over the texts that reads the levels of its n-grams,
-and the passes' levels meet per document before scoring.
+The filter grows with the levels of the different n-grams. It is sent to the workers in segments
+of a fixed size limit. A task reads its texts once and looks their n-grams up in one segment after
+the other, so it holds one segment at a time if there are several.
 
 Scores under the plain unigram model are exact. The most frequent words, as many as fit a
 size limit, are looked up in the workers; the others are joined.
@@ -24,15 +25,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablegauge.llm.common import null_safe, whole, written
-from tablegauge.llm.tokens import END, START, batch_tokens, batch_words, chunks, mix
+from tablegauge.llm.tokens import CHUNK, END, START, batch_tokens, batch_words, chunks, mix
 
 #: fixed by the contract: documents whose crc32 leaves HELD of FOLDS are held out
 FOLDS, HELD = 7, 2
-# filter bits for each level of a different n-gram, bits set for each level, bits of a block
-BITS_EACH, PROBES, BLOCK_BITS = 14, 3, 1 << 19
-# share of absent n-grams that read as held: (1 - exp(-3 / 14)) ** 3 is 0.0073
-ERROR = 0.01
+# filter bits for each level of a different n-gram, bits set for each level
+BITS_EACH, PROBES = 24, 6
+# training tokens for each block
+BLOCK_TOKENS = 1 << 16
+# share of absent n-grams that read as held: (1 - exp(-6 / 24)) ** 6 is 0.00012
+ERROR = 0.0005
 SEGMENT_BYTES = 64 << 20
+# bytes of text worked on at a time where there are several segments
+SEVERAL_CHUNK = 16 << 20
 HEAD_WORDS = 1 << 20
 # weight of the pair model against the word model
 PAIR_WEIGHT = 0.7
@@ -71,39 +76,51 @@ def level(counts: np.ndarray) -> np.ndarray:
 LEVEL_COUNT = np.array([0.0] + [(2.0 ** (q - 1) + 2.0**q - 1) / 2 for q in range(1, TOP_LEVEL + 1)])
 
 
-def _bits(keys: np.ndarray, q: int) -> list[np.ndarray]:
+def _halves(keys: np.ndarray, q: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two numbers of 32 bits for (n-gram, q); the second is odd."""
     x = mix(keys + np.uint64(q * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
-    return [(x >> np.uint64(20 * i)) & np.uint64(BLOCK_BITS - 1) for i in range(PROBES)]
+    return x & np.uint64(0xFFFFFFFF), (x >> np.uint64(32)) | np.uint64(1)
+
+
+def _place(a: np.ndarray, b: np.ndarray, probe: int, sizes: np.ndarray | np.uint64) -> np.ndarray:
+    """The place of a bit in blocks of so many bits."""
+    return ((((a + np.uint64(probe) * b) & np.uint64(0xFFFFFFFF)) * sizes) >> np.uint64(32)).view(np.int64)
 
 
 def block_of(keys: np.ndarray, blocks: int) -> np.ndarray:
     return ((keys >> np.uint64(32)) * np.uint64(blocks)) >> np.uint64(32)
 
 
-def put_levels(block: np.ndarray, keys: np.ndarray, levels: np.ndarray) -> None:
-    """Set the bits of n-grams in their block, an array of BLOCK_BITS / 8 bytes."""
+def block_bits(keys: np.ndarray, levels: np.ndarray) -> np.ndarray:
+    """A block that holds the n-grams of it: bytes, as many as their levels ask for."""
+    out = np.zeros(max(1, -(-BITS_EACH * int(levels.sum(dtype=np.int64)) // 8)), dtype=np.uint8)
     for q in range(1, int(levels.max(initial=0)) + 1):
-        for at in _bits(keys[levels >= q], q):
-            np.bitwise_or.at(block, (at >> np.uint64(3)).astype(np.int64), np.left_shift(1, (at & np.uint64(7)).astype(np.uint8), dtype=np.uint8))
+        a, b = _halves(keys[levels >= q], q)
+        for probe in range(PROBES):
+            at = _place(a, b, probe, np.uint64(8 * len(out)))
+            np.bitwise_or.at(out, at >> 3, np.left_shift(1, (at & 7).astype(np.uint8), dtype=np.uint8))
+    return out
 
 
-def read_levels(segment: np.ndarray, first: int, last: int, blocks: int, keys: np.ndarray) -> np.ndarray:
-    """The levels of the n-grams whose blocks are first .. last - 1; 0 for all others."""
-    out = np.zeros(len(keys), dtype=np.uint8)
-    block = block_of(keys, blocks).view(np.int64)
-    alive = np.flatnonzero((block >= first) & (block < last))
-    base = (block[alive] - first) * (BLOCK_BITS // 8)
+def read_levels(segment: np.ndarray, first: int, ends: np.ndarray, blocks: int, keys: np.ndarray, out: np.ndarray) -> None:
+    """Put the levels of the n-grams whose blocks are in the segment into `out`.
+
+    The segment has the blocks from `first` on; `ends` are where they end in it, a 0 first.
+    """
+    block = block_of(keys, blocks).view(np.int64) - first
+    alive = np.flatnonzero((block >= 0) & (block < len(ends) - 1))
+    base, sizes = ends[block[alive]], 8 * np.diff(ends)[block[alive]].view(np.uint64)
     keys = keys[alive]
     for q in range(1, TOP_LEVEL + 1):
-        found = np.ones(len(alive), dtype=bool)
-        for at in _bits(keys, q):
-            at = at.view(np.int64)
-            found &= (segment[base + (at >> 3)] >> (at & 7).astype(np.uint8) & 1).astype(bool)
-        alive, base, keys = alive[found], base[found], keys[found]
+        a, b = _halves(keys, q)
+        held = np.arange(len(alive))
+        for probe in range(PROBES):  # most absent ones go with the first bits
+            at = _place(a[held], b[held], probe, sizes[held])
+            held = held[(segment[base[held] + (at >> 3)] >> (at & 7).astype(np.uint8) & 1).astype(bool)]
+        alive, base, sizes, keys = alive[held], base[held], sizes[held], keys[held]
         if not len(alive):
             break
         out[alive] = q
-    return out
 
 
 def _summed(keys: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -158,46 +175,41 @@ def _word_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _keyed(word_keys(batch.column("h").to_numpy().view(np.uint64)), batch.column("n").to_numpy())
 
 
-def _leveled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(level(batch.column("n").to_numpy()).astype(np.int8))], ["key", "level"])
-
-
 def _blocked(blocks: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             block = block_of(batch.column("key").to_numpy().view(np.uint64), blocks)
-            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("level"), pa.array(block.astype(np.int32))], ["key", "level", "block"])
+            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("n"), pa.array(block.astype(np.int32))], ["key", "n", "block"])
 
     return run
 
 
-def _built(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: dict[int, np.ndarray] = {}
-    for batch in batches:
-        block = batch.column("block").to_numpy()
-        keys = batch.column("key").to_numpy().view(np.uint64)
-        levels = batch.column("level").to_numpy()
-        order = np.argsort(block, kind="stable")
-        at, starts = np.unique(block[order], return_index=True)
-        for b, rows in zip(at.tolist(), np.split(order, starts[1:])):
-            if b not in held:
-                held[b] = np.zeros(BLOCK_BITS // 8, dtype=np.uint8)
-            put_levels(held[b], keys[rows], levels[rows])
-    for b, bits in held.items():
-        yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([bits.tobytes()], pa.binary())], ["block", "bits"])
-
-
-def filter_blocks(train: DataFrame, words: DataFrame) -> tuple[DataFrame, int]:
-    """(the filter's blocks as rows block, bits; how many there are) from texts and their words' counts."""
+def _built(blocks: int) -> Callable:
+    """Counts of whole blocks, in any order, to blocks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [tuple(batch.column(c).to_numpy() for c in ("key", "n")) for batch in batches]
+        if not held:
+            return
+        key, n = map(np.concatenate, zip(*held))
+        held.clear()
+        # in the order of the keys blocks follow each other
+        keys, n = _summed(key.view(np.uint64), n)
+        block = block_of(keys, blocks)
+        some, first = np.unique(block, return_index=True)
+        for b, part, own in zip(some.tolist(), np.split(keys, first[1:]), np.split(level(n), first[1:])):
+            yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([block_bits(part, own).tobytes()], pa.binary())], ["block", "bits"])
+
+    return run
+
+
+def filter_blocks(train: DataFrame, words: DataFrame, tokens: int) -> tuple[DataFrame, int]:
+    """(the filter's blocks as rows block, bits; how many there may be) from texts and their words' counts."""
     kind = "key long, n long"
+    blocks = 1 + tokens // BLOCK_TOKENS
     counted = train.mapInArrow(_pair_counts, kind).unionByName(words.select("h", "n").mapInArrow(_word_rows, kind))
-    summed = counted.groupBy("key").agg(F.sum("n").alias("n"))
-    leveled = written(summed.mapInArrow(_leveled, "key long, level byte"), "levels")
-    held = leveled.agg(F.coalesce(F.sum("level"), F.lit(0))).first()[0]
-    blocks = max(1, -(-BITS_EACH * held // BLOCK_BITS))
-    dealt = leveled.mapInArrow(_blocked(blocks), "key long, level byte, block int").repartition("block")
-    return written(dealt.mapInArrow(_built, "block int, bits binary"), "filter"), blocks
+    dealt = counted.mapInArrow(_blocked(blocks), "key long, n long, block int").repartition("block")
+    return written(dealt.mapInArrow(_built(blocks), "block int, bits binary"), "filter"), blocks
 
 
 def token_logs(words: np.ndarray, pairs: np.ndarray, starts: np.ndarray, tokens: float, different: float, end_count: float) -> np.ndarray:
@@ -212,66 +224,68 @@ def token_logs(words: np.ndarray, pairs: np.ndarray, starts: np.ndarray, tokens:
     return np.log10(np.where(seen, PAIR_WEIGHT * share + (1 - PAIR_WEIGHT) * alone, alone))
 
 
-def _levels(sent, first: int, last: int, blocks: int, head, model=None) -> Callable:
-    """Per document the levels of its words and pairs in one segment; with `head`, base figures too.
+def _levels_of(segments: list, blocks: int, keys: np.ndarray) -> np.ndarray:
+    """The levels of n-grams, looked up in one segment after the other; 0 for those in none."""
+    out = np.zeros(len(keys), dtype=np.uint8)
+    for first, ends, sent in segments:
+        read_levels(np.frombuffer(sent.value, dtype=np.uint8), first, ends, blocks, keys, out)
+        if len(segments) > 1:  # only one is held
+            del sent._value
+    return out
 
-    With `model` (arguments of token_logs) the segment is the whole filter, and each document's
-    score stands in place of its levels.
+
+def _scored(segments: list, blocks: int, head, model: tuple) -> Callable:
+    """Per document its score, the exact base figures of frequent words, and its rare words.
+
+    segments: (first block, ends of the blocks, the broadcast bits); model: arguments of token_logs.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        segment = np.frombuffer(sent.value, dtype=np.uint8)
-        if head is not None:
-            known, logs = head.value
+        known, logs = head.value
         for batch in batches:
-            for part in chunks(batch):
+            for part in chunks(batch, SEVERAL_CHUNK if len(segments) > 1 else CHUNK):
                 some, back, ends = batch_words(part.column("text"))
                 h, starts = some[back], np.concatenate([[0], ends[:-1]])
-                words = read_levels(segment, first, last, blocks, word_keys(some))[back]
-                pairs = read_levels(segment, first, last, blocks, pair_keys(_before(h), h))
-                columns, names = [part.column("doc_id"), part.column("text_key")], ["doc_id", "text_key"]
-                if model is None:
-                    columns.append(pa.array([words[a:b].tobytes() + pairs[a:b].tobytes() for a, b in zip(starts.tolist(), ends.tolist())], pa.binary()))
-                    names.append("levels")
-                else:
-                    columns.append(pa.array(np.add.reduceat(token_logs(words, pairs, starts, *model), starts)))
-                    names.append("score")
-                if head is not None:
-                    at = np.minimum(np.searchsorted(known, some), max(len(known) - 1, 0))
-                    is_head = known[at] == some if len(known) else np.zeros(len(some), dtype=bool)
-                    base = np.where(is_head, logs[at], 0.0) if len(known) else np.zeros(len(some))
-                    # rare words of each text, once with their number
-                    text = np.repeat(np.arange(len(ends)), ends - starts)
-                    rare = ~is_head[back]
-                    pair, n = np.unique(text[rare] * len(some) + back[rare], return_counts=True)
-                    lists = pa.array(np.searchsorted(pair, np.arange(len(ends) + 1) * len(some)), pa.int32())
-                    columns += [pa.array(ends - starts), pa.array(np.add.reduceat(base[back], starts)),
-                                pa.array(np.add.reduceat(is_head[back].astype(np.int64), starts)),
-                                pa.ListArray.from_arrays(lists, pa.array(some[pair % len(some)].view(np.int64))),
-                                pa.ListArray.from_arrays(lists, pa.array(n))]
-                    names += ["n_tokens", "base", "known", "tail_h", "tail_n"]
-                yield pa.RecordBatch.from_arrays(columns, names)
+                pair, pair_back = np.unique(pair_keys(_before(h), h), return_inverse=True)
+                levels = _levels_of(segments, blocks, np.concatenate([word_keys(some), pair]))
+                score = np.add.reduceat(token_logs(levels[: len(some)][back], levels[len(some) :][pair_back], starts, *model), starts)
+                at = np.minimum(np.searchsorted(known, some), max(len(known) - 1, 0))
+                is_head = known[at] == some if len(known) else np.zeros(len(some), dtype=bool)
+                base = np.where(is_head, logs[at], 0.0) if len(known) else np.zeros(len(some))
+                # rare words of each text, once with their number
+                text = np.repeat(np.arange(len(ends)), ends - starts)
+                rare = ~is_head[back]
+                each, n = np.unique(text[rare] * len(some) + back[rare], return_counts=True)
+                lists = pa.array(np.searchsorted(each, np.arange(len(ends) + 1) * len(some)), pa.int32())
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("doc_id"), part.column("text_key"), pa.array(score), pa.array(ends - starts), pa.array(np.add.reduceat(base[back], starts)),
+                     pa.array(np.add.reduceat(is_head[back].astype(np.int64), starts)),
+                     pa.ListArray.from_arrays(lists, pa.array(some[each % len(some)].view(np.int64))), pa.ListArray.from_arrays(lists, pa.array(n))],
+                    ["doc_id", "text_key", "score", "n_tokens", "base", "known", "tail_h", "tail_n"])
 
     return run
 
 
-def _scored(model: tuple, segments: int) -> Callable:
-    """Scores from the levels that all segments gave."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            parts = [batch.column(f"levels_{s}").to_pylist() for s in range(segments)]
-            scores = []
-            for each in zip(*parts):
-                levels = np.frombuffer(each[0], dtype=np.uint8)
-                for other in each[1:]:  # an n-gram has a level in one segment only
-                    levels = levels | np.frombuffer(other, dtype=np.uint8)
-                words, pairs = levels.reshape(2, -1)
-                scores.append(float(token_logs(words, pairs, np.array([0]), *model).sum()))
-            keep = [c for c in batch.schema.names if not c.startswith("levels_")]
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in keep] + [pa.array(scores, pa.float64())], [*keep, "score"])
-
-    return run
+def _segments(table: DataFrame, segment_bytes: int) -> list:
+    """The filter's blocks in segments of so many bytes, or of one block, each sent to the workers."""
+    sizes = {r["block"]: r["n"] for r in table.select("block", F.octet_length("bits").alias("n")).collect()}
+    last = max(sizes, default=-1)
+    each, first, held = [], 0, 0
+    for b in range(last + 1):
+        if held and held + sizes.get(b, 0) > segment_bytes:
+            each.append((first, b))
+            first, held = b, 0
+        held += sizes.get(b, 0)
+    each.append((first, last + 1))
+    out = []
+    for first, until in each:
+        ends = np.concatenate([[0], np.cumsum([sizes.get(b, 0) for b in range(first, until)])]).astype(np.int64)
+        bits = bytearray(int(ends[-1]))
+        for r in table.where(F.col("block").between(first, until - 1)).toLocalIterator():
+            at = r["block"] - first
+            bits[ends[at] : ends[at + 1]] = r["bits"]
+        out.append((first, ends, table.sparkSession.sparkContext.broadcast(bytes(bits))))
+    return out
 
 
 def scores(
@@ -305,32 +319,11 @@ def scores(
     divide = float(total + different + 1)
     head = spark.sparkContext.broadcast((known[order], np.log10((n[order] + 1) / divide)))
 
-    table, blocks = filter_blocks(train, words)
-    each = max(1, segment_bytes * 8 // BLOCK_BITS)
-    id_type = rows.schema["doc_id"].dataType.simpleString()
-    ranges = [(a, min(a + each, blocks)) for a in range(0, blocks, each)]
+    table, blocks = filter_blocks(train, words, total)
     model = (total, different, float(LEVEL_COUNT[level(np.array([sums["end"]]))[0]]))
-    more = "n_tokens long, base double, known long, tail_h array<long>, tail_n array<long>"
-    found = None
-    for s, (first, last) in enumerate(ranges):
-        bits = bytearray((last - first) * BLOCK_BITS // 8)
-        for r in table.where(F.col("block").between(first, last - 1)).toLocalIterator():
-            at = (r["block"] - first) * BLOCK_BITS // 8
-            bits[at : at + BLOCK_BITS // 8] = r["bits"]
-        sent = spark.sparkContext.broadcast(bytes(bits))
-        if len(ranges) == 1:
-            scored = rows.mapInArrow(_levels(sent, first, last, blocks, head, model), f"doc_id {id_type}, text_key long, score double, {more}")
-        elif s == 0:
-            found = rows.mapInArrow(_levels(sent, first, last, blocks, head), f"doc_id {id_type}, text_key long, levels binary, {more}")
-            found = found.withColumnRenamed("levels", "levels_0")
-        else:
-            own = rows.dropDuplicates(["doc_id", "text_key"]).mapInArrow(
-                _levels(sent, first, last, blocks, None), f"doc_id {id_type}, text_key long, levels binary")
-            found = null_safe(found, own.withColumnRenamed("levels", f"levels_{s}"), ["doc_id", "text_key"], "left")
-    if found is not None:
-        names = ["doc_id", "text_key", "n_tokens", "base", "known", "tail_h", "tail_n", *[f"levels_{s}" for s in range(len(ranges))]]
-        scored = found.select(*names).mapInArrow(_scored(model, len(ranges)), f"doc_id {id_type}, text_key long, {more}, score double")
-    scored = written(scored, "scores")
+    id_type = rows.schema["doc_id"].dataType.simpleString()
+    kind = f"doc_id {id_type}, text_key long, score double, n_tokens long, base double, known long, tail_h array<long>, tail_n array<long>"
+    scored = written(rows.mapInArrow(_scored(_segments(table, segment_bytes), blocks, head, model), kind), "scores")
 
     # rare and unknown words: repeated rows have the same ones, and count them once
     rare = scored.where(F.size("tail_h") > 0).select("doc_id", "text_key", F.explode(F.arrays_zip("tail_h", "tail_n")).alias("t"))
