@@ -21,10 +21,9 @@ MOST = 3
 COIN_DIGITS = 13
 
 
-def coin(doc_id: str | Column, seed: str) -> Column:
-    """A number in [0, 1) that depends on the id and the seed alone; a null id counts as ''."""
-    key = F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(doc_id).cast("string") if isinstance(doc_id, str) else doc_id, F.lit("")))
-    digits = F.conv(F.substring(F.md5(key), 1, COIN_DIGITS), 16, 10).cast("double")
+def coin(key: Column, seed: str) -> Column:
+    """A number in [0, 1) that depends on the key, a text, and the seed alone."""
+    digits = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), key)), 1, COIN_DIGITS), 16, 10).cast("double")
     return digits / F.lit(float(16**COIN_DIGITS))
 
 
@@ -73,20 +72,25 @@ def takes(
     """docs as the struct `row` with size, source_size, target and copies of each row.
 
     Null and empty texts have size 0 and take part like any other. A source of size 0 has
-    target 0 and is not taken. Null is a source of its own. Rows with the same or no doc_id
-    share a coin. Names of other columns don't matter.
+    target 0 and is not taken. Null is a source of its own. Rows with the same doc_id share a
+    coin; rows without one share it if their texts are equal. Names of other columns don't matter.
     """
+    t = whole(f"`{text}`")
+    key = F.coalesce(F.col(f"`{doc_id}`").cast("string"), F.concat(F.lit("null:"), F.md5(t)))
     rows = docs.select(
-        F.struct("*").alias("row"), F.col(f"`{doc_id}`").alias("_id"), F.col(f"`{source}`").alias("_name"),
-        F.size(split_words(whole(f"`{text}`"))).cast("long").alias("size"),
+        F.struct("*").alias("row"), key.alias("_id"), F.col(f"`{source}`").alias("_name"),
+        F.size(split_words(t)).cast("long").alias("size"),
     )
     mixed = with_targets(rows, "_name", "size", weights, most, broadcast_bytes)
     rate = F.when(F.col("_mix.source_size") > 0, F.col("_mix.target") / F.col("_mix.source_size")).otherwise(F.lit(0.0))
-    extra = F.when(coin("_id", seed) < rate - F.floor(rate), F.lit(1)).otherwise(F.lit(0))
+    extra = F.when(coin(F.col("_id"), seed) < rate - F.floor(rate), F.lit(1)).otherwise(F.lit(0))
     return mixed.select("row", "size", "_mix.source_size", "_mix.target", (F.floor(rate) + extra).cast("long").alias("copies"))
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
-    """The mixed corpus: each row of docs as often as it is taken, with its columns."""
+    """The mixed corpus: each row of docs as often as it is taken, with its columns.
+
+    Rows without words are not taken: they add none. An empty table stays empty.
+    """
     taken = takes(docs, **options).where("copies > 0")
     return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")

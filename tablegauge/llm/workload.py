@@ -126,7 +126,7 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
 
 
 OP9_SQL = f"""
-WITH d AS (SELECT doc_id, source, CAST(len({SPACE_WORDS.format("coalesce(text, '')")}) AS BIGINT) size FROM documents),
+WITH d AS (SELECT doc_id, source, coalesce(text, '') AS text, CAST(len({SPACE_WORDS.format("coalesce(text, '')")}) AS BIGINT) size FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) source_size FROM d GROUP BY source),
 w AS (SELECT source, source_size, CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS BIGINT) weight FROM s),
 o AS (SELECT *, CAST(3 * source_size AS DOUBLE) / weight ratio, row_number() OVER (ORDER BY CAST(3 * source_size AS DOUBLE) / weight, source) k,
@@ -138,7 +138,7 @@ share AS (SELECT first(CAST(total - capped AS DOUBLE) / CAST(weights - gone AS D
 t AS (SELECT source, source_size, CASE WHEN 3 * source_size < share * weight THEN CAST(3 * source_size AS DOUBLE) ELSE share * weight END target
       FROM w, share),
 r AS (SELECT doc_id, size, source_size, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END rate,
-      CAST(CAST('0x' || substr(md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13) AS BIGINT) AS DOUBLE) / 4503599627370496.0::DOUBLE coin
+      CAST(CAST('0x' || substr(md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), 'null:' || md5(text))), 1, 13) AS BIGINT) AS DOUBLE) / 4503599627370496.0::DOUBLE coin
       FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
 SELECT doc_id, size, source_size, target,
        CAST(size * (floor(rate) + CASE WHEN coin < rate - floor(rate) THEN 1 ELSE 0 END) AS BIGINT) taken

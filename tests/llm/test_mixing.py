@@ -13,6 +13,7 @@ from tablegauge.llm import mixing
 
 def brute(rows, weights=(1, 2, 3), most=3):
     sizes = [(d, s, len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))) for d, t, s in rows]
+    keys = [f"null:{hashlib.md5((t or '').encode()).hexdigest()}" if d is None else str(d) for d, t, _ in rows]
     total = defaultdict(int)
     for _, s, n in sizes:
         total[s] += n
@@ -28,9 +29,9 @@ def brute(rows, weights=(1, 2, 3), most=3):
         fixed |= more
     target = {s: float(most * total[s]) if s in fixed else share * weight[s] for s in order}
     out = []
-    for d, s, n in sizes:
+    for (d, s, n), key in zip(sizes, keys):
         rate = target[s] / total[s] if total[s] else 0.0
-        coin = int(hashlib.md5(f"mix:{'' if d is None else d}".encode()).hexdigest()[:13], 16) / 16**13
+        coin = int(hashlib.md5(f"mix:{key}".encode()).hexdigest()[:13], 16) / 16**13
         out.append((d, n, total[s], target[s], math.floor(rate) + (coin < rate - math.floor(rate))))
     return sorted(out, key=repr)
 
@@ -66,3 +67,15 @@ def test_odd_documents(odd_docs):  # noqa: F811
     assert mixing.mix(odd_docs).columns == odd_docs.columns
     assert mixing.mix(odd_docs.where("false")).count() == mixing.takes(odd_docs.where("false")).count() == 0
     assert mixing.mix(odd_docs.where("doc_id in (2, 3)")).count() == 0
+
+
+def test_rows_without_an_id_have_coins_of_their_own(spark):
+    """A source whose rows have no id comes near its target too."""
+    rows = [(None, f"text number {i}", "a") for i in range(2000)] + [(i, "some words here", "b") for i in range(2000)]
+    got = check(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4))
+    for size in {g[2] for g in got}:
+        own = [g for g in got if g[2] == size]
+        for null in (True, False):
+            part = [g for g in own if (g[0] is None) == null]
+            if part:
+                assert abs(sum(g[1] * g[4] for g in part) / sum(g[1] for g in part) - part[0][3] / size) < 0.1
