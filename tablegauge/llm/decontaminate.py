@@ -163,7 +163,11 @@ def _hits(keyed: DataFrame, runs: DataFrame, lengths: list[int], gram: int, broa
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The rows of docs that are not contaminated, with all their columns."""
+    """The rows of docs that are not contaminated, with all their columns.
+
+    Null and empty texts have no words and stay. Repeated rows stay or go together. Without
+    benchmark items, or with items without words, all rows stay.
+    """
     bad = contamination(docs, benchmark, doc_id, text, **options).where("contaminated").select(
         F.col("doc_id").alias("_bad_id"), F.col("text_key").alias("_bad_key")).distinct()
     key = F.xxhash64(whole(f"`{text}`"))

@@ -226,7 +226,11 @@ def judged(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
 
 
 def filter_quality(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The rows of docs that the base rule and the learned list keep, with all their columns."""
+    """The rows of docs that the base rule and the learned list keep, with all their columns.
+
+    Null and empty texts have no words and go. Repeated rows stay or go together. An empty table
+    stays empty; without labels the base rule alone decides.
+    """
     stats = written(statistics(docs, doc_id, text).select("doc_id", "n_repeat_words", *FEATURES), "statistics")
     rules = learn_rules(labelled_statistics(stats, labels), **options)
     rows = with_statistics(docs.select(F.struct("*").alias("row"), F.col(f"`{text}`").alias("text")), "text")

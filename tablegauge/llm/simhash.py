@@ -148,10 +148,15 @@ def near_duplicates(
 
 def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """One row of each component with all its columns: the first by (doc_id, text); of rows that
-    repeat both, one."""
+    repeat both the one whose other columns have the least digest, so that reruns agree.
+
+    Null and empty texts are near-duplicates of each other; null ids come last. An empty table
+    stays empty.
+    """
     found = near_duplicates(docs, doc_id, text, **options)
     stay = found.select(F.col("component_id").alias("_id"), F.col("first_key").alias("_key")).distinct()
     rows = docs.select(F.struct("*").alias("row"), F.col(f"`{doc_id}`").alias("_id"), F.xxhash64(whole(f"`{text}`")).alias("_key"))
     kept = null_safe(rows, stay, ["_id", "_key"], "left_semi")
-    order = Window.partitionBy("_id", "_key").orderBy(F.lit(1))
+    others = F.to_json(F.struct(*[F.col(f"row.`{c}`") for c in docs.columns if c != text])) if len(docs.columns) > 1 else F.lit("")
+    order = Window.partitionBy("_id", "_key").orderBy(F.xxhash64(others), others)
     return kept.withColumn("_n", F.row_number().over(order)).where("_n = 1").select("row.*")

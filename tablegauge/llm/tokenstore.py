@@ -350,7 +350,11 @@ def read_store(spark: SparkSession, path: str, by: str = "byte") -> DataFrame:
 
 
 def stored(docs: DataFrame, tokenizer_file: str, by: str = "byte", **options) -> DataFrame:
-    """Write a store of docs to a new folder of the shared one and read it back."""
+    """Write a store of docs to a new folder of the shared one and read it back.
+
+    Null and empty texts are their end id alone. Repeated rows are documents of their own, null
+    ids come first. An empty table gives no rows.
+    """
     path = new_folder(docs.sparkSession, "tokens")
     write_store(docs, path, tokenizer_file, by=by, **options)
     return read_store(docs.sparkSession, path, by)
