@@ -30,8 +30,9 @@ TABLE_FUNCTIONS = (
 )
 # what hides text from the statement, whichever starts first: literals, quoted names, comments
 HIDDEN = "'[^']*'|\"[^\"]*\"|`[^`]*`|--[^\n]*|/\\*(?:[^*]|\\*(?!/))*+\\*/"
-# parentheses and set operations of the text that is left
-MARKS = r"[()]|\b(?:UNION|INTERSECT|EXCEPT)\b"
+# set operations of the text that is left, and parentheses
+SET_WORDS = r"\b(?:UNION|INTERSECT|EXCEPT)\b"
+MARKS = r"[()]|" + SET_WORDS
 
 
 @dataclass
@@ -207,7 +208,7 @@ def _kind_of(sql: Column, bare: Column) -> Column:
     return (
         F.when(sql.isNull() | (F.trim(sql) == ""), "Empty")
         .when(other, "Other")
-        .when(_joins_sets(bare), "SetOperation")
+        .when(bare.rlike(SET_WORDS) & _joins_sets(bare), "SetOperation")  # parentheses are only followed where it matters
         .otherwise("Select")
     )
 
