@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablegauge.llm.common import null_safe, whole, written
-from tablegauge.llm.tokens import CHUNK, END, START, batch_tokens, batch_words, chunks, mix
+from tablegauge.llm.tokens import END, START, batch_tokens, batch_words, chunks, mix
 
 #: fixed by the contract: documents whose crc32 leaves HELD of FOLDS are held out
 FOLDS, HELD = 7, 2
@@ -35,9 +35,7 @@ BITS_EACH, PROBES = 24, 6
 BLOCK_TOKENS = 1 << 16
 # share of absent n-grams that read as held: (1 - exp(-6 / 24)) ** 6 is 0.00012
 ERROR = 0.0005
-SEGMENT_BYTES = 64 << 20
-# bytes of text worked on at a time where there are several segments
-SEVERAL_CHUNK = 16 << 20
+SEGMENT_BYTES = 32 << 20
 HEAD_WORDS = 1 << 20
 # weight of the pair model against the word model
 PAIR_WEIGHT = 0.7
@@ -243,7 +241,7 @@ def _scored(segments: list, blocks: int, head, model: tuple) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, logs = head.value
         for batch in batches:
-            for part in chunks(batch, SEVERAL_CHUNK if len(segments) > 1 else CHUNK):
+            for part in chunks(batch):
                 some, back, ends = batch_words(part.column("text"))
                 h, starts = some[back], np.concatenate([[0], ends[:-1]])
                 pair, pair_back = np.unique(pair_keys(_before(h), h), return_inverse=True)
