@@ -4,7 +4,8 @@ Lines are compared by key. A first pass sets a bit pattern for each key in a fil
 seen once, and in a second filter for keys seen again: within a task, or by two tasks. Keys
 that are not in the second filter occur in one document only and never leave their task. The
 others are shuffled as 128-bit hashes with their documents, counted exactly, and the
-documents that lose lines are told which. Both filters have a fixed size limit; if the corpus
+documents that lose lines are told which: a map of their texts' keys parts the texts that may be
+among them, and only those are shuffled. Both filters have a fixed size limit; if the corpus
 outgrows it they let more keys pass to the exact count, and the result stays the same.
 """
 
@@ -19,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest, xxh64_intdigest
 
+from tablegauge.llm.bitmaps import may_be_in, sent_map
 from tablegauge.llm.common import null_safe, whole, written
 
 LEAST_CHARS = 40
@@ -187,10 +189,15 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **o
     Null and empty texts have one empty line. Lines stay joined by line ends. Repeated rows
     lose the same lines. Names of other columns don't matter.
     """
-    lost = dropped_lines(docs, doc_id, text, **options)
+    lost = written(dropped_lines(docs, doc_id, text, **options), "lost")
     t = whole(f"`{text}`")
     rows = docs.select(F.struct("*").alias("row"), F.col(f"`{doc_id}`").alias("doc_id"), F.xxhash64(t).alias("text_key"))
-    found = null_safe(rows, lost, ["doc_id", "text_key"], "left").select("row", whole(F.col(f"row.`{text}`")).alias("text"), "places")
+    # only texts that may lose a line are shuffled
+    may = may_be_in(sent_map(lost, F.col("text_key")), F.col("text_key"))
+    marked = rows.withColumn("may", may)
+    found = null_safe(marked.where("may").drop("may"), lost, ["doc_id", "text_key"], "left").select("row", "places")
+    found = found.unionByName(marked.where("not may").select("row", F.lit(None).cast("array<int>").alias("places")))
+    found = found.select("row", whole(F.col(f"row.`{text}`")).alias("text"), "places")
     lines = F.split("text", "\n")
     stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "places")
     kept = F.when(F.col("places").isNull(), F.col("text")).otherwise(F.array_join(F.transform(stay, lambda i: lines[i]), "\n"))
