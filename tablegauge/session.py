@@ -13,16 +13,37 @@ import tablegauge
 
 # folders of local sessions whose configuration names none, by application
 _LOCAL_FOLDERS: dict[str, str] = {}
+# whether an application's Python workers can import the package
+_IMPORTABLE: dict[str, bool] = {}
 
 
 def prepare(spark: SparkSession) -> SparkSession:
     """Set the few session options results depend on. Safe to call repeatedly."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
-    # functions that run in Python workers travel whole: the package need not be installed there
-    cloudpickle.register_pickle_by_value(tablegauge)
+    app = spark.sparkContext.applicationId
+    if app not in _IMPORTABLE:
+        # functions that run in Python workers travel whole where these can't import the package
+        cloudpickle.register_pickle_by_value(tablegauge)
+        _IMPORTABLE[app] = _workers_import(spark)
+        if _IMPORTABLE[app]:
+            cloudpickle.unregister_pickle_by_value(tablegauge)
     return spark
 
 
+def _workers_import(spark: SparkSession) -> bool:
+    """Whether Python workers find the package by its name; asks one."""
+
+    def look(batches):
+        from importlib.util import find_spec
+
+        import pyarrow
+
+        for _ in batches:
+            yield pyarrow.RecordBatch.from_pydict({"found": [find_spec("tablegauge") is not None]})
+
+    return spark.range(0, 1, 1, 1).mapInArrow(look, "found boolean").first()["found"]
+
+
 def shared_folder(spark: SparkSession) -> str:
     """Folder for written tables, as the cluster names it in spark.checkpoint.dir.
 
