@@ -1,4 +1,4 @@
-"""What Spark SQL has no distributed form for: as-of joins, point-in-range joins, quantiles per group."""
+"""What Spark SQL has no distributed form for: as-of joins, point-in-range joins, quantiles and distinct counts per group."""
 
 from __future__ import annotations
 
@@ -63,6 +63,23 @@ def grouped_statistics(
     return join_null_safe(rest, wide, by, "left")
 
 
+def grouped_distinct(df: DataFrame, by: Sequence[str], columns: dict[str, str], others: dict[str, Column]) -> DataFrame:
+    """Per group: exact numbers of different known values of the named columns, and other aggregates.
+
+    Spark expands several `count(DISTINCT)` into one row per group and value, and each of these
+    carries the states of the other aggregates: a sketch of 13 KB for every value. Here the
+    others are aggregated by group alone, and each column's values on their own. Null keys are
+    a group.
+    """
+    by = list(by)
+    found = df.groupBy(*by).agg(*[c.alias(name) for name, c in others.items()])
+    for name, column in columns.items():
+        # count(DISTINCT) of one column alone is grouped by its values, in partial sums
+        one = df.groupBy(*by).agg(F.count_distinct(F.col(f"`{column}`")).alias(name))
+        found = join_null_safe(found, one, by)
+    return found.select(*by, *columns, *others)
+
+
 # whole numbers that units are held to, and levels that halve them
 UNITS = 1 << 61
 LEVELS = 62

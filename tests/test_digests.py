@@ -172,3 +172,26 @@ def test_grouped_statistics(spark):
     for r in got.collect():
         assert r["n"] == want[r["g"]]["n"] and r["q"] == pytest.approx(want[r["g"]]["q"]) and r["m"] == pytest.approx(want[r["g"]]["m"])
     assert got.count() == 4
+
+
+def test_grouped_distinct_carries_no_sketch_per_value(spark):
+    rows = [(("a", "b", None)[i % 3], i % 50 if i % 11 else None, i % 700) for i in range(4000)]
+    df = spark.createDataFrame(rows + rows, "g string, s long, p long")
+    sketch = {"about": F.approx_count_distinct("s", 0.01)}
+    got = {r.g: tuple(r)[1:] for r in J.grouped_distinct(df, ["g"], {"suppliers": "s", "parts": "p"}, sketch).collect()}
+    for g in ("a", "b", None):
+        own = [(s, p) for k, s, p in rows if k == g]
+        n = len({s for s, _ in own if s is not None})
+        assert got[g][:2] == (n, len({p for _, p in own})) and abs(got[g][2] - n) <= 0.03 * n
+    assert J.grouped_distinct(df.where("false"), ["g"], {"parts": "p"}, sketch).count() == 0
+
+
+def test_distinct_query_expands_no_rows(spark, tmp_path):
+    """Expanded rows are grouped by value, each with a sketch."""
+    from tablegauge import workload
+
+    rows = [("ab"[i % 2], i % 40, i % 300) for i in range(2000)]
+    spark.createDataFrame(rows, "l_returnflag string, l_suppkey long, l_partkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    df = workload.load()[0]["g5_distinct"](spark, str(tmp_path))
+    assert {tuple(r) for r in df.collect()} == {("a", 20, 150, True), ("b", 20, 150, True)}
+    assert "Expand" not in df._jdf.queryExecution().optimizedPlan().toString()
