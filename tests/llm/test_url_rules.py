@@ -108,6 +108,35 @@ def test_mined_verdicts_equal_brute_force(spark, options):
     assert ("block" in seen) == (most > 2)
 
 
+@pytest.mark.parametrize("support", [0.005, 0.2])
+def test_rules_of_long_addresses_use_all_items(spark, support):
+    """Rows of more items than FP-growth takes: the rules of all combinations, also of the rarest items."""
+    rng = random.Random(5)
+    names, rows = [f"i{k:02}" for k in range(15)], []
+    for _ in range(70):
+        own = [x for k, x in enumerate(names) if rng.random() < 0.97 - 0.04 * k]
+        told = "block" if names[14] in own or (names[12] in own and names[9] not in own) else "allow"
+        rows.append((own, told if rng.random() < 0.95 else "allow"))
+    rows.append((names, "block"))
+    assert max(len(t) for t, _ in rows) > ur.MOST_ITEMS
+    want = mine(rows, support, 0.8, 6, None)
+    got = ur.mine_rules(spark.createDataFrame(rows, "items array<string>, verdict string"), support, 0.8, 6).collect()
+    assert {(tuple(r.antecedent), r.verdict): (r.confidence, r.support) for r in got} == want and len(got) == len(want)
+    if support < 0.1:  # the cut lists of twelve items do not have the last ones
+        assert any(names[14] in c for c, _ in want)
+
+
+def test_levels_and_fp_growth_agree(spark, monkeypatch):
+    rng = random.Random(6)
+    rows = [([f"k{j}" for j in range(8) if rng.random() < 0.6], rng.choice(["block", "block", "allow"])) for _ in range(200)]
+    rows += [([f"k{j}" for j in range(i % 8 + 1)], "block" if i % 3 else "allow") for i in range(100)] + [([], "allow")]
+    df = spark.createDataFrame(rows, "items array<string>, verdict string")
+    found = [{(tuple(r.antecedent), r.verdict): (r.confidence, r.support) for r in ur.mine_rules(df, 0.01, 0.7, 5).collect()}]
+    monkeypatch.setattr(ur, "MOST_ITEMS", 0)
+    found.append({(tuple(r.antecedent), r.verdict): (r.confidence, r.support) for r in ur.mine_rules(df, 0.01, 0.7, 5).collect()})
+    assert found[0] == found[1] and found[0]
+
+
 def test_addresses_of_many_segments(spark):
     """500 segments that always stand together are one item; as many that don't are cut to the most frequent."""
     together = "/".join(f"x{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(500))
