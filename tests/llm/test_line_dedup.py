@@ -66,3 +66,16 @@ def test_second_filter_holds_every_repeated_key():
     ld.note(once, twice, keys[150:], bits)
     assert ld._has(once, ld.probes(keys, bits)).all() and ld._has(twice, ld.probes(keys[150:200], bits)).all()
     assert ld._has(twice, ld.probes(keys[:150], bits)).mean() < 0.2
+
+
+def test_filter_has_what_was_put_in():
+    from tablegauge.llm import linededup
+
+    rng = np.random.default_rng(3)
+    for n in (0, 1, 5000):
+        at, filter_, plain = rng.integers(0, 1 << 13, (3, n)).astype(np.uint64), np.zeros(1 << 10, dtype=np.uint8), np.zeros(1 << 13, dtype=bool)
+        filter_[7] = 9
+        plain[[56, 59]] = True
+        linededup._put(filter_, at)
+        plain[at.astype(np.int64)] = True
+        assert (np.unpackbits(filter_, bitorder="little").astype(bool) == plain).all()
